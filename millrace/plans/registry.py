@@ -1,4 +1,278 @@
-"""Registered queries."""
+"""Registered queries: a callable (spark, sf_dir) each and, where SQL can say it, DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import features, forecasts, stats_tests
+from ..kernels.registry import MODELS
+from ..operators import detect, evaluate, forecast, series, transforms
+from ..operators.series import Series
+from .base import DAILY, DEMAND, GAPPY, HOURLY, MONTHLY, S, daily, demand, gappy, hourly, monthly, prepared, shown, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+P = "partition by key"
+W = "partition by key order by i"
+
+
+def add(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql is not None:
+        ORACLE_SQL[name] = sql
+
+
+def r(x: str, alias: str) -> str:
+    return f"round({x}, 6) + 0.0e0 as {alias}"
+
+
+# --- core series operators ---------------------------------------------------
+
+add("core_validate", lambda sp, d: series.validate(table(sp, d, "events").select(F.col("event_type").alias("key"), F.date_trunc("hour", "ts").alias("ds"), F.col("value").alias("y")), S)
+    .groupBy("key", "problem").agg(F.count(F.lit(1)).alias("c")),
+    "select key, 'repeated_time' as problem, count(*) as c from (select event_type as key, date_trunc('hour', ts) as ds, row_number() over (partition by event_type, date_trunc('hour', ts)) as k from events) a where k > 1 group by key")
+add("core_has_missing", lambda sp, d: series.has_missing(gappy(sp, d), S), f"select key, bool_or(y is null) as has_missing from ({GAPPY}) g group by key")
+add("core_sanitize_drop", lambda sp, d: shown(series.sanitize(gappy(sp, d), S, "drop"), "key", "ds", "y"), f"select key, epoch(ds)::bigint as t, y from ({GAPPY}) g where y is not null")
+add("core_sanitize_fill", lambda sp, d: shown(series.sanitize(gappy(sp, d), S, "fill", -1.0), "key", "ds", "y"), f"select key, epoch(ds)::bigint as t, coalesce(y, -1.0) as y from ({GAPPY}) g")
+add("core_sanitize_forward", lambda sp, d: shown(series.sanitize(gappy(sp, d), S, "forward"), "key", "ds", "y"),
+    f"select key, epoch(ds)::bigint as t, last_value(y ignore nulls) over (partition by key order by ds rows between unbounded preceding and current row) as y from ({GAPPY}) g")
+_AROUND = "last_value(case when y is not null then {c} end ignore nulls) over (%s rows between unbounded preceding and current row) as a_{c}, first_value(case when y is not null then {c} end ignore nulls) over (%s rows between current row and unbounded following) as b_{c}" % (W, W)
+for edges in (False, True):
+    add(f"core_interpolate{'_edges' if edges else ''}", lambda sp, d, edges=edges: shown(series.interpolate(gappy(sp, d), S, edges), "key", "ds", "y"),
+        f"select key, epoch(ds)::bigint as t, {r('case when y is not null then y when a_i is not null and b_i is not null then a_y + (i - a_i) * 1.0 / nullif(b_i - a_i, 0) * (b_y - a_y) else ' + ('coalesce(b_y, a_y)' if edges else 'null') + ' end', 'y')} "
+        f"from (select *, {_AROUND.format(c='i')}, {_AROUND.format(c='y')} from ({prepared(GAPPY)}) p) q")
+_GAPS = "select key, epoch(ds)::bigint - lag(epoch(ds)::bigint) over (partition by key order by ds) as g from ({b}) b {w}"
+for name, where in (("core_infer_frequency", ""), ("core_infer_frequency_calendar", "where dayofweek(ds) not in (0, 6) and cast(ds as date) <> date '2024-01-15'")):
+    add(name, (lambda sp, d: shown(series.infer_frequency(hourly(sp, d), S), "key", "step_seconds", "share", "status")) if not where else
+        (lambda sp, d: shown(series.infer_frequency(hourly(sp, d), S, holidays=sp.sql("select date '2024-01-15' as holiday"), business_days=True), "key", "step_seconds", "share", "status")),
+        f"select key, g as step_seconds, {r('c * 1.0 / t', 'share')}, case when c * 1.0 / t < 0.5 then 'irregular' else 'ok' end as status from (select *, row_number() over (partition by key order by c desc, g) as k, sum(c) over (partition by key) as t "
+        f"from (select key, g, count(*) as c from ({_GAPS.format(b=HOURLY, w=where)}) a where g is not null group by key, g) b) c where k = 1")
+for name, base, frame, step in (("core_fill_gaps", HOURLY, hourly, "1 hour"), ("core_fill_gaps_months", MONTHLY, monthly, "1 month")):
+    add(name, lambda sp, d, frame=frame, step=step: shown(series.fill_gaps(frame(sp, d), S, "1h" if step == "1 hour" else "1mo"), "key", "ds", "y"),
+        f"with b as ({base}), g as (select key, unnest(generate_series(min(ds), max(ds), interval {step})) as ds from b group by key) select g.key, epoch(g.ds)::bigint as t, {r('y', 'y')} from g left join b on b.key = g.key and b.ds = g.ds")
+add("core_calendar", lambda sp, d: shown(series.calendar_flags(daily(sp, d), S, sp.sql("select explode(array(date '1996-12-25', date '1997-01-01', date '1998-07-04')) as holiday")), "key", "ds", "is_holiday", "is_business_day"),
+    f"select key, epoch(ds)::bigint as t, h as is_holiday, not h and dayofweek(ds) not in (0, 6) as is_business_day from (select *, cast(ds as date) in (date '1996-12-25', date '1997-01-01', date '1998-07-04') as h from ({DAILY}) b) c")
+add("core_slice", lambda sp, d: shown(series.slice_rows(hourly(sp, d), S, 10, 50), "key", "ds", "y"), f"select key, epoch(ds)::bigint as t, y from ({prepared(HOURLY)}) p where i >= 10 and i < 50")
+add("core_wide", lambda sp, d: series.to_wide(hourly(sp, d).withColumn("t", F.unix_timestamp("ds")), ["t"], "key", "y", ["click", "view"]),
+    f"select epoch(ds)::bigint as t, max(case when key = 'click' then y end) as click, max(case when key = 'view' then y end) as view from ({HOURLY}) h group by 1")
+
+# --- features -----------------------------------------------------------------
+
+#: Parameters that suit hourly counts; defaults otherwise.
+_WITH = {"quantile": {"q": 0.3}, "autocorrelation": {"lag": 3}, "partial_autocorrelation": {"lag": 2}, "number_peaks": {"support": 3}, "number_crossing_m": {"m": 2.0}, "count_above": {"t": 3.0}, "count_below": {"t": 3.0},
+         "value_count": {"value": 2.0}, "range_count": {"low": 1.0, "high": 4.0}, "sample_entropy": {"m": 2, "r": 0.5}, "approximate_entropy": {"m": 2, "r": 0.5}, "ar_coefficient": {"k": 3, "coeff": 1},
+         "energy_ratio_by_chunks": {"num_segments": 7, "segment_focus": 2}, "change_quantiles": {"ql": 0.2, "qh": 0.9, "isabs": True, "f": "var"}, "agg_autocorrelation": {"max_lag": 5, "f": "median"}}
+_KERNELS = {f for f in features.FEATURES if isinstance(features.FEATURES[f](features.Dialect()), features.Kernel)}
+_R = "sum((y - mu) * (l{k} - mu)) / nullif((max(n) - {k}) * var_pop(y), 0)"
+_CLOSED = {  # the same numbers by another way than the kernels
+    "partial_autocorrelation": f"with p as ({prepared(HOURLY)}) select key, {r('(r2 - r1 * r1) / nullif(1 - r1 * r1, 0)', 'partial_autocorrelation')} from (select key, {_R.format(k=1)} as r1, {_R.format(k=2)} as r2 "
+                               f"from (select *, avg(y) over ({P}) as mu, lag(y, 1) over ({W}) as l1, lag(y, 2) over ({W}) as l2 from p) a group by key) b",
+    "ar_coefficient_yule_walker": f"with p as ({prepared(HOURLY)}), c as (select key, sum((y - mu) * (l1 - mu)) / sum((y - mu) * (y - mu)) as r1, sum((y - mu) * (l2 - mu)) / sum((y - mu) * (y - mu)) as r2 "
+                                  f"from (select *, avg(y) over ({P}) as mu, lag(y, 1) over ({W}) as l1, lag(y, 2) over ({W}) as l2 from p) a group by key) select key, {r('(r2 - r1 * r1) / nullif(1 - r1 * r1, 0)', 'ar_coefficient_yule_walker')} from c",
+}
+_CLOSED["sample_entropy"] = (
+    f"with p as ({prepared(HOURLY)}), w as (select key, i, n, y, lead(y, 1) over ({W}) as f1, lead(y, 2) over ({W}) as f2 from p), m as (select a.key as key, count(*) as b, "
+    f"count(case when a.i < a.n - 3 and b.i < b.n - 3 and abs(a.f2 - b.f2) <= 0.5 then 1 end) as a from w a join w b on a.key = b.key and a.i < b.i and a.i < a.n - 2 and b.i < b.n - 2 and abs(a.y - b.y) <= 0.5 and abs(a.f1 - b.f1) <= 0.5 group by a.key) "
+    f"select key, {r('-ln(a * 1.0 / nullif(b, 0))', 'sample_entropy')} from m")
+for _f in features.FEATURES:
+    _request = (_f, _f, _WITH.get(_f, {}))
+    add(f"feat_{_f}", lambda sp, d, q=_request: features.features(hourly(sp, d), S, [q], digits=6),
+        _CLOSED.get(_f) if _f in _KERNELS else features.oracle([_request], prepared(HOURLY)))
+_ALL = [(f, f, _WITH.get(f, {})) for f in features.FEATURES if f not in _KERNELS]
+add("feat_all_native", lambda sp, d: features.features(daily(sp, d), S, [q for q in _ALL if q[0] not in ("kurtosis", "skewness")], digits=4), features.oracle([q for q in _ALL if q[0] not in ("kurtosis", "skewness")], prepared(DAILY), digits=4))
+for _attr in ("intercept", "r2", "stderr", "pvalue"):
+    add(f"feat_linear_trend_{_attr}", lambda sp, d, a=_attr: features.features(daily(sp, d), S, [(f"trend_{a}", "linear_trend", {"attr": a})], digits=4),
+        features.oracle([(f"trend_{_attr}", "linear_trend", {"attr": _attr})], prepared(DAILY), digits=4))
+
+# --- transformations --------------------------------------------------------------
+
+_AGGS = {"mean": "avg(y)", "std": "stddev_samp(y)", "var": "var_samp(y)", "min": "min(y)", "max": "max(y)", "sum": "sum(y)", "median": "quantile_cont(y, 0.5)"}
+_cols = lambda prefix, names: [f"{prefix}_{x}" for x in names]
+add("xf_rolling", lambda sp, d: shown(transforms.rolling(hourly(sp, d), S, 7), "key", "i", *_cols("rolling", transforms.ROLLING)),
+    f"select key, i, {', '.join(r(f'case when i >= 6 then {x} over ({W} rows between 6 preceding and current row) end', f'rolling_{f}') for f, x in _AGGS.items())} from ({prepared(HOURLY)}) p")
+add("xf_rolling_centered", lambda sp, d: shown(transforms.rolling(hourly(sp, d), S, 6, center=True), "key", "i", *_cols("rolling", transforms.ROLLING)),
+    f"select key, i, {', '.join(r(f'{x} over ({W} rows between 3 preceding and 2 following)', f'rolling_{f}') for f, x in _AGGS.items())} from ({prepared(HOURLY)}) p")
+add("xf_expanding", lambda sp, d: shown(transforms.expanding(hourly(sp, d), S), "key", "i", *_cols("expanding", transforms.EXPANDING)),
+    f"select key, i, {', '.join(r(f'{_AGGS[f]} over ({W} rows between unbounded preceding and current row)', f'expanding_{f}') for f in transforms.EXPANDING)} from ({prepared(HOURLY)}) p")
+add("xf_ewm", lambda sp, d: shown(transforms.ewm(hourly(sp, d), S, 0.3), "key", "i", "ewm_mean", "ewm_var", "ewm_std"),
+    f"with recursive p as ({prepared(HOURLY)}), e as (select key, i, y as m, y * y as q from p where i = 0 union all select p.key, p.i, 0.3e0 * p.y + 0.7e0 * e.m, 0.3e0 * p.y * p.y + 0.7e0 * e.q from e join p on p.key = e.key and p.i = e.i + 1) "
+    f"select key, i, {r('m', 'ewm_mean')}, {r('greatest(q - m * m, 0.0)', 'ewm_var')}, {r('sqrt(greatest(q - m * m, 0.0))', 'ewm_std')} from e")
+_SCALES = {"standardize": ("avg(y)", "stddev_samp(y)"), "normalize": ("min(y)", "max(y) - min(y)"), "robust": ("median(y)", "quantile_cont(y, 0.75) - quantile_cont(y, 0.25)"), "center": ("avg(y)", "1.0")}
+for _m, (_c, _k) in _SCALES.items():
+    add(f"xf_{_m}", lambda sp, d, m=_m: shown(transforms.scale(daily(sp, d), S, m), "key", "ds", "y", digits=4),
+        f"with b as ({DAILY}), s as (select key, {_c} as c, {_k} as k from b group by key) select b.key, epoch(ds)::bigint as t, round((y - c) / case when k < 1e-10 then 1.0 else k end, 4) + 0.0e0 as y from b join s on s.key = b.key")
+add("xf_scale_to_range", lambda sp, d: shown(transforms.scale_to_range(hourly(sp, d), S, -1.0, 3.0), "key", "ds", "y"),
+    f"with b as ({HOURLY}) select key, epoch(ds)::bigint as t, {r(f'-1.0 + (y - min(y) over ({P})) / nullif(max(y) over ({P}) - min(y) over ({P}), 0) * 4.0', 'y')} from b")
+add("xf_scale_inverse", lambda sp, d: (lambda b, p: shown(transforms.apply_scale(transforms.apply_scale(b, S, p), S, p, inverse=True), "key", "ds", "y", digits=2))(daily(sp, d), transforms.scale_parameters(daily(sp, d), S, "standardize")),
+    f"select key, epoch(ds)::bigint as t, y from ({DAILY}) b")
+add("xf_boxcox", lambda sp, d: shown(hourly(sp, d).withColumn("z", transforms.boxcox(F.col("y"), 0.4)).withColumn("back", transforms.inv_boxcox(F.col("z"), 0.4)), "key", "ds", "z", "back"),
+    f"select key, epoch(ds)::bigint as t, {r('(power(y, 0.4e0) - 1) / 0.4e0', 'z')}, {r('y', 'back')} from ({HOURLY}) h")
+_LLF = "-m / 2.0 * ln(greatest(v, 1e-300)) + (lam - 1) * slog"
+_Z = "case when abs(lam) < 1e-10 then ln(y) else (power(y, lam) - 1) / case when abs(lam) < 1e-10 then 1 else lam end end"
+_BOX = (f"with b as ({HOURLY}), l as (select key, sum(ln(y)) as slog, count(*) as m from b group by key), g as (select unnest(generate_series(-200, 200)) / 100.0::double as lam), "
+        f"v1 as (select key, lam, var_pop({_Z}) as v from b cross join g group by key, lam), f1 as (select v1.key, arg_max(lam, {_LLF}) as lam0 from v1 join l on l.key = v1.key group by v1.key), "
+        f"v2 as (select key, lam, var_pop({_Z}) as v from (select b.key, y, lam0 - 0.1::double + k * 0.002::double as lam from b join f1 on f1.key = b.key cross join (select unnest(generate_series(0, 100)) as k) k) c group by key, lam), "
+        f"f2 as (select v2.key, arg_max(lam, {_LLF}) as lambda from v2 join l on l.key = v2.key group by v2.key) ")
+add("xf_boxcox_lambda", lambda sp, d: shown(transforms.boxcox_lambda(hourly(sp, d), S), "key", "lambda", digits=4), _BOX + "select key, round(lambda, 4) + 0.0e0 as lambda from f2")
+add("xf_boxcox_auto", lambda sp, d: shown(transforms.boxcox_auto(monthly(sp, d), S), "key", "ds", "y", "lambda", digits=4))
+add("xf_boxcox_shifted", lambda sp, d: shown(transforms.boxcox_shifted(hourly(sp, d).withColumn("y", F.col("y") - 3), S, 0.5), "key", "ds", "y", "shift"),
+    f"with b as (select key, ds, y - 3 as y from ({HOURLY}) h), s as (select *, case when min(y) over ({P}) <= 0 then 1 - min(y) over ({P}) else 0.0 end as shift from b) select key, epoch(ds)::bigint as t, {r('(sqrt(y + shift) - 1) / 0.5', 'y')}, {r('shift', 'shift')} from s")
+add("xf_boxcox_suitable", lambda sp, d: transforms.is_boxcox_suitable(gappy(sp, d), S), f"select key, bool_and(coalesce(y > 0, false)) as suitable from ({GAPPY}) g group by key")
+add("xf_difference", lambda sp, d: shown(transforms.difference(hourly(sp, d), S, 2), "key", "i", "diff"), f"select key, i, {r(f'y - 2 * lag(y, 1) over ({W}) + lag(y, 2) over ({W})', 'diff')} from ({prepared(HOURLY)}) p")
+add("xf_seasonal_difference", lambda sp, d: shown(transforms.difference(hourly(sp, d), S, 1, 24), "key", "i", "diff"), f"select key, i, {r(f'y - lag(y, 24) over ({W})', 'diff')} from ({prepared(HOURLY)}) p")
+add("xf_integrate", lambda sp, d: shown(transforms.integrate(series.slice_rows(hourly(sp, d), S, 0, 10), hourly(sp, d), S, 2), "key", "ds", "y"),
+    f"with p as ({prepared(HOURLY)}), e as (select key, max(case when i = n - 1 then y end) as l0, max(case when i = n - 1 then y end) - max(case when i = n - 2 then y end) as l1 from p group by key), "
+    f"a as (select p.key, ds, i, l0, l1 + sum(y) over (partition by p.key order by i) as c from p join e on e.key = p.key where i < 10) select key, epoch(ds)::bigint as t, {r('l0 + sum(c) over (partition by key order by i)', 'y')} from a")
+add("xf_suggest_differencing", lambda sp, d: transforms.suggest_differencing(daily(sp, d), S),
+    f"with p as ({prepared(DAILY)}), d as (select key, y, y - lag(y, 1) over ({W}) as d1, y - 2 * lag(y, 1) over ({W}) + lag(y, 2) over ({W}) as d2 from p), v as (select key, var_samp(y) as v0, var_samp(d1) as v1, var_samp(d2) as v2 from d group by key) "
+    "select key, cast(case when v0 > 0 and v1 < 0.9 * v0 then case when v2 < 0.9 * v1 and v2 < v0 then 2 else 1 end else 0 end as integer) as d from v")
+
+# --- detection -----------------------------------------------------------------------
+
+_Q = "list_sort(list(y))"
+add("det_outliers_iqr", lambda sp, d: shown(detect.outliers(hourly(sp, d), S, "iqr"), "key", "i", "score", "is_outlier"),
+    f"with p as ({prepared(HOURLY)}), q as (select key, {_Q}[count(*) // 4 + 1] as q1, {_Q}[count(*) * 3 // 4 + 1] as q3 from p group by key), s as (select p.key, i, greatest(q1 - 1.5 * (q3 - q1) - y, y - q3 - 1.5 * (q3 - q1), 0.0) / nullif(q3 - q1, 0) as score from p join q on q.key = p.key) "
+    f"select key, i, {r('score', 'score')}, score > 0 as is_outlier from s")
+add("det_outliers_zscore", lambda sp, d: shown(detect.outliers(hourly(sp, d), S, "zscore"), "key", "i", "score", "is_outlier"),
+    f"with s as (select key, i, abs(y - avg(y) over ({P})) / nullif(stddev_samp(y) over ({P}), 0) as score from ({prepared(HOURLY)}) p) select key, i, {r('score', 'score')}, score > 3.0 as is_outlier from s")
+add("det_outliers_modified", lambda sp, d: shown(detect.outliers(daily(sp, d), S, "modified"), "key", "i", "score", "is_outlier"),
+    f"with a as (select key, i, abs(y - median(y) over ({P})) as d from ({prepared(DAILY)}) p), s as (select key, i, 0.6745 * d / nullif(median(d) over ({P}), 0) as score from a) select key, i, {r('score', 'score')}, score > 3.5 as is_outlier from s")
+add("det_outlier_summary", lambda sp, d: shown(detect.outlier_summary(detect.outliers(hourly(sp, d), S, "zscore", 2.0), S), "key", "outliers", "percentage"),
+    f"with s as (select key, abs(y - avg(y) over ({P})) / nullif(stddev_samp(y) over ({P}), 0) > 2.0 as o from ({prepared(HOURLY)}) p) select key, count_if(o)::bigint as outliers, {r('count_if(o) * 100.0 / count(*)', 'percentage')} from s group by key")
+_ACF = (f"with p as (select *, y - avg(y) over ({P}) as d from ({prepared(HOURLY)}) a), c as (select key, sum(d * d) as c0, max(n) as n from p group by key), l as (select unnest(generate_series(1, 30)) as lag), "
+        "x as (select a.key, lag, sum(a.d * b.d) as s from p a join l on true join p b on b.key = a.key and b.i = a.i - lag group by a.key, lag), acf as (select x.key, cast(lag as integer) as lag, s / c0 as acf, n from x join c on c.key = x.key) ")
+add("det_autocorrelations", lambda sp, d: shown(detect.autocorrelations(hourly(sp, d), S, 30), "key", "lag", "acf"), _ACF + f"select key, lag, {r('acf', 'acf')} from acf")
+add("det_seasonality", lambda sp, d: shown(detect.detect_seasonality(hourly(sp, d), S, 2, 30, -0.1), "key", "period", "strength"),
+    _ACF + f", k as (select key, lag, acf, lag(acf) over (partition by key order by lag) as a, lead(acf) over (partition by key order by lag) as b from acf where lag >= 2 and lag <= n // 2), m as (select *, row_number() over (partition by key order by acf desc, lag) as o from k where acf > a and acf > b and acf > -0.1) "
+    f"select key, lag as period, {r('least(1.0, acf)', 'strength')} from m where o = 1")
+for _m in ("acf", "fft", "autoperiod", "cfd", "sazed", "seasonality"):
+    add(f"det_period_{_m}", lambda sp, d, m=_m: detect.detect_periods(series.fill_gaps(hourly(sp, d), S, "1h").withColumn("y", F.coalesce("y", F.lit(0.0))), S, m))
+add("det_periodogram", lambda sp, d: shown(detect.periodogram(monthly(sp, d), S), "key", "rank", "period", "power", digits=3),
+    f"with p as ({prepared(MONTHLY)}), k as (select key, n, unnest(generate_series(1, n // 2)) as k from (select distinct key, n from p) a), f as (select p.key, k.n, k, power(sum(y * cos(2 * pi() * k * i / k.n)), 2) + power(sum(y * sin(2 * pi() * k * i / k.n)), 2) as s from k join p on p.key = k.key group by p.key, k.n, k) "
+    "select key, cast(k as integer) as rank, cast(n // k as integer) as period, round(s / n, 3) + 0.0e0 as power from f")
+add("det_fft", lambda sp, d: shown(detect.fft_real(monthly(sp, d), S), "key", "k", "re", "im", digits=3),
+    f"with p as ({prepared(MONTHLY)}), k as (select key, n, unnest(generate_series(0, n // 2)) as k from (select distinct key, n from p) a) select p.key, cast(k as integer) as k, round(sum(y * cos(2 * pi() * k * i / k.n)), 3) + 0.0e0 as re, round(-sum(y * sin(2 * pi() * k * i / k.n)), 3) + 0.0e0 as im from k join p on p.key = k.key group by p.key, k.n, k")
+add("det_welch", lambda sp, d: detect.periodogram(hourly(sp, d), S, window=64))
+add("det_spectral_peaks", lambda sp, d: detect.periodogram(hourly(sp, d), S, threshold=3.0))
+add("det_segment_costs", lambda sp, d: shown(detect.segment_costs(series.prepare(hourly(sp, d), S).withColumn("seg", F.floor(F.col("i") / 100)), S, "seg"), "key", "seg", "l1", "l2", "normal", "poisson", "linear_trend", "mean_variance", "cusum"),
+    f"with p as (select *, i // 100 as seg from ({prepared(HOURLY)}) a), x as (select *, avg(y) over (partition by key, seg) as mu, median(y) over (partition by key, seg) as med from p), c as (select *, abs(sum(y - mu) over (partition by key, seg order by i)) as c from x) "
+    f"select key, seg, {r('sum(abs(y - med))', 'l1')}, {r('count(*) * var_pop(y)', 'l2')}, {r('case when count(*) < 2 or var_pop(y) < 1e-10 then 0.0 else count(*) * ln(greatest(var_pop(y), 1e-10)) end', 'normal')}, {r('sum(y) - sum(y) * ln(avg(y))', 'poisson')}, "
+    f"{r('case when count(*) < 3 then 0.0 else greatest(0.0, regr_syy(y, i) - power(regr_sxy(y, i), 2) / nullif(regr_sxx(y, i), 0)) end', 'linear_trend')}, {r('case when count(*) < 2 or var_pop(y) < 1e-10 then 0.0 else count(*) * (1 + ln(greatest(var_pop(y), 1e-10))) end', 'mean_variance')}, {r('max(c)', 'cusum')} from c group by key, seg")
+for _c in ("l1", "l2", "normal", "poisson", "linear_trend", "mean_variance", "cusum", "periodicity"):
+    add(f"det_pelt_{_c}", lambda sp, d, c=_c: detect.pelt(monthly(sp, d), S, c, "bic"))
+
+# --- decomposition ----------------------------------------------------------------------
+
+add("dec_stl", lambda sp, d: shown(detect.decompose(monthly(sp, d), S, 12), "key", "ds", "y", "trend", "seasonal", "remainder"))
+add("dec_stl_robust", lambda sp, d: shown(detect.decompose(monthly(sp, d), S, 12, robust=True), "key", "ds", "trend", "seasonal", "remainder"))
+add("dec_mstl", lambda sp, d: shown(detect.decompose(hourly(sp, d), S, (24, 168)), "key", "ds", "trend", "seasonal_24", "seasonal_168", "remainder"))
+add("dec_strengths", lambda sp, d: shown(detect.strengths(detect.decompose(monthly(sp, d), S, 12), S), "key", "seasonal_strength", "trend_strength"))
+
+# --- forecasts ----------------------------------------------------------------------------
+
+_FC = {"seasonal_naive": {"period": 7}, "seasonal_window_average": {"period": 7, "window": 3}, "simple_moving_average": {"window": 14}, "ses_fixed": {"alpha": 0.3}}
+for _m in forecasts.MODELS:
+    _base, _frame = (DEMAND, demand) if _m in ("croston", "croston_sba", "tsb") else (DAILY, daily)
+    add(f"fc_{_m}", lambda sp, d, m=_m, f=_frame: forecasts.baseline(f(sp, d), S, m, 14, digits=3, **_FC.get(m, {})), forecasts.oracle(_m, prepared(_base), 14, digits=3, **_FC.get(_m, {})))
+_INTERMITTENT = ("croston", "croston_sba", "tsb", "adida", "imapa")
+for _m in MODELS:
+    add(f"fc_kernel_{_m}", lambda sp, d, m=_m: shown(forecast.forecast((demand if m in _INTERMITTENT else monthly)(sp, d), S, m, 12, period=12), "key", "model", "h", "yhat", "lo", "hi", "status"))
+_KERNEL_SQL = {"naive": ("naive", {}), "random_walk_with_drift": ("random_walk_with_drift", {}), "seasonal_naive": ("seasonal_naive", {"period": 12}), "seasonal_window_average": ("seasonal_window_average", {"period": 12, "window": 2}),
+               "historic_average": ("historic_average", {}), "window_average": ("window_average", {"window": 7}), "simple_moving_average": ("historic_average", {})}
+for _m, (_o, _kw) in _KERNEL_SQL.items():
+    ORACLE_SQL[f"fc_kernel_{_m}"] = f"select key, '{_m}' as model, h, yhat, lo, hi, 'ok' as status from ({forecasts.oracle(_o, prepared(MONTHLY), 12, digits=6, **_kw)}) k"
+_EXOG = Series(keys=("key",), ts="ds", value="y", regressors=("x",))
+
+
+def _with_exog(sp: SparkSession, d: str) -> DataFrame:
+    b = monthly(sp, d).withColumn("x", F.month("ds").cast("double"))
+    ahead = sp.range(1, 13).select(F.col("id").cast("int").alias("h"), (F.col("id") % 12 + 1).cast("double").alias("x")).crossJoin(b.select("key").distinct())
+    return shown(forecast.forecast(b, _EXOG, ["naive", "arima", "auto_arima", "theta", "mfles"], 12, period=12, future=ahead), "key", "model", "h", "yhat", "status")
+
+
+add("fc_exogenous", _with_exog)
+add("fc_fitted", lambda sp, d: shown(forecast.fitted_values(monthly(sp, d), S, ["seasonal_naive"], period=12), "key", "ds", "fitted", "residual"),
+    f"select key, epoch(ds)::bigint as t, {r(f'lag(y, 12) over ({W})', 'fitted')}, {r(f'y - lag(y, 12) over ({W})', 'residual')} from ({prepared(MONTHLY)}) p")
+add("fc_garch_variance", lambda sp, d: shown(forecast.conditional_variance(monthly(sp, d), S, 12), "key", "h", "variance", "omega", "unconditional", "status"))
+_ENS = ["naive", "seasonal_naive", "historic_average"]
+_UNION = " union all ".join(f"select * from ({forecasts.oracle(m, prepared(MONTHLY), 12, digits=9, **({'period': 12} if m == 'seasonal_naive' else {}))}) u_{m}" for m in _ENS)
+for _how, _agg in (("mean", "avg"), ("median", "median")):
+    add(f"fc_ensemble_{_how}", lambda sp, d, how=_how: shown(forecast.ensemble(forecast.forecast(monthly(sp, d), S, _ENS, 12, period=12), S, how), "key", "h", "yhat", "lo", "hi", digits=4),
+        f"select key, h, {', '.join(f'round({_agg}({c}), 4) + 0.0e0 as {c}' for c in ('yhat', 'lo', 'hi'))} from ({_UNION}) e group by key, h")
+add("fc_ensemble_weighted", lambda sp, d: shown(forecast.ensemble(forecast.forecast(monthly(sp, d), S, _ENS, 12, period=12), S, "weighted", {"naive": 1.0, "seasonal_naive": 3.0, "historic_average": 4.0}), "key", "h", "yhat", digits=4),
+    "select key, h, round(sum(yhat * w) / 8.0, 4) + 0.0e0 as yhat from (" + " union all ".join(f"select *, {w} as w from ({forecasts.oracle(m, prepared(MONTHLY), 12, digits=9, **({'period': 12} if m == 'seasonal_naive' else {}))}) u_{m}" for m, w in zip(_ENS, (1.0, 3.0, 4.0), strict=True)) + ") e group by key, h")
+add("fc_ensemble_mse", lambda sp, d: shown(forecast.ensemble(forecast.forecast(monthly(sp, d), S, _ENS, 12, period=12), S, "weighted", forecast.inverse_mse_weights(forecast.fitted_values(monthly(sp, d), S, _ENS, period=12), S)), "key", "h", "yhat"))
+
+# --- evaluation -----------------------------------------------------------------------------
+
+_FIT = f"select key, i, y, lag(y, 12) over ({W}) as f from ({prepared(MONTHLY)}) p"
+_METRICS = ("count(*) as n, " + ", ".join(r(x, a) for x, a in (("avg(abs(y - f))", "mae"), ("avg(power(y - f, 2))", "mse"), ("sqrt(avg(power(y - f, 2)))", "rmse"), ("case when min(abs(y)) > 0 then avg(abs(y - f) / nullif(abs(y), 0)) * 100 end", "mape"),
+            ("avg(case when abs(y) + abs(f) = 0 then 0 else 2 * abs(y - f) / nullif(abs(y) + abs(f), 0) end) * 100", "smape"), ("1 - sum(power(y - f, 2)) / nullif(var_pop(y) * count(*), 0)", "r2"))))
+add("eval_metrics", lambda sp, d: (lambda m: shown(m, "key", "n", "mae", "mse", "rmse", "mape", "smape", "r2", "mase"))(evaluate.metrics(forecast.fitted_values(monthly(sp, d), S, ["seasonal_naive"], period=12).where("fitted is not null"), ["key"], "y", "fitted", "ds", 12)),
+    f"with a as (select *, abs(y - lag(y, 12) over ({W})) as s from ({_FIT}) q where f is not null) select key, {_METRICS}, {r('avg(abs(y - f)) / nullif(avg(s), 0)', 'mase')} from a group by key")
+_CV = (f"with p as ({prepared(MONTHLY)}), f as (select key, cast(k as integer) as fold, 24 + k * 6 as o from (select distinct key, n from p) a, unnest(generate_series(0, 30)) g(k) where 24 + k * 6 + 3 <= n), "
+       "c as (select f.key, 'naive' as model, fold, cast(t.i - o + 1 as integer) as h, t.y, b.y as f from f join p t on t.key = f.key and t.i >= o and t.i < o + 3 join p b on b.key = f.key and b.i = o - 1) ")
+for _exp in (True, False):
+    add(f"eval_cross_validate{'' if _exp else '_rolling'}", lambda sp, d, e=_exp: shown(evaluate.cross_validate(monthly(sp, d), S, ["naive"], 24, 3, 6, e), "key", "model", "fold", "h", "y", "yhat"), _CV + f"select key, model, fold, h, {r('y', 'y')}, {r('f', 'yhat')} from c")
+add("eval_cv_summary", lambda sp, d: shown(evaluate.cv_summary(evaluate.cross_validate(monthly(sp, d), S, ["naive"], 24, 3, 6), S), "key", "model", "folds", "mae", "rmse", "mae_std", "rmse_std"),
+    _CV + f", m as (select key, model, fold, avg(abs(y - f)) as mae, sqrt(avg(power(y - f, 2))) as rmse from c group by key, model, fold) select key, model, count(*) as folds, {r('avg(mae)', 'mae')}, {r('avg(rmse)', 'rmse')}, {r('stddev_samp(mae)', 'mae_std')}, {r('stddev_samp(rmse)', 'rmse_std')} from m group by key, model")
+add("eval_cv_models", lambda sp, d: shown(evaluate.cv_summary(evaluate.cross_validate(monthly(sp, d), S, ["ses", "holt", "theta", "seasonal_naive"], 36, 6, 12, period=12), S), "key", "model", "folds", "mae", "rmse"))
+add("eval_bootstrap", lambda sp, d: shown(evaluate.bootstrap_forecast(monthly(sp, d), S, "ses", 6, 40), "key", "h", "yhat", "lo", "hi"))
+add("eval_bootstrap_blocks", lambda sp, d: shown(evaluate.bootstrap_forecast(monthly(sp, d), S, "random_walk_with_drift", 6, 60, 4), "key", "h", "yhat", "lo", "hi"))
+
+
+def _ols(sp: SparkSession, d: str) -> DataFrame:
+    b = monthly(sp, d).withColumn("x", F.month("ds").cast("double"))
+    f = evaluate.ols_fit(b, _EXOG)
+    return shown(evaluate.ols_predict(b, _EXOG, f), "key", "ds", "prediction", "ols_residual", digits=3)
+
+
+add("eval_ols", _ols, f"with b as (select *, cast(month(ds) as double) as x from ({MONTHLY}) m), f as (select key, regr_slope(y, x) as b1, regr_intercept(y, x) as b0 from b group by key) "
+    "select b.key, epoch(ds)::bigint as t, round(b0 + b1 * x, 3) + 0.0e0 as prediction, round(y - b0 - b1 * x, 3) + 0.0e0 as ols_residual from b join f on f.key = b.key")
+
+# --- tests ------------------------------------------------------------------------------------
+
+_LB = (f"with p as (select *, y - avg(y) over ({P}) as d from ({prepared(DAILY)}) a), c as (select key, sum(d * d) as c0, max(n) as n from p group by key), l as (select unnest(generate_series(1, 10)) as lag), "
+       "x as (select a.key, lag, sum(a.d * b.d) as s from p a join l on true join p b on b.key = a.key and b.i = a.i - lag group by a.key, lag), q as (select x.key, max(n) as n, sum(power(s / c0, 2) / (n - lag)) * max(n) * (max(n) + 2) as lb, sum(power(s / c0, 2)) * max(n) as bp from x join c on c.key = x.key group by x.key) ")
+
+
+def _tail10(x: str) -> str:
+    """Upper tail of chi-squared with 10 degrees of freedom, in closed form."""
+    return f"exp(-{x} / 2) * (1 + {x} / 2 + power({x} / 2, 2) / 2 + power({x} / 2, 3) / 6 + power({x} / 2, 4) / 24)"
+
+
+for _n, _f, _c in (("test_ljung_box", stats_tests.ljung_box, "lb"), ("test_box_pierce", stats_tests.box_pierce, "bp")):
+    add(_n, lambda sp, d, f=_f: shown(f(daily(sp, d), S), "key", "statistic", "p_value", "lags", "df"), _LB + f"select key, {r(_c, 'statistic')}, {r(_tail10(_c), 'p_value')}, cast(10 as integer) as lags, cast(10 as integer) as df from q")
+add("test_white_noise", lambda sp, d: stats_tests.is_white_noise(stats_tests.ljung_box(daily(sp, d), S)).select("key", "white_noise"), _LB + f"select key, {_tail10('lb')} > 0.05 as white_noise from q")
+add("test_durbin_watson", lambda sp, d: shown(stats_tests.durbin_watson(hourly(sp, d), S), "key", "statistic", "interpretation"),
+    f"with q as (select key, sum(power(y - l1, 2)) / sum(y * y) as s from (select *, lag(y) over ({W}) as l1 from ({prepared(HOURLY)}) p) a group by key) select key, {r('s', 'statistic')}, case when s < 0.5 then 'positive_strong' when s < 1.5 then 'positive_weak' when s <= 2.5 then 'none' when s < 3.5 then 'negative_weak' else 'negative_strong' end as interpretation from q")
+_ADF = (f"with p as (select *, lag(y) over ({W}) as x from ({prepared(DAILY)}) a), e as (select key, i, n, x, y - x as e from p where i >= 1), g as (select key, lag, count(*) as m, regr_sxx(e, x) as xx, regr_sxy(e, x) as xy, regr_syy(e, x) as yy from e, unnest(generate_series(1, 13)) l(lag) "
+        "where i - 1 >= lag and lag <= greatest(1, least(floor(power(n - 1, 1.0 / 3)), n // 2 - 1)) group by key, lag), f as (select *, xy / xx as beta, yy - xy * xy / xx as rss from g), b as (select *, row_number() over (partition by key order by m * ln(rss / m) + 2 * (lag + 2), lag) as k from f), "
+        "t as (select key, lag, beta / sqrt(rss / (m - 2) / xx) as s from b where k = 1) ")
+add("test_adf", lambda sp, d: shown(stats_tests.adf_test(daily(sp, d), S), "key", "statistic", "lags", "is_stationary"), _ADF + f"select key, {r('s', 'statistic')}, cast(lag as integer) as lags, s < -2.86 as is_stationary from t")
+_KPSS = (f"with p as (select *, y - avg(y) over ({P}) as d from ({prepared(DAILY)}) a), u as (select *, sum(d) over ({W}) as c, cast(greatest(1, least(floor(4 * power(n / 100.0, 0.25)), n // 2)) as integer) as lags from p), v as (select key, max(n) as n, max(lags) as lags, sum(c * c) / (max(n) * 1.0 * max(n)) as num, sum(d * d) as c0 from u group by key), "
+         "w as (select a.key, sum(2 * (1 - j / (a.lags + 1.0)) * a.d * b.d / a.n) as s from u a, unnest(generate_series(1, 12)) g(j), u b where b.key = a.key and b.i = a.i - j and j <= a.lags group by a.key), k as (select v.key, lags, num / (c0 / n + s) as s from v join w on w.key = v.key) ")
+add("test_kpss", lambda sp, d: shown(stats_tests.kpss_test(daily(sp, d), S), "key", "statistic", "lags", "is_stationary"), _KPSS + f"select key, {r('s', 'statistic')}, lags, s < 0.463 as is_stationary from k")
+add("test_stationarity", lambda sp, d: stats_tests.test_stationarity(daily(sp, d), S).select("key", "conclusion"))
+
+# --- flagship ------------------------------------------------------------------------------------
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily revenue per priority on a regular grid: a fortnight's seasonal
+    forecast with bounds, beside the last week's mean and the overall trend."""
+    b = series.sanitize(series.fill_gaps(daily(spark, sf_dir), S, "1d"), S, "fill", 0.0)
+    f = forecasts.baseline(b, S, "seasonal_naive", 14, digits=3, period=7)
+    x = features.features(b, S, [("trend", "linear_trend", {})], digits=4)
+    w = transforms.rolling(b, S, 7, ("mean",)).where("i = n - 1").select("key", F.round("rolling_mean", 3).alias("last_week"))
+    return f.join(x, "key").join(w, "key")
+
+
+_GRID = f"with b as ({DAILY}), g as (select key, unnest(generate_series(min(ds), max(ds), interval 1 day)) as ds from b group by key) select g.key, g.ds, coalesce(y, 0.0) as y from g left join b on b.key = g.key and b.ds = g.ds"
+add("flagship", flagship, f"select f.*, x.trend, w.last_week from ({forecasts.oracle('seasonal_naive', prepared(_GRID), 14, digits=3, period=7)}) f join ({features.oracle([('trend', 'linear_trend', {})], prepared(_GRID), digits=4)}) x on x.key = f.key "
+    f"join (select key, round(avg(y), 3) as last_week from ({prepared(_GRID)}) p where i >= n - 7 group by key) w on w.key = f.key")
