@@ -69,6 +69,44 @@ QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_tokens, op4_suffixes,
 
 #: WARC types and references follow from payloads alone; the round trip through archives has to give the same.
 ORACLE_SQL = {
+    "op9_mixing": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens,
+                   md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+        ), t AS (
+            SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY source
+        ), p AS (
+            SELECT tokens / sum(tokens) OVER ()::DOUBLE AS share, min(tokens) OVER ()::DOUBLE AS least, sum(tokens) OVER ()::DOUBLE AS total, count(*) OVER () AS n FROM t WHERE tokens > 0
+        ), e AS (  -- bisection for the entropy
+            SELECT 0 AS k, 0::DOUBLE AS lo, 1::DOUBLE AS hi
+            UNION ALL
+            SELECT k + 1, CASE WHEN s >= goal THEN (lo + hi) / 2 ELSE lo END, CASE WHEN s >= goal THEN hi ELSE (lo + hi) / 2 END
+            FROM (SELECT k, lo, hi, ln(sum(pow(share, (lo + hi) / 2))) - (lo + hi) / 2 * sum(pow(share, (lo + hi) / 2) * ln(share)) / sum(pow(share, (lo + hi) / 2)) AS s,
+                         0.95 * ln(max(n)::DOUBLE) - 1e-12 AS goal FROM e, p WHERE k < 60 GROUP BY k, lo, hi) x
+        ), a AS (
+            SELECT CASE WHEN -sum(share * ln(share)) >= 0.95 * ln(max(n)::DOUBLE) - 1e-12 THEN 1 ELSE (SELECT lo FROM e WHERE k = 60) END::DOUBLE AS a0 FROM p
+        ), b AS (  -- bisection for the repeats
+            SELECT 0 AS k, (SELECT a0 FROM a) AS lo, 1::DOUBLE AS hi
+            UNION ALL
+            SELECT k + 1, CASE WHEN w > 4 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN w > 4 THEN hi ELSE (lo + hi) / 2 END
+            FROM (SELECT k, lo, hi, pow(max(least) / max(total), (lo + hi) / 2) / sum(pow(share, (lo + hi) / 2)) * max(total) / max(least) AS w FROM b, p WHERE k < 60 GROUP BY k, lo, hi) x
+        ), c AS (
+            SELECT CASE WHEN max(w0) <= 4 THEN max(a0) ELSE (SELECT lo FROM b WHERE k = 60) END AS alpha
+            FROM (SELECT a0, pow(max(least) / max(total), a0) / sum(pow(share, a0)) * max(total) / max(least) AS w0 FROM a, p GROUP BY a0) x
+        ), w AS (
+            SELECT source, tokens, CAST(floor(least(CASE WHEN tokens > 0 THEN pow(tokens / total, alpha) / z ELSE 0 END * total, 4.0 * tokens) + 1e-6) AS BIGINT) AS quota
+            FROM t, c, (SELECT sum(tokens)::DOUBLE AS total FROM t) s, (SELECT sum(pow(share, (SELECT alpha FROM c))) AS z FROM p) y
+        ), r AS (
+            SELECT doc_id, d.source, n_tokens, tokens, quota,
+                   CAST(sum(n_tokens) OVER (PARTITION BY d.source ORDER BY CAST('0x' || substr(h, 1, 7) AS BIGINT) % 4096, h, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+            FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source
+        ), q AS (
+            SELECT *, CASE WHEN tokens > 0 THEN quota // tokens ELSE 0 END AS passes FROM r
+        ), f AS (
+            SELECT *, unnest(range(passes + CASE WHEN n_tokens > 0 AND upto <= quota - passes * tokens THEN 1 ELSE 0 END)) AS epoch FROM q
+        )
+        SELECT doc_id, source, n_tokens, CAST(epoch AS INTEGER) AS epoch, CAST(CASE WHEN quota > 0 THEN greatest(0, (epoch * tokens + upto - 1) * 64 // quota) ELSE 0 END AS INTEGER) AS block FROM f
+    """,
     "op2_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm import audio, mixing, packing, pii, quality, queries, rans, simhash, spans, suffixes, tokens, vectors, warc
+from millrace.llm import audio, mixing, nearcopies, packing, pii, quality, queries, rans, simhash, spans, suffixes, tokens, vectors, warc
 from millrace.llm.common import connected_components, work_path
 
 DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
@@ -274,6 +274,37 @@ def test_simhash(spark, sf):
     assert spark.range(1).select(F.xxhash64(F.lit("a b c"))).first()[0] == np.uint64(__import__("xxhash").xxh64_intdigest(b"a b c", 42)).view(np.int64)
 
 
+def edited(rng, words, share):
+    """The words with a share of them replaced."""
+    return [f"new{rng.randrange(10**9)}" if rng.random() < share else w for w in words]
+
+
+@pytest.mark.parametrize("hot", [4, 2048])
+def test_near_copies(spark, hot):
+    rng = random.Random(12)
+    rows, family = [], {}
+    for g in range(40):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 600))]
+        for k in range(1 + 6 * (g % 3)):
+            i = len(rows)
+            rows.append((i, " ".join(base if k in (0, 3) else edited(rng, base, 0.02))))
+            family[i] = g
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and family[a] == family[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    want = components(sets, pairs)
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fp string"), hot=hot).collect()}
+    assert all(family[got[i]] == family[i] for i in got)
+    merged = [i for i in want if want[i] != i]
+    assert len(merged) > 30 and sum(got[i] != i for i in merged) >= 0.95 * len(merged)
+    for i, t in rows[:30]:
+        s = nearcopies.sketch(t.encode())
+        for j, u in rows[:30]:
+            assert abs(nearcopies.overlap(s, nearcopies.sketch(u.encode())) - len(sets[i] & sets[j]) / len(sets[i] | sets[j])) < 0.12
+    odd = nearcopies.near_copies(frame(spark, ODD)).collect()
+    assert sorted(map(str, (r["component_id"] for r in odd))) == sorted(map(str, [1, 1, 3, 4, 4, 4, 4, 1]))
+    assert nearcopies.near_copies(frame(spark, [])).count() == 0
+
+
 @pytest.mark.parametrize("hot", [3, 512])
 def test_simhash_links(spark, hot):
     rng = random.Random(6)
@@ -526,7 +557,7 @@ def test_pipeline(spark, sf):
     lost = docs.join(good, "doc_id", "left_anti").join(labels, "doc_id").groupBy("quality").count().collect()
     assert {r["quality"]: r["count"] for r in lost}.get(1, 0) <= 0.02 * labels.where("quality = 1").count()
     groups = defaultdict(set)
-    for r in simhash.near_duplicates(good).collect():
+    for r in nearcopies.near_copies(good).collect():
         groups[r["component_id"]].add(r["doc_id"])
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(groups)
     assert sum(r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] for r in pii.find_pii(masked).collect()) == 0
