@@ -84,7 +84,7 @@ for _f in features.FEATURES:
     add(f"feat_{_f}", lambda sp, d, q=_request: features.features(hourly(sp, d), S, [q], digits=6),
         _CLOSED.get(_f) if _f in _KERNELS else features.oracle([_request], prepared(HOURLY)))
 _ALL = [(f, f, _WITH.get(f, {})) for f in features.FEATURES if f not in _KERNELS]
-add("feat_all_native", lambda sp, d: features.features(daily(sp, d), S, [q for q in _ALL if q[0] not in ("kurtosis", "skewness")], digits=4), features.oracle([q for q in _ALL if q[0] not in ("kurtosis", "skewness")], prepared(DAILY), digits=4))
+add("feat_all_native", lambda sp, d: features.features(hourly(sp, d), S, _ALL, digits=6), features.oracle(_ALL, prepared(HOURLY)))
 for _attr in ("intercept", "r2", "stderr", "pvalue"):
     add(f"feat_linear_trend_{_attr}", lambda sp, d, a=_attr: features.features(daily(sp, d), S, [(f"trend_{a}", "linear_trend", {"attr": a})], digits=4),
         features.oracle([(f"trend_{_attr}", "linear_trend", {"attr": _attr})], prepared(DAILY), digits=4))
@@ -117,8 +117,8 @@ _Z = "case when abs(lam) < 1e-10 then ln(y) else (power(y, lam) - 1) / case when
 _BOX = (f"with b as ({HOURLY}), l as (select key, sum(ln(y)) as slog, count(*) as m from b group by key), g as (select unnest(generate_series(-200, 200)) / 100.0::double as lam), "
         f"v1 as (select key, lam, var_pop({_Z}) as v from b cross join g group by key, lam), f1 as (select v1.key, arg_max(lam, {_LLF}) as lam0 from v1 join l on l.key = v1.key group by v1.key), "
         f"v2 as (select key, lam, var_pop({_Z}) as v from (select b.key, y, lam0 - 0.1::double + k * 0.002::double as lam from b join f1 on f1.key = b.key cross join (select unnest(generate_series(0, 100)) as k) k) c group by key, lam), "
-        f"f2 as (select v2.key, arg_max(lam, {_LLF}) as lambda from v2 join l on l.key = v2.key group by v2.key) ")
-add("xf_boxcox_lambda", lambda sp, d: shown(transforms.boxcox_lambda(hourly(sp, d), S), "key", "lambda", digits=4), _BOX + "select key, round(lambda, 4) + 0.0e0 as lambda from f2")
+        f"f2 as (select v2.key, arg_max(lam, {_LLF}) as lam2 from v2 join l on l.key = v2.key group by v2.key) ")
+add("xf_boxcox_lambda", lambda sp, d: shown(transforms.boxcox_lambda(hourly(sp, d), S).withColumnRenamed("lambda", "lam"), "key", "lam", digits=4), _BOX + "select key, round(lam2, 4) + 0.0e0 as lam from f2")
 add("xf_boxcox_auto", lambda sp, d: shown(transforms.boxcox_auto(monthly(sp, d), S), "key", "ds", "y", "lambda", digits=4))
 add("xf_boxcox_shifted", lambda sp, d: shown(transforms.boxcox_shifted(hourly(sp, d).withColumn("y", F.col("y") - 3), S, 0.5), "key", "ds", "y", "shift"),
     f"with b as (select key, ds, y - 3 as y from ({HOURLY}) h), s as (select *, case when min(y) over ({P}) <= 0 then 1 - min(y) over ({P}) else 0.0 end as shift from b) select key, epoch(ds)::bigint as t, {r('(sqrt(y + shift) - 1) / 0.5', 'y')}, {r('shift', 'shift')} from s")
