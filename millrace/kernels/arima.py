@@ -59,22 +59,28 @@ class _Polynomials:
 
         return c, product(ar, sar, -1.0), product(ma, sma, 1.0)
 
-    def residuals(self, w: list[float], x: list[float]) -> list[float]:
+    def residuals(self, w: np.ndarray, x: list[float]) -> np.ndarray:
+        """Conditional residuals; zero before ``start``."""
         c, ar, ma = self.split(x)
-        e = [0.0] * len(w)
-        for t in range(self.start, len(w)):
-            f = c
-            for lag, a in ar:
-                f += a * (w[t - lag] - c)
+        n, d = len(w), w - c
+        u = d[self.start:].copy()
+        for lag, a in ar:
+            u -= a * d[self.start - lag:n - lag]
+        e = np.zeros(n)
+        if not ma:
+            e[self.start:] = u
+            return e
+        back = [0.0] * self.start
+        for t, v in enumerate(u.tolist(), self.start):
             for lag, b in ma:
-                f += b * e[t - lag]
-            e[t] = w[t] - f
-            if abs(e[t]) > 1e150:
+                v -= b * back[t - lag]
+            if abs(v) > 1e150:
                 raise OverflowError
-        return e
+            back.append(v)
+        return np.array(back)
 
 
-def sarima(y: np.ndarray, h: int, order: tuple[int, int, int] = (1, 1, 1), seasonal: tuple[int, int, int] = (0, 0, 0), period: int = 1) -> Fit:
+def sarima(y: np.ndarray, h: int, order: tuple[int, int, int] = (1, 1, 1), seasonal: tuple[int, int, int] = (0, 0, 0), period: int = 1, iterations: int | None = None) -> Fit:
     """Fits are one-step forecasts on the scale of y (NaN in the warm-up).
 
     Autoregressive terms are centred on the mean in both the plain and the
@@ -94,7 +100,8 @@ def sarima(y: np.ndarray, h: int, order: tuple[int, int, int] = (1, 1, 1), seaso
 
     def css(x: list[float]) -> float:
         try:
-            return sum(e * e for e in poly.residuals(values, x)[poly.start:])
+            e = poly.residuals(w, x)
+            return float(e @ e)
         except OverflowError:
             return 1e300
 
@@ -102,9 +109,9 @@ def sarima(y: np.ndarray, h: int, order: tuple[int, int, int] = (1, 1, 1), seaso
     x0 = [mean] + [0.1 / (i + 1) for i in range(p)] + [0.1 / (i + 1) for i in range(q)] + [0.1 / (i + 1) for i in range(sp)] + [0.1 / (i + 1) for i in range(sq)]
     spread = 10 * float(np.abs(w).max()) + 1
     box = [(-spread, spread)] + [(-0.99, 0.99)] * (len(x0) - 1)
-    x, sse = nelder_mead(css, x0, box, 2000 if any(seasonal) else 1000, 1e-8) if len(x0) > 1 else (x0, css(x0))
+    x, sse = nelder_mead(css, x0, box, iterations or (2000 if any(seasonal) else 1000), 1e-8) if len(x0) > 1 else (x0, css(x0))
     try:
-        e = poly.residuals(values, x)
+        e = poly.residuals(w, x)
     except OverflowError as why:
         raise ValueError("diverges") from why
     c, ar, ma = poly.split(x)
@@ -128,7 +135,7 @@ def sarima(y: np.ndarray, h: int, order: tuple[int, int, int] = (1, 1, 1), seaso
             future = np.array(joined[len(base):])
     for k in range(d - 1, -1, -1):
         future = levels[k][-1] + np.cumsum(future)
-    resid = np.array(e)
+    resid = e.copy()
     resid[:poly.start] = np.nan
     fitted = np.full(len(y), np.nan)
     fitted[len(y) - len(resid):] = y[len(y) - len(resid):] - resid
@@ -144,6 +151,7 @@ def arima(y: np.ndarray, h: int, order: tuple[int, int, int] = (1, 1, 1)) -> Fit
     return sarima(y, h, order)
 
 
+SEARCH_ITERATIONS = 150
 Order = tuple[tuple[int, int, int], tuple[int, int, int]]
 
 
@@ -168,7 +176,8 @@ def auto_arima(y: np.ndarray, h: int, period: int = 1, criterion: str = "aic", s
     """The best order by AIC or BIC: ``grid`` tries all candidates, ``exhaustive``
     all orders, ``stepwise`` climbs from three starts by single changes of order.
 
-    Likelihoods of different differences are compared as they are.
+    Likelihoods of different differences are compared as they are. Orders are
+    compared after ``SEARCH_ITERATIONS`` of the optimiser; the best is fitted fully.
     """
     need(y, max(10, 3 * period if period > 1 else 10))
     tried: dict[Order, Fit | None] = {}
@@ -176,7 +185,7 @@ def auto_arima(y: np.ndarray, h: int, period: int = 1, criterion: str = "aic", s
     def attempt(o: Order) -> float:
         if o not in tried:
             try:
-                tried[o] = sarima(y, h, o[0], o[1], period)
+                tried[o] = sarima(y, h, o[0], o[1], period, SEARCH_ITERATIONS)
             except (ValueError, OverflowError, ZeroDivisionError):
                 tried[o] = None
         fit = tried[o]
@@ -204,5 +213,6 @@ def auto_arima(y: np.ndarray, h: int, period: int = 1, criterion: str = "aic", s
     if not ok:
         raise ValueError("no order can be fitted")
     best = min(sorted(ok), key=lambda o: ok[o].info[criterion])
-    ok[best].info["tried"] = len(tried)
-    return ok[best]
+    fit = sarima(y, h, best[0], best[1], period)
+    fit.info["tried"] = len(tried)
+    return fit

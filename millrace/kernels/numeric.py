@@ -10,7 +10,8 @@ import numpy as np
 
 def nelder_mead(f: Callable[[list[float]], float], start: Sequence[float], bounds: Sequence[tuple[float, float]] | None = None, iterations: int = 1000, tol: float = 1e-8) -> tuple[list[float], float]:
     """Downhill simplex with reflection 1, expansion 2, contraction and shrinkage
-    one half, first steps of 5 % (0.05 from zero); points are clamped to bounds."""
+    one half, first steps of 5 % (0.05 from zero); points are clamped to bounds.
+    It ends when the simplex's values agree within ``tol``, relative to their size."""
     n = len(start)
 
     def clamp(x: list[float]) -> list[float]:
@@ -28,7 +29,7 @@ def nelder_mead(f: Callable[[list[float]], float], start: Sequence[float], bound
     simplex = sorted(((value(x), k, x) for k, x in enumerate(points)), key=lambda t: t[:2])
     for _ in range(iterations):
         best, worst = simplex[0], simplex[-1]
-        if abs(worst[0] - best[0]) < tol:
+        if abs(worst[0] - best[0]) < tol * (1 + abs(best[0])):
             break
         center = [sum(s[2][i] for s in simplex[:-1]) / n for i in range(n)]
 

@@ -72,7 +72,8 @@ def forecast(df: DataFrame, s: Series, models: Models, h: int, level: float = 0.
     grouped = _grouped(df, s, list(use))
     if future is None or not names:
         return grouped.applyInPandas(lambda key, pdf: fit(key, pdf), schema)
-    ahead = future.select(*s.keys, F.col("h").cast("int").alias("h"), *(cleaned(F.col(r)).alias(r) for r in names)).withColumn("model", F.explode(F.array(*map(F.lit, use))))
+    # renamed to themselves: future rows may come from the same frame as the history
+    ahead = future.select(*(F.col(k).alias(k) for k in s.keys), F.col("h").cast("int").alias("h"), *(cleaned(F.col(r)).alias(r) for r in names)).withColumn("model", F.explode(F.array(*map(F.lit, use))))
     return grouped.cogroup(ahead.groupBy(*s.keys, "model")).applyInPandas(lambda key, a, b: fit(key, a, b), schema)
 
 
