@@ -43,10 +43,10 @@ DAILY = "select o_orderpriority as key, date_trunc('day', o_orderdate)::timestam
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue a month in thousands, by order priority."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("key"), F.date_trunc("month", "o_orderdate").alias("ds"), "o_totalprice")
-    return o.groupBy("key", "ds").agg(F.round(F.sum("o_totalprice") / 1000, 3).alias("y"))
+    return o.groupBy("key", "ds").agg((F.round(F.sum("o_totalprice"), 2) / 1000).alias("y"))
 
 
-MONTHLY = "select o_orderpriority as key, date_trunc('month', o_orderdate)::timestamp as ds, round(sum(o_totalprice) / 1000, 3) as y from orders group by 1, 2"
+MONTHLY = "select o_orderpriority as key, date_trunc('month', o_orderdate)::timestamp as ds, round(sum(o_totalprice), 2) / 1000 as y from orders group by 1, 2"
 
 
 def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +75,8 @@ def shown(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
         kind = dict(df.dtypes)[c]
         if kind == "double":
             out.append((F.round(c, digits) + 0.0).alias(c))
-        elif kind == "timestamp":
-            out.append(F.unix_timestamp(c).alias("t" if c == "ds" else c))
+        elif kind in ("timestamp", "timestamp_ntz"):
+            out.append(F.unix_timestamp(F.col(c).cast("timestamp")).alias("t" if c == "ds" else c))
         else:
             out.append(F.col(c))
     return df.select(*out)

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import features, forecasts, stats_tests
+from ..functions import arrays, features, forecasts, stats_tests
 from ..kernels.registry import MODELS
 from ..operators import detect, evaluate, forecast, series, transforms
 from ..operators.series import Series
+from ..streaming import online
 from .base import DAILY, DEMAND, GAPPY, HOURLY, MONTHLY, S, daily, demand, gappy, hourly, monthly, prepared, shown, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,7 +137,7 @@ add("xf_suggest_differencing", lambda sp, d: transforms.suggest_differencing(dai
 
 _Q = "list_sort(list(y))"
 add("det_outliers_iqr", lambda sp, d: shown(detect.outliers(hourly(sp, d), S, "iqr"), "key", "i", "score", "is_outlier"),
-    f"with p as ({prepared(HOURLY)}), q as (select key, {_Q}[count(*) // 4 + 1] as q1, {_Q}[count(*) * 3 // 4 + 1] as q3 from p group by key), s as (select p.key, i, greatest(q1 - 1.5 * (q3 - q1) - y, y - q3 - 1.5 * (q3 - q1), 0.0) / nullif(q3 - q1, 0) as score from p join q on q.key = p.key) "
+    f"with p as ({prepared(HOURLY)}), q as (select key, {_Q}[count(*) // 4 + 1] as q1, {_Q}[count(*) * 3 // 4 + 1] as q3 from p group by key), s as (select p.key, i, coalesce(greatest(q1 - 1.5 * (q3 - q1) - y, y - q3 - 1.5 * (q3 - q1), 0.0) / nullif(q3 - q1, 0), 0.0) as score from p join q on q.key = p.key) "
     f"select key, i, {r('score', 'score')}, score > 0 as is_outlier from s")
 add("det_outliers_zscore", lambda sp, d: shown(detect.outliers(hourly(sp, d), S, "zscore"), "key", "i", "score", "is_outlier"),
     f"with s as (select key, i, abs(y - avg(y) over ({P})) / nullif(stddev_samp(y) over ({P}), 0) as score from ({prepared(HOURLY)}) p) select key, i, {r('score', 'score')}, score > 3.0 as is_outlier from s")
@@ -260,6 +261,44 @@ _KPSS = (f"with p as (select *, y - avg(y) over ({P}) as d from ({prepared(DAILY
 add("test_kpss", lambda sp, d: shown(stats_tests.kpss_test(daily(sp, d), S), "key", "statistic", "lags", "is_stationary"), _KPSS + f"select key, {r('s', 'statistic')}, lags, s < 0.463 as is_stationary from k")
 add("test_stationarity", lambda sp, d: stats_tests.test_stationarity(daily(sp, d), S).select("key", "conclusion"))
 
+# --- vectors, scalars, streams -----------------------------------------------------------------------
+
+
+def _vectors(sp: SparkSession, d: str) -> DataFrame:
+    """Ordered values ``a`` and the same, reversed, ``b``."""
+    v = series.prepare(hourly(sp, d), S).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "y"))), lambda r: r["y"]).alias("a"))
+    return v.withColumn("b", F.reverse("a"))
+
+
+#: A function of the columns a and b, and the same over rows.
+_REDUCE = {"total": (lambda a, b: arrays.total(a), "sum(y)"), "sum_of_squares": (lambda a, b: arrays.sum_of_squares(a), "sum(y * y)"), "dot": (arrays.dot, "sum(y * b)"), "mean": (lambda a, b: arrays.mean(a), "avg(y)"),
+           "variance": (lambda a, b: arrays.variance(a), "var_pop(y)"), "variance_sample": (lambda a, b: arrays.variance_sample(a), "var_samp(y)"), "stddev": (lambda a, b: arrays.stddev(a), "stddev_pop(y)"),
+           "maximum": (lambda a, b: arrays.maximum(a), "max(y)"), "minimum": (lambda a, b: arrays.minimum(a), "min(y)"), "median": (lambda a, b: arrays.median(a), "median(y)"), "squared_distance": (arrays.squared_distance, "sum(power(y - b, 2))"),
+           "l1_distance": (arrays.l1_distance, "sum(abs(y - b))"), "acf2": (lambda a, b: arrays.autocorrelation(a, 2), "sum((y - mu) * (l2 - mu)) / sum(power(y - mu, 2))")}
+_EACH = {"plus": (arrays.add, "y + b"), "minus": (arrays.sub, "y - b"), "times": (arrays.mul, "y * b"), "over": (arrays.div, "y / nullif(b, 0)"), "scaled": (lambda a, b: arrays.scale(a, 2.5), "y * 2.5"),
+         "z": (lambda a, b: arrays.zscore(a), "(y - mu) / nullif(sd, 0)"), "unit": (lambda a, b: arrays.minmax_normalize(a), "(y - lo) / nullif(hi - lo, 0)")}
+
+
+def _computed(sp: SparkSession, d: str, what: dict) -> DataFrame:
+    return _vectors(sp, d).select("key", *(f(F.col("a"), F.col("b")).alias(k) for k, (f, _) in what.items()))
+
+
+def _elementwise(sp: SparkSession, d: str) -> DataFrame:
+    x = _computed(sp, d, _EACH).select("key", F.posexplode(F.arrays_zip(*_EACH)).alias("i", "x"))
+    return shown(x.select("key", F.col("i").cast("long").alias("i"), *(F.col(f"x.{k}").alias(k) for k in _EACH)), "key", "i", *_EACH)
+
+
+_PAIRS = f"select p.key, p.i, p.y, q.y as b, avg(p.y) over (partition by p.key) as mu, lag(p.y, 2) over (partition by p.key order by p.i) as l2, min(p.y) over (partition by p.key) as lo, max(p.y) over (partition by p.key) as hi, stddev_pop(p.y) over (partition by p.key) as sd from ({prepared(HOURLY)}) p join ({prepared(HOURLY)}) q on q.key = p.key and q.i = p.n - 1 - p.i"
+add("vec_reductions", lambda sp, d: shown(_computed(sp, d, _REDUCE), "key", *_REDUCE), f"select key, {', '.join(r(x, k) for k, (_, x) in _REDUCE.items())} from ({_PAIRS}) v group by key")
+add("vec_elementwise", _elementwise, f"select key, i, {', '.join(r(x, k) for k, (_, x) in _EACH.items())} from ({_PAIRS}) v")
+_T = "sqrt(-2 * ln(case when p < 0.5 then p else 1 - p end))"
+add("scalar_normal_quantile", lambda sp, d: shown(sp.range(1, 1000).select("id", arrays.normal_quantile(F.col("id") / 1000).alias("z")), "id", "z"),
+    f"select id, round(case when p = 0.5 then 0 when p < 0.5 then -z else z end, 6) + 0.0e0 as z from (select id, p, t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t) as z from (select id, p, {_T} as t from (select id, id / 1000.0e0 as p from range(1, 1000) r(id)) a) b) c")
+add("scalar_erf", lambda sp, d: shown(sp.range(-30, 31).select("id", arrays.erf(F.col("id") / 10).alias("e")), "id", "e"),
+    "select id, round(sign(x) * (1 - ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-x * x)), 6) + 0.0e0 as e from (select id, x, 1 / (1 + 0.3275911 * abs(x)) as t from (select id, id / 10.0e0 as x from range(-30, 31) r(id)) a) b")
+add("stream_resample", lambda sp, d: shown(online.resample(table(sp, d, "events").select(F.col("event_type").alias("key"), F.col("ts").alias("ds"), F.lit(1.0).alias("y")), S, "6 hours"), "key", "ds", "y", "n"),
+    "select event_type as key, (epoch(ts)::bigint // 21600) * 21600 as t, cast(count(*) as double) as y, count(*) as n from events group by 1, 2")
+
 # --- flagship ------------------------------------------------------------------------------------
 
 
