@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import slices, written
 from .tokens import encoder, read_spec
 
 SEQUENCE = 2048
@@ -102,7 +102,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SEQUENCE, id_
         end = np.array([end_id], "<u4")
         part = TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
-        for b in batches:
+        for b in slices(batches):
             owner: list[int] = []
             rows: list[tuple[int, int, int, int, int, int]] = []
             for at, got in enumerate(enc.encode(b.column(1).to_pylist())):

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import slices
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("iban", "ssn", "account", "credential_url")
 KINDS = BASE_KINDS + EXTRA_KINDS
@@ -202,7 +204,7 @@ def redact_pii(docs: DataFrame, text_col: str = "text", length_col: str | None =
     length = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = [None if x is None else redact(x) for x in b.column(at).to_pylist()]
             cols = list(b.columns)
             cols[at] = pa.array(texts, b.column(at).type)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import slices, written
 from .tokens import encoder, read_spec
 
 MAGIC = b"MRANS1\n\0"
@@ -217,7 +217,7 @@ def write_archive(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_co
         doc_ids: list[int | None] = []
         ids: list[np.ndarray] = []
         held = 0
-        for b in batches:
+        for b in slices(batches):
             for d, i in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
                 doc_ids.append(d)
                 ids.append(np.concatenate((i, end)))

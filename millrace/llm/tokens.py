@@ -19,9 +19,9 @@ from tokenizers import Tokenizer
 
 #: Entries at which a worker's cache of pieces starts a new generation, keeping
 #: the one before; bounds memory only.
-MAX_CACHED = 300_000
+MAX_CACHED = 120_000
 #: Bytes of text that are cut and looked up at once; bounds memory only.
-BATCH_BYTES = 3_000_000
+BATCH_BYTES = 1_500_000
 
 _SPACE, _LETTER, _DIGIT, _PUNCT, _OTHER, _END = range(6)
 _END_BYTE = 0xFF  # occurs in no UTF-8 text
