@@ -4,7 +4,9 @@ Two bits of a fingerprint are a narrow radius: a text with one changed word in
 twenty differs in up to a dozen. This widens the SimHash operator's reach:
 fingerprints meet in tables keyed by random bits, each proposes its nearest
 neighbours there (pivot tables narrow whom it looks at), and a proposal holds
-if the texts' sets of five-word shingles overlap by 0.8 or more.
+if the texts' sets of five-word shingles overlap by 0.8 or more. This joins most
+copies in linear work; a join on the prefixes of the shingle sets then finds
+every other pair of that overlap, so the groups do not depend on the tables.
 """
 
 from __future__ import annotations
@@ -25,13 +27,16 @@ RADIUS = 12
 TABLES = 32
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Hashes of a text's shingle set that are kept, the smallest ones; sets up to this size are compared exactly.
+#: Hashes that a sketch keeps, the smallest ones; sets up to this size are compared exactly. Groups are made from whole sets.
 SKETCH = 512
+WHOLE = 1 << 62
 #: Fingerprints under a key before finer keys replace it.
 HOT_KEY = 2048
 FINER = 8
-#: Proposals of a fingerprint, over all tables, that are verified: the nearest.
+#: Proposals of a fingerprint, over all tables, that are verified before the prefix join: the nearest.
 BEST = 6
+#: Cells that count shingle hashes; the order of prefixes is by cell, the emptiest first.
+CELLS, CELL_BLOCK = 1 << 18, 1 << 12
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -143,38 +148,122 @@ def _proposals(nodes: DataFrame, radius: int, tables: int, hot: int) -> DataFram
     return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _cells(sets: DataFrame) -> np.ndarray:
+    """Shingle hashes of all sets by cell."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(CELLS, np.int64)
+        for b in batches:
+            np.add.at(out, np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4") % CELLS, 1)
+        parts = out.reshape(-1, CELL_BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "counts"])
+
+    def total(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(CELL_BLOCK, np.int64)
+        for x in cols[1]:
+            out += np.frombuffer(x, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0][:1]), pa.array([out.tobytes()], pa.binary())], ["block", "counts"])
+
+    kind = "block long, counts binary"
+    got = sorted(map(tuple, map_runs(sets.select("set").mapInArrow(count, kind), ["block"], [], total, kind, 1).collect()))
+    return np.concatenate([np.frombuffer(x, np.int64) for _, x in got]) if got else np.zeros(CELLS, np.int64)
+
+
+def prefix(hashes: np.ndarray, cells: np.ndarray, similarity: float) -> np.ndarray:
+    """The first hashes of a set, by count of their cell and value, of which two
+    sets that overlap by ``similarity`` share one at least."""
+    n = len(hashes)
+    k = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    return hashes[np.lexsort((hashes, cells[hashes % CELLS]))[:k]] if n else hashes
+
+
+def candidates(n: np.ndarray, at: np.ndarray, component: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs, among sets that share a hash, of different components
+    that may overlap by ``similarity``, judged by the sizes ``n`` (ascending) and
+    the places ``at`` of the hash in the sets."""
+    stop = np.searchsorted(n, n / similarity + 1e-9, "right")
+    for s in range(0, len(n), 256):
+        e = min(len(n), s + 256)
+        j = np.arange(s, int(stop[s:e].max()))
+        i = np.arange(s, e)[:, None]
+        most = np.minimum(n[i] - at[i], n[j] - at[j])
+        ok = (j > i) & (j < stop[i]) & (component[i] != component[j]) & (most * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-6)
+        x, y = np.nonzero(ok)
+        if len(x):
+            yield x + s, y + s
+
+
+def _rest(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a``, ``b`` of nodes of different ``component`` that may overlap by
+    ``similarity``: all that do, and others."""
+    cells = _cells(nodes)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [np.frombuffer(x.as_py(), "<u4") for x in b.column(2)]
+            keys = [prefix(x, cells, similarity) for x in sets]
+            size = np.fromiter(map(len, keys), np.int64, len(keys))
+            if not size.sum():
+                continue
+            cols = [np.concatenate(keys).astype(np.int64), np.repeat(np.fromiter(map(len, sets), np.int64, len(sets)), size), np.concatenate([np.arange(k) for k in size.tolist()]),
+                    np.repeat(b.column(0).to_numpy(), size), np.repeat(b.column(1).to_numpy(), size)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "n", "at", "node", "component"])
+
+    def group(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        _, n, at, node, component = cols
+        for i, j in candidates(n, at, component, similarity):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+
+    rows = nodes.select("node", "component", "set").mapInArrow(spread, "key long, n long, at long, node long, component long")
+    return map_runs(rows, ["key"], ["n"], group, "a long, b long").distinct()
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, tables: int = TABLES, hot: int = HOT_KEY) -> DataFrame:
     """Per row: the id and ``component_id``, the smallest id reachable over links.
 
-    Texts of one fingerprint (copies among them) are linked. Two fingerprints
-    are if one is among the other's ``BEST`` nearest that the tables propose
-    (three, and the nearest smaller one, a table), within ``radius`` bits, and
-    their shingle sets overlap by ``similarity``; so work and output stay linear
-    in a group of copies. Null and wordless texts are one
-    group; null ids never name a component. Other columns are ignored.
+    Two texts are linked if their sets of five-word shingles overlap by
+    ``similarity``, compared whole (as 32-bit hashes). Texts of equal sets are
+    one node. Nodes of one fingerprint are compared with the first of them, and
+    fingerprints with the ``BEST`` nearest that the tables propose (three, and the
+    nearest smaller one, a table, within ``radius`` bits); that joins groups of
+    copies in linear work. Then all pairs of different groups that share a hash in
+    the prefixes of their sets are compared, which are all that may be linked:
+    ``radius``, ``tables`` and ``hot`` change the work and not the groups. Null
+    and wordless texts are one group; null ids never name a component. Other
+    columns are ignored.
     """
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts = [t.as_py() for t in b.column(1)]
             fps = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array([sketch(t) for t in texts], pa.binary())], ["id", "fp", "sketch"])
+            sets = [sketch(t, size=WHOLE) for t in texts]
+            nodes = np.fromiter(map(xxhash.xxh3_64_intdigest, sets), np.uint64, len(sets))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64)), pa.array(sets, pa.binary())], ["id", "fp", "node", "set"])
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").cast("binary").alias("text"))
-    rows = written(rows.mapInArrow(prints, "id long, fp long, sketch binary"), "prints")
-    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("low"), F.min_by("sketch", F.struct(F.col("id").isNull(), "id", "sketch")).alias("sketch")), "nodes")
-    pairs = written(_proposals(nodes, radius, tables, hot), "proposals")
+    rows = written(rows.mapInArrow(prints, "id long, fp long, node long, set binary"), "prints")
+    nodes = written(rows.groupBy("node").agg(F.min("id").alias("low"), F.min("fp").alias("fp"), F.first("set").alias("set")), "nodes")
+    firsts = written(nodes.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [overlap(x, y) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            ok = [overlap(x.as_py(), y.as_py(), WHOLE) >= similarity for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    s = nodes.select("fp", "sketch")
-    both = pairs.join(s.withColumnRenamed("fp", "a").withColumnRenamed("sketch", "x"), "a").join(s.withColumnRenamed("fp", "b").withColumnRenamed("sketch", "y"), "b")
-    comp = connected_components(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
-    named = written(nodes.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("component")), "named")
+    def verified(pairs: DataFrame) -> DataFrame:
+        s = nodes.select("node", "set")
+        both = pairs.join(s.withColumnRenamed("node", "a").withColumnRenamed("set", "x"), "a").join(s.withColumnRenamed("node", "b").withColumnRenamed("set", "y"), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+    same = nodes.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = _proposals(firsts, radius, tables, hot)
+    near = near.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    some = written(connected_components(verified(written(same.unionByName(near), "proposals"))), "groups")
+    grouped = written(nodes.join(some, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "set"), "grouped")
+    rest = verified(written(_rest(grouped, similarity), "rest"))
+    comp = connected_components(some.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
+    named = written(nodes.join(comp, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component")), "named")
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    return rows.select("id", "fp").join(named.join(lows, "component").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "component_id")
+    return rows.select("id", "node").join(named.join(lows, "component").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
