@@ -32,3 +32,16 @@ def revised(base, at, rng):
     for k in at:
         out[k] = f"x{rng.randrange(10**9)}"
     return out
+
+
+def test_subclusters_are_joined(spark):
+    """Two families of eight light revisions each, whose bases overlap by over 0.8."""
+    rng, families = random.Random(2), 30
+    rows = []
+    for _ in range(families):
+        base = words(rng, 600)
+        other = base[:540] + words(rng, 60)
+        for b in (base, other):
+            rows += [(len(rows) + k, " ".join(revised(b, [rng.randrange(5, 530)] if k else [], rng))) for k in range(8)]
+    got = groups(spark, rows)
+    assert all(got[i] == i // 16 * 16 for i in got)
