@@ -45,3 +45,23 @@ def test_subclusters_are_joined(spark):
             rows += [(len(rows) + k, " ".join(revised(b, [rng.randrange(5, 530)] if k else [], rng))) for k in range(8)]
     got = groups(spark, rows)
     assert all(got[i] == i // 16 * 16 for i in got)
+
+
+@pytest.mark.parametrize("tables", [1, 32])
+def test_groups_do_not_depend_on_tables(spark, tables):
+    """Narrow tables and crowded keys as a large corpus has them, against brute force."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(40):
+        base = words(rng, 300)
+        rows += [(len(rows) + k, " ".join(revised(base, rng.sample(range(300), 3 * k), rng))) for k in range(5)]
+    sets = [np.frombuffer(nearcopies.sketch(t.encode(), size=1 << 62), "<u4") for _, t in rows]
+    low = list(range(len(rows)))
+    for _ in range(6):
+        for i in low:
+            for j in range(i // 5 * 5, i // 5 * 5 + 5):
+                n = len(np.intersect1d(sets[i], sets[j]))
+                if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+                    low[i] = low[j] = min(low[i], low[j])
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(spark.createDataFrame(rows, ROWS), tables=tables, hot=2).collect()}
+    assert got == dict(enumerate(low))
