@@ -47,6 +47,22 @@ def test_subclusters_are_joined(spark):
     assert all(got[i] == i // 16 * 16 for i in got)
 
 
+def test_far_fingerprints_are_joined(spark):
+    """An overlap just over 0.8, from one replaced block, in whole sets over the sketch size."""
+    rng = random.Random(3)
+    rows, far = [], 0
+    for _ in range(150):
+        base = words(rng, 1000)
+        two = [" ".join(base), " ".join(base[:892] + words(rng, 108))]
+        sets = [{tuple(t.split()[k:k + 5]) for k in range(996)} for t in two]
+        assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.8
+        far += (nearcopies.fingerprint(two[0].encode()) ^ nearcopies.fingerprint(two[1].encode())).bit_count() > nearcopies.RADIUS
+        rows += [(len(rows) + k, t) for k, t in enumerate(two)]
+    assert far
+    got = groups(spark, rows)
+    assert sum(got[i] == i // 2 * 2 for i in got) == len(rows)
+
+
 @pytest.mark.parametrize("tables", [1, 32])
 def test_groups_do_not_depend_on_tables(spark, tables):
     """Narrow tables and crowded keys as a large corpus has them, against brute force."""
