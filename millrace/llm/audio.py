@@ -133,6 +133,32 @@ def fingerprints(df: DataFrame, c: Chroma, id_col: str, audio_col: str) -> DataF
     return df.select(df[id_col].cast("long").alias("id"), df[audio_col].cast("binary").alias("audio")).mapInArrow(run, schema)
 
 
+def _verified(pairs: DataFrame, errors: float) -> DataFrame:
+    """Alignments whose share of differing bits is at most ``errors``, with it."""
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x, y, o in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), b.column(2).to_pylist(), strict=True):
+                u, v = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                u, v = u[max(0, o):], v[max(0, -o):]
+                n = min(len(u), len(v))
+                out.append(float(np.bitwise_count(u[:n] ^ v[:n]).mean() / 32) if n else 1.0)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.float64())], ["id", "match_id", "offset", "votes", "bit_errors"])
+
+    seen = pairs.select("id", "match_id", "offset", "votes", "codes", "other").mapInArrow(verify, "id long, match_id long, offset long, votes long, bit_errors double")
+    return seen.where(F.col("bit_errors") <= errors)
+
+
+def _with_matches(prints: DataFrame, seen: DataFrame, id_col: str) -> DataFrame:
+    """Every recording, with its sums and the match of ``seen``."""
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = b.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array([zlib.crc32(x) for x in packed], pa.int64())], ["id", "n_frames", "n_codes", "codes_crc32"])
+
+    return prints.mapInArrow(sums, "id long, n_frames long, n_codes long, codes_crc32 long").join(seen, "id", "left").withColumnRenamed("id", id_col)
+
+
 def align(df: DataFrame, c: Chroma, id_col: str = "id", audio_col: str = "audio") -> DataFrame:
     """One row per recording: the id, ``n_frames``, ``n_codes``, ``codes_crc32``,
     and of its best alignment with an earlier recording (smaller id) ``match_id``,
@@ -167,22 +193,41 @@ def align(df: DataFrame, c: Chroma, id_col: str = "id", audio_col: str = "audio"
     best = best.select("id", (-F.col("b.m")).alias("match_id"), F.col("b.offset").alias("offset"), F.col("b.votes").alias("votes"))
     pairs = best.join(unique, "id").join(unique.select(F.col("id").alias("match_id"), F.col("codes").alias("other")), "match_id")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for x, y, o in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), b.column(2).to_pylist(), strict=True):
-                u, v = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                u, v = u[max(0, o):], v[max(0, -o):]
-                n = min(len(u), len(v))
-                out.append(float(np.bitwise_count(u[:n] ^ v[:n]).mean() / 32) if n else 1.0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.float64())], ["id", "match_id", "offset", "votes", "bit_errors"])
+    return _with_matches(prints, written(_verified(pairs, c.errors), "matches"), id_col)
 
-    seen = pairs.select("id", "match_id", "offset", "votes", "codes", "other").mapInArrow(verify, "id long, match_id long, offset long, votes long, bit_errors double")
-    seen = written(seen.where(F.col("bit_errors") <= c.errors), "matches")
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            packed = b.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array([zlib.crc32(x) for x in packed], pa.int64())], ["id", "n_frames", "n_codes", "codes_crc32"])
+def align_all(df: DataFrame, c: Chroma, id_col: str = "id", audio_col: str = "audio") -> DataFrame:
+    """As :func:`align`, over every code and place of every earlier recording
+    (``every`` is not used): all alignments of ``votes`` or more are verified, and
+    of those that hold the one with the most votes is taken, then the one with the
+    smallest id and offset. Recordings of equal codes match the earliest of them
+    however few their codes are.
 
-    return prints.mapInArrow(sums, "id long, n_frames long, n_codes long, codes_crc32 long").join(seen, "id", "left").withColumnRenamed("id", id_col)
+    Recordings of equal codes are one in the index. The votes of a code grow with
+    the square of the different recordings and places that hold it.
+    """
+    prints = written(fingerprints(df, c, id_col, audio_col), "prints")
+    unique = prints.where("id is not null").groupBy("id").agg(F.max(F.struct(F.octet_length("codes").alias("n"), F.col("codes").alias("codes"))).alias("x")).select("id", "x.codes")
+    unique = written(unique.where(F.octet_length("codes") > 0), "recordings")
+    firsts = written(unique.groupBy("codes").agg(F.min("id").alias("id")).select("id", "codes"), "firsts")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = b.column(1).to_pylist()
+            n = np.array([len(x) // 4 for x in packed], np.int64)
+            at = np.concatenate([np.arange(k) for k in n.tolist()]) if len(n) else n
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int64)), pa.array(at)], ["id", "code", "at"])
+
+    index = written(firsts.mapInArrow(explode, "id long, code long, at long"), "codes")
+    there = index.select("code", F.col("id").alias("match_id"), F.col("at").alias("there"))
+    votes = index.join(there, "code").where("match_id < id").groupBy("id", "match_id", (F.col("at") - F.col("there")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+    votes = written(votes.where(F.col("votes") >= c.votes), "votes")
+    pairs = votes.join(firsts, "id").join(firsts.select(F.col("id").alias("match_id"), F.col("codes").alias("other")), "match_id")
+    best = _verified(pairs, c.errors).groupBy("id").agg(F.max(F.struct("votes", (-F.col("match_id")).alias("m"), (-F.abs("offset")).alias("a"), "offset", "bit_errors")).alias("b"))
+    best = written(best.select(F.col("id").alias("first"), F.col("b.votes").alias("votes"), (-F.col("b.m")).alias("match_id"), F.col("b.offset").alias("offset"), F.col("b.bit_errors").alias("bit_errors")), "best")
+    # a copy has all votes with the first of its codes; only an earlier recording that holds them all goes before it
+    rows = unique.join(firsts.withColumnRenamed("id", "first"), "codes").select("id", "first", F.floor(F.octet_length("codes") / 4).cast("long").alias("n")).join(best, "first", "left")
+    own = (F.col("id") != F.col("first")) & (F.coalesce("votes", F.lit(0)) < F.col("n"))
+    seen = rows.select("id", F.when(own, F.col("first")).otherwise(F.col("match_id")).alias("match_id"), F.when(own, 0).otherwise(F.col("offset")).alias("offset"),
+                       F.when(own, F.col("n")).otherwise(F.col("votes")).alias("votes"), F.when(own, 0.0).otherwise(F.col("bit_errors")).alias("bit_errors"))
+    return _with_matches(prints, written(seen.where("match_id is not null"), "matches"), id_col)

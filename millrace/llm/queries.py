@@ -62,7 +62,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.align(table(spark, sf_dir, "documents"), TEXT_AS_SOUND, "doc_id", "text")
+    return audio.align_all(table(spark, sf_dir, "documents"), TEXT_AS_SOUND, "doc_id", "text")
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_tokens, op4_suffixes, op5_simhash, op6_quality, op7_packing, op8_vectors, op9_mixing, op10_chroma)}
