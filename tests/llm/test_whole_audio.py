@@ -48,3 +48,10 @@ def test_all_codes_and_places(spark, tmp_path):
     want = scan(prints)
     missed = [i for i, w in want.items() if (None if got[i]["match_id"] is None else (got[i]["votes"], -got[i]["match_id"], -abs(got[i]["offset"]), got[i]["offset"])) != w]
     assert not missed and sum(w is not None for w in want.values()) > 12
+
+
+def test_short_copies_match(spark, tmp_path):
+    rows = recordings()
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["match_id"] for r in queries.op10_chroma(spark, str(tmp_path)).collect()}
+    assert [got[18 + k] for k in range(12)] == [6 + k for k in range(12)]
