@@ -12,7 +12,7 @@ from ..kernels.registry import MODELS
 from ..operators import detect, evaluate, forecast, series, transforms
 from ..operators.series import Series
 from ..streaming import online
-from .base import DAILY, DEMAND, GAPPY, HOURLY, MONTHLY, S, daily, demand, gappy, hourly, monthly, prepared, shown, table
+from .base import DAILY, DEMAND, GAPPY, HOURLY, MONTHLY, S, daily, demand, demand_50, gappy, hourly, monthly, prepared, shown, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,7 +178,7 @@ add("dec_strengths", lambda sp, d: shown(detect.strengths(detect.decompose(month
 
 _FC = {"seasonal_naive": {"period": 7}, "seasonal_window_average": {"period": 7, "window": 3}, "simple_moving_average": {"window": 14}, "ses_fixed": {"alpha": 0.3}}
 for _m in forecasts.MODELS:
-    _base, _frame = (DEMAND, demand) if _m in ("croston", "croston_sba", "tsb") else (DAILY, daily)
+    _base, _frame = (DEMAND, demand_50) if _m in ("croston", "croston_sba", "tsb") else (DAILY, daily)
     add(f"fc_{_m}", lambda sp, d, m=_m, f=_frame: forecasts.baseline(f(sp, d), S, m, 14, digits=3, **_FC.get(m, {})), forecasts.oracle(_m, prepared(_base), 14, digits=3, **_FC.get(_m, {})))
 _INTERMITTENT = ("croston", "croston_sba", "tsb", "adida", "imapa")
 for _m in MODELS:
