@@ -156,18 +156,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = connected_components(links(nodes.select("fp", F.col("fp").alias("node")), radius))
     named = nodes.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     named = written(named, "named")
-    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    lows = written(named.groupBy("component").agg(F.min("low").alias("component_id")), "lows")
     named = named.join(lows, "component").select("fp", "component_id")
     return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows whose id names its group, of rows with one id the first by text, and rows with a null id."""
+    keep = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("id")).distinct()
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row")).join(keep, "id", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("text"))
+    one = rows.withColumn("rank", rank).where("rank = 1").select("row.*")
+    return one.unionByName(docs.where(docs[id_col].isNull()))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest
     id; all columns unchanged. Rows that repeat that id are one document, of
     which the first by text stays. Rows with a null id all stay."""
-    groups = near_duplicates(docs, id_col, text_col, radius, shingle)
-    keep = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
-    rows = docs.join(keep, F.col(id_col) == F.col("__keep"), "left_semi")
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    one = rows.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    return first_of_groups(docs, near_duplicates(docs, id_col, text_col, radius, shingle), id_col, text_col)

@@ -81,3 +81,32 @@ def test_groups_do_not_depend_on_tables(spark, tables):
                     low[i] = low[j] = min(low[i], low[j])
     got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(spark.createDataFrame(rows, ROWS), tables=tables, hot=2).collect()}
     assert got == dict(enumerate(low))
+
+
+def test_parity_bounds_differences():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        x, y = (np.unique(rng.integers(0, 2000, rng.integers(1, 900)).astype("<u4")) for _ in range(2))
+        bits = np.frombuffer(nearcopies.parity(x) + nearcopies.parity(y), "<u8").reshape(2, -1)
+        assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(x, y))
+
+
+@pytest.mark.parametrize("hot", [2, 5, 2048])
+def test_pieces_hold_every_pair(spark, hot):
+    """Cut or whole, a key's rows of different components meet."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(6), 10, 0, i, rng.choice([0, 0, 0, 0, i]), b"") for i in range(150)]
+    got = nearcopies._pieces(spark.createDataFrame(rows, "key int, n int, at int, node long, component long, bits binary"), hot).collect()
+    groups, met = {}, set()
+    for r in got:
+        groups.setdefault((r["key"], r["x"], r["y"]), []).append((r["node"], r["component"]))
+    for g in groups.values():
+        met |= {(min(a, b), max(a, b)) for a, c in g for b, d in g if c != d}
+    assert met == {(a[3], b[3]) for a in rows for b in rows if a[3] < b[3] and a[0] == b[0] and a[4] != b[4]}
+
+
+def test_keep_first_with_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 7, 8, 9), (2, "a b c d e f", 7, 8, 9), (1, "a b c d e f", 6, 8, 9), (None, None, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rank long, id long, row long")
+    got = nearcopies.keep_first(df)
+    assert got.columns == df.columns and sorted(map(str, (r["doc_id"] for r in got.collect()))) == ["1", "None"]
