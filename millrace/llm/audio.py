@@ -3,7 +3,12 @@
 Recordings become frames of pitch-class energy; 16 rectangle filters over the
 integral image of the frames, each quantised to two bits, give a packed 32-bit
 code per frame. Codes vote for an earlier recording and an offset, and the
-best-supported alignment is verified by its bit errors.
+best-supported alignments are verified by their bit errors.
+
+Short codes collide by chance, far more often than recordings match, so votes
+are counted where the codes are: recordings are dealt into blocks of a bounded
+number of codes, two blocks meet in a task, and only the best alignment of each
+recording leaves it.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import written
+from .runs import map_runs
 
 CLASSES = 12
 
@@ -41,6 +47,10 @@ class Chroma:
     errors: float = 0.15
 
 
+#: Codes of a block, collisions of codes that are counted at once, and bits of the cells that first count them.
+BLOCK_CODES = 3_000_000
+COLLISIONS = 1 << 18
+CELLS = 20
 #: Widest filter in frames; a recording has that many codes less one than frames.
 WIDEST = 16
 
@@ -196,34 +206,119 @@ def align(df: DataFrame, c: Chroma, id_col: str = "id", audio_col: str = "audio"
     return _with_matches(prints, written(_verified(pairs, c.errors), "matches"), id_col)
 
 
-def align_all(df: DataFrame, c: Chroma, id_col: str = "id", audio_col: str = "audio") -> DataFrame:
+class _Side:
+    """Recordings of a block, by ascending id: their codes one after the other,
+    and the places of each code in order."""
+
+    def __init__(self, ids: np.ndarray, packed: list[bytes]):
+        order = np.argsort(ids, kind="stable")
+        self.ids = ids[order]
+        n = np.fromiter((len(x) // 4 for x in packed), np.int64, len(packed))[order]
+        self.codes = np.frombuffer(b"".join([packed[k] for k in order.tolist()]), "<u4")
+        self.start = np.concatenate(([0], np.cumsum(n)))
+        self.owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        self.keys = np.sort(self.codes.astype(np.uint64) << np.uint64(32) | np.arange(len(self.codes), dtype=np.uint64))
+
+
+def _collisions(x: _Side, y: _Side) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of equal codes, of ``x`` and of earlier recordings of ``y``, for a few
+    whole recordings of ``x`` at a time."""
+    code = x.codes.astype(np.uint64) << np.uint64(32)
+    before = y.start[np.searchsorted(y.ids, x.ids, "left")].astype(np.uint64)  # places of earlier recordings
+    low, high = np.searchsorted(y.keys, code, "left"), np.searchsorted(y.keys, code | before[x.owner], "left")
+    place = (y.keys & np.uint64(0xFFFFFFFF)).astype(np.int32)
+    upto = np.concatenate(([0], np.cumsum(high - low)))[x.start]
+    first = 0
+    while first < len(x.ids):
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] + COLLISIONS, "right")) - 1)
+        a, b = x.start[first], x.start[last]
+        count = high[a:b] - low[a:b]
+        if upto[last] > upto[first]:
+            p = np.repeat(np.arange(a, b, dtype=np.int32), count)
+            yield p, place[np.arange(len(p)) + np.repeat(low[a:b] - (np.cumsum(count) - count), count)]
+        first = last
+
+
+def _errors(x: _Side, y: _Side, i: np.ndarray, j: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Share of differing bits where recording ``i`` of ``x``, ``offset`` codes ahead, overlaps ``j`` of ``y``."""
+    u, v = x.start[i] + np.maximum(0, offset), y.start[j] + np.maximum(0, -offset)
+    n = np.minimum(x.start[i + 1] - u, y.start[j + 1] - v)
+    out, upto = np.empty(len(i)), np.concatenate(([0], np.cumsum(n)))
+    first = 0
+    while first < len(i):
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] + COLLISIONS, "right")) - 1)
+        k = n[first:last]
+        step = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+        bits = np.bitwise_count(x.codes[np.repeat(u[first:last], k) + step] ^ y.codes[np.repeat(v[first:last], k) + step])
+        out[first:last] = np.add.reduceat(bits, np.cumsum(k) - k, dtype=np.int64) / k / 32
+        first = last
+    return out
+
+
+def best_alignments(x: _Side, y: _Side, c: Chroma) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each recording of ``x`` that has one, the best alignment with an earlier
+    one of ``y``: id, match_id, offset, votes, bit errors. Cells of a hash of
+    recordings and offset count collisions first, so that only those of cells with
+    enough of them are sorted."""
+    for p, q in _collisions(x, y):
+        i, ahead = x.owner[p], p - q  # of one recording, this names the offset and the other one
+        cell = (i.view(np.uint32) * np.uint32(0x9E3779B1) + ahead.view(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - CELLS)
+        some = np.bincount(cell, minlength=1 << CELLS)[cell] >= c.votes
+        i, j = i[some].astype(np.int64), y.owner[q[some]].astype(np.int64)
+        offset = p[some] - x.start[i] - (q[some] - y.start[j])
+        if not len(i):
+            continue
+        order = np.lexsort((offset, j, i))
+        i, j, offset = i[order], j[order], offset[order]
+        new = np.ones(len(i), bool)
+        new[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (offset[1:] != offset[:-1])
+        at = np.flatnonzero(new)
+        votes = np.diff(np.append(at, len(i)))
+        at, votes = at[votes >= c.votes], votes[votes >= c.votes]
+        i, j, offset = i[at], j[at], offset[at]
+        errors = _errors(x, y, i, j, offset)
+        ok = errors <= c.errors
+        i, j, offset, votes, errors = i[ok], j[ok], offset[ok], votes[ok], errors[ok]
+        order = np.lexsort((offset, -np.abs(offset), -y.ids[j], votes, i))
+        top = order[np.append(i[order][1:] != i[order][:-1], True)] if len(order) else order
+        yield x.ids[i[top]], y.ids[j[top]], offset[top], votes[top], errors[top]
+
+
+def align_all(df: DataFrame, c: Chroma, id_col: str = "id", audio_col: str = "audio", block: int = BLOCK_CODES) -> DataFrame:
     """As :func:`align`, over every code and place of every earlier recording
     (``every`` is not used): all alignments of ``votes`` or more are verified, and
     of those that hold the one with the most votes is taken, then the one with the
     smallest id and offset. Recordings of equal codes match the earliest of them
     however few their codes are.
 
-    Recordings of equal codes are one in the index. The votes of a code grow with
-    the square of the different recordings and places that hold it.
+    Recordings of equal codes are one in the index. Blocks of ``block`` codes (a
+    recording is never cut) meet two at a time: what travels and what is counted
+    grows with the square of the different recordings.
     """
     prints = written(fingerprints(df, c, id_col, audio_col), "prints")
     unique = prints.where("id is not null").groupBy("id").agg(F.max(F.struct(F.octet_length("codes").alias("n"), F.col("codes").alias("codes"))).alias("x")).select("id", "x.codes")
     unique = written(unique.where(F.octet_length("codes") > 0), "recordings")
     firsts = written(unique.groupBy("codes").agg(F.min("id").alias("id")).select("id", "codes"), "firsts")
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            packed = b.column(1).to_pylist()
-            n = np.array([len(x) // 4 for x in packed], np.int64)
-            at = np.concatenate([np.arange(k) for k in n.tolist()]) if len(n) else n
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int64)), pa.array(at)], ["id", "code", "at"])
-
-    index = written(firsts.mapInArrow(explode, "id long, code long, at long"), "codes")
-    there = index.select("code", F.col("id").alias("match_id"), F.col("at").alias("there"))
-    votes = index.join(there, "code").where("match_id < id").groupBy("id", "match_id", (F.col("at") - F.col("there")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    votes = written(votes.where(F.col("votes") >= c.votes), "votes")
-    pairs = votes.join(firsts, "id").join(firsts.select(F.col("id").alias("match_id"), F.col("codes").alias("other")), "match_id")
-    best = _verified(pairs, c.errors).groupBy("id").agg(F.max(F.struct("votes", (-F.col("match_id")).alias("m"), (-F.abs("offset")).alias("a"), "offset", "bit_errors")).alias("b"))
+    total = firsts.agg(F.sum(F.octet_length("codes").cast("long"))).first()[0] or 0
+    blocks = total // (4 * block) + 1
+    own = F.expr(f"pmod(xxhash64(id), {blocks})")
+    meet = F.expr(f"transform(sequence(0L, {blocks - 1}), o -> named_struct('x', least(o, own), 'y', greatest(o, own)))")
+    dealt = firsts.withColumn("own", own).select("id", "codes", "own", F.explode(meet).alias("p")).select("p.x", "p.y", "own", "id", "codes")
+    schema = T.StructType([*(T.StructField(n, T.LongType()) for n in ("id", "match_id", "offset", "votes")), T.StructField("bit_errors", T.DoubleType())])
+
+    def group(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        left = cols[2] == cols[0][0]
+        if cols[0][0] != cols[1][0] and left.all() == left.any():
+            return  # one block is empty
+        x = _Side(cols[3][left], cols[4][left].tolist())
+        y = x if cols[0][0] == cols[1][0] else _Side(cols[3][~left], cols[4][~left].tolist())
+        for one, two in ((x, y), (y, x))[:1 + (x is not y)]:
+            for found in best_alignments(one, two, c):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], schema.names)
+
+    found = map_runs(dealt, ["x", "y"], [], group, schema)
+    best = found.groupBy("id").agg(F.max(F.struct("votes", (-F.col("match_id")).alias("m"), (-F.abs("offset")).alias("a"), "offset", "bit_errors")).alias("b"))
     best = written(best.select(F.col("id").alias("first"), F.col("b.votes").alias("votes"), (-F.col("b.m")).alias("match_id"), F.col("b.offset").alias("offset"), F.col("b.bit_errors").alias("bit_errors")), "best")
     # a copy has all votes with the first of its codes; only an earlier recording that holds them all goes before it
     rows = unique.join(firsts.withColumnRenamed("id", "first"), "codes").select("id", "first", F.floor(F.octet_length("codes") / 4).cast("long").alias("n")).join(best, "first", "left")

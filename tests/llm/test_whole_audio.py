@@ -55,3 +55,13 @@ def test_short_copies_match(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["match_id"] for r in queries.op10_chroma(spark, str(tmp_path)).collect()}
     assert [got[18 + k] for k in range(12)] == [6 + k for k in range(12)]
+
+
+def test_blocks_do_not_matter(spark):
+    """Several small blocks, against the scan."""
+    rows = recordings()
+    prints = {i: audio.codes(audio.pitch_classes(t.encode(), C)) for i, t in rows}
+    got = {r["doc_id"]: r for r in audio.align_all(spark.createDataFrame(rows, "doc_id long, text string"), C, "doc_id", "text", block=150).collect()}
+    assert sum(map(len, prints.values())) > 600
+    want = scan(prints)
+    assert all((None if got[i]["match_id"] is None else (got[i]["votes"], -got[i]["match_id"], -abs(got[i]["offset"]), got[i]["offset"])) == w for i, w in want.items())
