@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -21,11 +22,13 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares between driver and executors.
 
-    It is read from ``spark.checkpoint.dir``; only where that is unset, as in
-    local tests, a temporary folder of this machine is set in its place.
+    It is read from ``spark.checkpoint.dir``; only where that is unset and all
+    runs on this machine, as in tests, a temporary folder is set in its place.
     """
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         got = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")

@@ -117,5 +117,10 @@ def mix(docs: DataFrame, entropy: float | None = 0.95, repeats: float | None = 4
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The input's rows as :func:`mix` chooses and repeats them, columns unchanged."""
-    return mix(docs, carry=docs.columns, **options).select("row.*")
+    """The input's rows as :func:`mix` chooses and repeats them, columns unchanged,
+    dealt out by ranges of block: partition after partition (and file after file,
+    once written) holds block after block, each in an order of its own that a hash
+    of id and epoch gives. Rows of one block that repeat an id and epoch are side by side."""
+    mixed = mix(docs, carry=docs.columns, **options)
+    spot = F.xxhash64(F.col(options.get("id_col", "doc_id")), F.col("epoch"), F.lit(options.get("seed", 1)))
+    return mixed.select("block", spot.alias("spot"), "row").repartitionByRange("block", "spot").sortWithinPartitions("block", "spot").select("row.*")

@@ -4,8 +4,9 @@ Documents become pieces of at most ``size`` ids; only the histogram of piece
 lengths (``size`` numbers) comes to the driver. Lengths are placed longest
 first, always into the shortest open pack, a whole group of equal packs at a time;
 what results are counted packing patterns. Pieces of a
-length are then numbered across all tasks, and a piece's number tells its
-pattern, sequence and offset.
+length are then numbered across all tasks, in the order of the files they come
+from, and a piece's number tells its pattern, sequence and offset: sequences of
+one pattern follow the order of the input.
 """
 
 from __future__ import annotations
@@ -94,18 +95,21 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SEQUENCE, id_
     of ``size``, so whole pieces fill sequences of their own.
     """
     spec = read_spec(tokenizer)
-    kinds = {"id": docs.schema[id_col].dataType, **{n: T.LongType() for n in ("start", "length", "ids_crc32", "doc_tokens", "part", "number")}}
+    kinds = {"id": docs.schema[id_col].dataType, **{n: T.LongType() for n in ("start", "length", "ids_crc32", "doc_tokens", "part", "number", "begin")}, "file": T.StringType()}
     schema = T.StructType([T.StructField(n, t) for n, t in kinds.items()])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec)
         end = np.array([end_id], "<u4")
         part = TaskContext.get().partitionId()
-        seen = np.zeros(size + 1, np.int64)
+        seen, source = np.zeros(size + 1, np.int64), None
         for b in slices(batches):
             owner: list[int] = []
             rows: list[tuple[int, int, int, int, int, int]] = []
+            sources = list(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))
             for at, got in enumerate(enc.encode(b.column(1).to_pylist())):
+                if sources[at] != source:  # the rows of a split are side by side
+                    seen[:], source = 0, sources[at]
                 ids = np.concatenate((got.astype("<u4"), end))
                 for start in range(0, len(ids), size):
                     piece = ids[start:start + size]
@@ -114,15 +118,18 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SEQUENCE, id_
                     owner.append(at)
                     seen[n] += 1
             cols = np.array(rows, np.int64).reshape(-1, 6).T
-            yield pa.RecordBatch.from_arrays([pc.take(b.column(0), pa.array(owner, pa.int64())), *(pa.array(c) for c in cols)], schema.names)
+            owners = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([pc.take(b.column(0), owners), *(pa.array(c) for c in cols), pc.take(b.column(3), owners), pc.take(b.column(2), owners)], schema.names)
 
-    pieces = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text")).mapInArrow(cut, schema)
+    split = (F.input_file_name().alias("file"), F.input_file_block_start().alias("begin"))  # empty and -1 but for files
+    pieces = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text"), *split).mapInArrow(cut, schema)
     pieces = written(pieces, "pieces")
-    counts = written(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
+    counts = written(pieces.groupBy("file", "begin", "part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = slots(pack_histogram(histogram, size))
-    ahead = counts.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("ahead"))
-    ranked = pieces.join(ahead, ["part", "length"]).select("id", "start", "length", "ids_crc32", "doc_tokens", (F.col("ahead") + F.col("number")).alias("number"))
+    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    ahead = counts.select("file", "begin", "part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy(number, "file", "begin", "part")) - F.col("n")).alias("ahead"))
+    ranked = pieces.join(ahead, ["file", "begin", "part", "length"]).select("id", "start", "length", "ids_crc32", "doc_tokens", (F.col("ahead") + F.col("number")).alias("number"))
     out = T.StructType([T.StructField(id_col, kinds["id"]), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

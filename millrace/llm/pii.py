@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .common import slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-EXTRA_KINDS = ("iban", "ssn", "account", "credential_url")
+EXTRA_KINDS = ("iban", "ssn", "account", "credential_url", "secret")
 KINDS = BASE_KINDS + EXTRA_KINDS
 
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
@@ -32,12 +32,26 @@ _RUN = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _GAP = r"[ \t]{0,3}(?:number|no\.?|nr\.?|#)?[ \t]{0,3}[:=#]?[ \t]{0,3}"
-_IBAN = re.compile(_GAP + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8})(?![A-Za-z0-9])")
+_IBAN = re.compile(_GAP + r"([A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30})")
 _SSN = re.compile(_GAP + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 _ACCOUNT = re.compile(_GAP + r"([0-9]{6,17})(?![0-9])")
-_USERINFO = re.compile(r"[^\s/@:]{1,256}:[^\s/@]{1,256}@[A-Za-z0-9.-]+(?::[0-9]+)?")
+_USERINFO = re.compile(r"[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+(?::[0-9]+)?")
+#: After a cue of a secret: the rest of its name, a separator, perhaps a quote, and the value.
+_ASSIGNED = re.compile(r"[A-Za-z0-9_-]{0,20}[\"']?[ \t]{0,3}(?::=|=>|[:=])[ \t]{0,3}[\"'`]?([^\s\"'`,;<>()\[\]{}]{6,})")
+_BEARER = re.compile(r"[ \t]{1,3}([A-Za-z0-9._~+/-]{16,}=*)")
+
+# Lengths of account numbers by country, as published for ISO 13616.
+_IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 "
+    "GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 "
+    "PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20").split()}
 
 _CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account"}
+_SECRET_CUES = ("password", "passwd", "passphrase", "secret", "token", "apikey", "api key", "api_key", "api-key", "access_key", "access-key", "private_key", "private-key", "credential")
+# Published prefixes of access keys and what follows them.
+_KEY_PREFIXES = {p: re.compile(follows) for p, follows in (
+    ("AKIA", "[0-9A-Z]{16}"), ("ASIA", "[0-9A-Z]{16}"), ("ghp_", "[A-Za-z0-9]{36,}"), ("gho_", "[A-Za-z0-9]{36,}"), ("ghs_", "[A-Za-z0-9]{36,}"), ("github_pat_", "[A-Za-z0-9_]{22,}"),
+    ("glpat-", "[A-Za-z0-9_-]{20,}"), ("xoxb-", "[A-Za-z0-9-]{10,}"), ("xoxp-", "[A-Za-z0-9-]{10,}"), ("sk_live_", "[A-Za-z0-9]{16,}"), ("sk_test_", "[A-Za-z0-9]{16,}"), ("AIza", "[0-9A-Za-z_-]{35}"))}
 
 _AUTOMATON: ahocorasick.Automaton | None = None
 
@@ -52,8 +66,12 @@ def _automaton() -> ahocorasick.Automaton:
         a.add_word("+", "phone")
         a.add_word("://", "credential_url")
         for cue, kind in _CUES.items():
-            for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-                a.add_word(form, kind)
+            a.add_word(cue, kind)
+        for cue in _SECRET_CUES:
+            a.add_word(cue, "secret")
+        a.add_word("bearer", "bearer")
+        for prefix in _KEY_PREFIXES:
+            a.add_word(prefix.lower(), prefix)
         a.make_automaton()
         _AUTOMATON = a
     return _AUTOMATON
@@ -69,22 +87,48 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _iban_ok(code: str) -> bool:
-    code = code.replace(" ", "")
-    if not 15 <= len(code) <= 34:
-        return False
-    return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+def _iban_end(text: str, start: int, stop: int) -> int:
+    """End of the account number that starts there, by its country's length; 0 if it is none."""
+    size, at, code = _IBAN_LENGTHS.get(text[start:start + 2].upper(), 0), start, ""
+    while at < stop and len(code) < size:
+        code += text[at].strip()
+        at += 1
+    if not size or len(code) < size or text[at:at + 1].isalnum() and text[at].isascii():
+        return 0
+    return at if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1 else 0
+
+
+def _secret_ok(value: str, cue: str) -> bool:
+    """Whether a value is one: a password of any make but a plain word, else long, with letters and digits."""
+    if cue.startswith("pass"):
+        return any(not c.isalpha() for c in value)
+    return len(value) >= 16 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+
+
+def _lowered(text: str) -> str:
+    """The text in lower case, place by place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if c.isascii() else c for c in text)
 
 
 def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans (code points, end exclusive) by kind, each list by start.
 
     The four base kinds give exactly the leftmost non-overlapping matches of
-    their patterns, less those that fail validation; the others are extra.
+    their patterns, less those that fail validation; the others are extra. Cues
+    count in any letter case. Secrets are what a cue (``password``, ``token``,
+    ``api_key`` and so on) is set to, what follows ``bearer``, and access keys with a
+    known prefix.
     """
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     email_end = ip_end = card_end = phone_end = 0
-    for at, kind in _automaton().iter(text):
+    low = _lowered(text)
+
+    def add(kind: str, start: int, end: int) -> None:
+        if not out[kind] or start >= out[kind][-1][1]:
+            out[kind].append((start, end))
+
+    for at, kind in _automaton().iter(low):
         if kind == "digit":
             if at >= card_end:
                 if m := _CARD.match(text, at):
@@ -120,14 +164,28 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 start -= 1
             if start < at - 2 and (m := _USERINFO.match(text, at + 1)):
                 out[kind].append((start, m.end()))
+        elif kind == "secret":
+            cue = next(c for c in _SECRET_CUES if low.endswith(c, max(0, at + 1 - len(c)), at + 1))
+            if not low[max(0, at - len(cue)):at + 1 - len(cue)].isalpha() and (m := _ASSIGNED.match(text, at + 1)):
+                value = m[1].rstrip(".:!?")
+                if len(value) >= 6 and _secret_ok(value, cue):
+                    add(kind, m.start(1), m.start(1) + len(value))
+        elif kind == "bearer":
+            if (m := _BEARER.match(text, at + 1)) and _secret_ok(m[1], "bearer"):
+                add("secret", m.start(1), m.start(1) + len(m[1].rstrip(".")))
+        elif kind in _KEY_PREFIXES:
+            start = at + 1 - len(kind)
+            if text.startswith(kind, start) and not text[max(0, start - 1):start].isalnum() and (m := _KEY_PREFIXES[kind].match(text, at + 1)):
+                add("secret", start, m.end())
         else:
             m = {"iban": _IBAN, "ssn": _SSN, "account": _ACCOUNT}[kind].match(text, at + 1)
-            if not m or (kind == "iban" and not _iban_ok(m[1])):
+            if not m:
                 continue
+            end = _iban_end(text, m.start(1), m.end(1)) if kind == "iban" else m.end(1)
             if kind == "ssn" and (m[1][:3] in ("000", "666") or m[1][0] == "9" or m[1][4:6] == "00" or m[1][7:] == "0000"):
                 continue
-            if not out[kind] or m.start(1) >= out[kind][-1][1]:
-                out[kind].append(m.span(1))
+            if end:
+                add(kind, m.start(1), end)
     return out
 
 

@@ -266,5 +266,6 @@ def read_archive(spark: SparkSession, path: str, with_ids: bool = False) -> Data
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), "content")
     docs = written(files.mapInArrow(decode, schema), "decoded")
     sums = docs.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    ahead = sums.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("ahead"))
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")  # names sort otherwise from part 100000 on
+    ahead = sums.select("file", (F.sum("n").over(Window.orderBy(number, "file")) - F.col("n")).alias("ahead"))
     return docs.join(ahead, "file").select("doc_id", (F.col("ahead") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))

@@ -38,11 +38,14 @@ def calibrate(dim: int, threshold: float, n: int = PROJECTIONS, recall: float =
     from which come the chance of a collision in one projection and, by the
     binomial law, the largest count that a share ``recall`` of such pairs
     reaches. Closer pairs collide more often. The routing width is exceeded by
-    one in 100,000 of them.
+    one in 100,000 of them. Below 8 dimensions, where 16 directions are far from
+    independent, a window is as wide as the pair is apart and holds every pair.
     """
     apart = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+    if dim < 8:
+        return apart, n, apart
     u = np.linspace(0, 1, 20001)
-    density = np.maximum(1 - u * u, 0) ** ((dim - 3) / 2) if dim >= 3 else np.ones_like(u)
+    density = np.maximum(1 - u * u, 0) ** ((dim - 3) / 2)
     cumulative = np.cumsum((density[1:] + density[:-1]) / 2)
     cumulative /= cumulative[-1]
     width = u[1:][np.searchsorted(cumulative, 0.95)]
@@ -201,7 +204,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id",
     named = nodes.join(counts, "node", "left").join(comp, "node", "left").select(
         "label", "dim", "vec", "low", (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     named = written(named, "named")
-    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    lows = written(named.groupBy("component").agg(F.min("low").alias("component_id")), "lows")
     named = named.join(lows, "component").select("label", "dim", "vec", "n_links", "component_id")
     component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id"))
     joined = rows.alias("r").join(named.alias("m"), ["label", "dim", "vec"], "left")
