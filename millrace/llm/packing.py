@@ -129,7 +129,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SEQUENCE, id_
     table = slots(pack_histogram(histogram, size))
     number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("long")
     ahead = counts.select("file", "begin", "part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy(number, "file", "begin", "part")) - F.col("n")).alias("ahead"))
-    ranked = pieces.join(ahead, ["file", "begin", "part", "length"]).select("id", "start", "length", "ids_crc32", "doc_tokens", (F.col("ahead") + F.col("number")).alias("number"))
+    # counts grow with the tasks: sorted and merged, never broadcast
+    ranked = pieces.join(ahead.hint("merge"), ["file", "begin", "part", "length"]).select("id", "start", "length", "ids_crc32", "doc_tokens", (F.col("ahead") + F.col("number")).alias("number"))
     out = T.StructType([T.StructField(id_col, kinds["id"]), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
