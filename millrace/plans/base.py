@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.series import Series
+from ..operators.series import Series, fill_gaps
 
 S = Series(keys=("key",), ts="ds", value="y")
 
@@ -49,23 +49,29 @@ def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 MONTHLY = "select o_orderpriority as key, date_trunc('month', o_orderdate)::timestamp as ds, round(sum(o_totalprice), 2) / 1000 as y from orders group by 1, 2"
 
 
-def demand(spark: SparkSession, sf_dir: str, parts: str = "true") -> DataFrame:
-    """Units a month of all parts (or of those that ``parts`` holds for), zeros filled in: intermittent."""
-    li = table(spark, sf_dir, "lineitem").where(parts).select(F.col("l_partkey").cast("string").alias("key"), F.date_trunc("month", "l_shipdate").alias("ds"), "l_quantity")
+def wavy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events an hour, zeros filled in, on top of a wave of 24 hours as strong as the mean and a half."""
+    h = fill_gaps(hourly(spark, sf_dir), S, "1h").withColumn("y", F.coalesce("y", F.lit(0.0)))
+    mean = F.avg("y").over(Window.partitionBy("key"))
+    return h.withColumn("y", F.round(F.col("y") + 1.5 * mean * F.sin(2 * F.pi() * F.hour("ds") / 24), 6))
+
+
+WAVY = (f"with b as ({HOURLY}), g as (select key, unnest(generate_series(min(ds), max(ds), interval 1 hour)) as ds from b group by key), f as (select g.key, g.ds, coalesce(y, 0.0e0) as y from g left join b on b.key = g.key and b.ds = g.ds) "
+        "select key, ds, round(y + 1.5e0 * avg(y) over (partition by key) * sin(2 * pi() * hour(ds) / 24), 6) as y from f")
+
+
+def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units a month of all parts, zeros filled in: intermittent."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("key"), F.date_trunc("month", "l_shipdate").alias("ds"), "l_quantity")
     sums = li.groupBy("key", "ds").agg(F.sum("l_quantity").alias("y"))
     ends = table(spark, sf_dir, "lineitem").agg(F.date_trunc("month", F.min("l_shipdate")).alias("a"), F.date_trunc("month", F.max("l_shipdate")).alias("b"))
     grid = sums.select("key").distinct().crossJoin(F.broadcast(ends)).select("key", F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("ds"))
     return grid.join(sums, ["key", "ds"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
 
 
-def demand_50(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`demand`, of the parts whose key is divisible by 50, as ``DEMAND`` has them."""
-    return demand(spark, sf_dir, "l_partkey % 50 = 0")
-
-
-DEMAND = """select k.key, g.ds, coalesce(s.y, 0.0) as y from (select distinct cast(l_partkey as varchar) as key from lineitem where l_partkey % 50 = 0) k
+DEMAND = """select k.key, g.ds, coalesce(s.y, 0.0) as y from (select distinct cast(l_partkey as varchar) as key from lineitem) k
     cross join (select unnest(generate_series(a, b, interval 1 month)) as ds from (select date_trunc('month', min(l_shipdate))::timestamp as a, date_trunc('month', max(l_shipdate))::timestamp as b from lineitem) e) g
-    left join (select cast(l_partkey as varchar) as key, date_trunc('month', l_shipdate)::timestamp as ds, sum(l_quantity) as y from lineitem where l_partkey % 50 = 0 group by 1, 2) s on s.key = k.key and s.ds = g.ds"""
+    left join (select cast(l_partkey as varchar) as key, date_trunc('month', l_shipdate)::timestamp as ds, sum(l_quantity) as y from lineitem group by 1, 2) s on s.key = k.key and s.ds = g.ds"""
 
 
 def prepared(base: str) -> str:

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, features, forecasts, stats_tests
+from ..kernels.numeric import normal_quantile
 from ..kernels.registry import MODELS
 from ..operators import detect, evaluate, forecast, series, transforms
 from ..operators.series import Series
 from ..streaming import online
-from .base import DAILY, DEMAND, GAPPY, HOURLY, MONTHLY, S, daily, demand, demand_50, gappy, hourly, monthly, prepared, shown, table
+from . import sql
+from .base import DAILY, DEMAND, GAPPY, HOURLY, MONTHLY, S, WAVY, daily, demand, gappy, hourly, monthly, prepared, shown, table, wavy
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,6 +82,8 @@ _CLOSED["sample_entropy"] = (
     f"with p as ({prepared(HOURLY)}), w as (select key, i, n, y, lead(y, 1) over ({W}) as f1, lead(y, 2) over ({W}) as f2 from p), m as (select a.key as key, count(*) as b, "
     f"count(case when a.i < a.n - 3 and b.i < b.n - 3 and abs(a.f2 - b.f2) <= 0.5 then 1 end) as a from w a join w b on a.key = b.key and a.i < b.i and a.i < a.n - 2 and b.i < b.n - 2 and abs(a.y - b.y) <= 0.5 and abs(a.f1 - b.f1) <= 0.5 group by a.key) "
     f"select key, {r('-ln(a * 1.0 / nullif(b, 0))', 'sample_entropy')} from m")
+_CLOSED |= {"approximate_entropy": sql.approximate_entropy(prepared(HOURLY), 0.5), "fourier_entropy": sql.fourier_entropy(prepared(HOURLY)), "ar_coefficient": sql.ar3_first(prepared(HOURLY)),
+            "lempel_ziv_complexity": sql.lempel_ziv(prepared(HOURLY)), "lempel_ziv_complexity_binary": sql.lempel_ziv_binary(prepared(HOURLY))}
 for _f in features.FEATURES:
     _request = (_f, _f, _WITH.get(_f, {}))
     add(f"feat_{_f}", lambda sp, d, q=_request: features.features(hourly(sp, d), S, [q], digits=6),
@@ -120,7 +124,8 @@ _BOX = (f"with b as ({HOURLY}), l as (select key, sum(ln(y)) as slog, count(*) a
         f"v2 as (select key, lam, var_pop({_Z}) as v from (select b.key, y, lam0 - 0.1::double + k * 0.002::double as lam from b join f1 on f1.key = b.key cross join (select unnest(generate_series(0, 100)) as k) k) c group by key, lam), "
         f"f2 as (select v2.key, arg_max(lam, {_LLF}) as lam2 from v2 join l on l.key = v2.key group by v2.key) ")
 add("xf_boxcox_lambda", lambda sp, d: shown(transforms.boxcox_lambda(hourly(sp, d), S).withColumnRenamed("lambda", "lam"), "key", "lam", digits=4), _BOX + "select key, round(lam2, 4) + 0.0e0 as lam from f2")
-add("xf_boxcox_auto", lambda sp, d: shown(transforms.boxcox_auto(monthly(sp, d), S), "key", "ds", "y", "lambda", digits=4))
+add("xf_boxcox_auto", lambda sp, d: shown(transforms.boxcox_auto(monthly(sp, d), S), "key", "ds", "y", "lambda", digits=4),
+    _BOX.replace(HOURLY, MONTHLY) + f"select b.key, epoch(ds)::bigint as t, round({_Z.replace('lam', 'lam2')}, 4) + 0.0e0 as y, round(lam2, 4) + 0.0e0 as lambda from b join f2 on f2.key = b.key")
 add("xf_boxcox_shifted", lambda sp, d: shown(transforms.boxcox_shifted(hourly(sp, d).withColumn("y", F.col("y") - 3), S, 0.5), "key", "ds", "y", "shift"),
     f"with b as (select key, ds, y - 3 as y from ({HOURLY}) h), s as (select *, case when min(y) over ({P}) <= 0 then 1 - min(y) over ({P}) else 0.0 end as shift from b) select key, epoch(ds)::bigint as t, {r('(sqrt(y + shift) - 1) / 0.5', 'y')}, {r('shift', 'shift')} from s")
 add("xf_boxcox_suitable", lambda sp, d: transforms.is_boxcox_suitable(gappy(sp, d), S), f"select key, bool_and(coalesce(y > 0, false)) as suitable from ({GAPPY}) g group by key")
@@ -152,33 +157,38 @@ add("det_seasonality", lambda sp, d: shown(detect.detect_seasonality(hourly(sp,
     _ACF + f", k as (select key, lag, acf, lag(acf) over (partition by key order by lag) as a, lead(acf) over (partition by key order by lag) as b from acf where lag >= 2 and lag <= n // 2), m as (select *, row_number() over (partition by key order by acf desc, lag) as o from k where acf > a and acf > b and acf > -0.1) "
     f"select key, lag as period, {r('least(1.0, acf)', 'strength')} from m where o = 1")
 for _m in ("acf", "fft", "autoperiod", "cfd", "sazed", "seasonality"):
-    add(f"det_period_{_m}", lambda sp, d, m=_m: detect.detect_periods(series.fill_gaps(hourly(sp, d), S, "1h").withColumn("y", F.coalesce("y", F.lit(0.0))), S, m))
+    add(f"det_period_{_m}", lambda sp, d, m=_m: shown(detect.detect_periods(wavy(sp, d), S, m), "key", "rank", "period", "score"),
+        {"acf": sql.period_acf, "fft": sql.period_fft, "seasonality": sql.period_seasonality, "cfd": sql.period_cfd}.get(_m, lambda p: None)(prepared(WAVY)))
 add("det_periodogram", lambda sp, d: shown(detect.periodogram(monthly(sp, d), S), "key", "rank", "period", "power", digits=3),
     f"with p as ({prepared(MONTHLY)}), k as (select key, n, unnest(generate_series(1, n // 2)) as k from (select distinct key, n from p) a), f as (select p.key, k.n, k, power(sum(y * cos(2 * pi() * k * i / k.n)), 2) + power(sum(y * sin(2 * pi() * k * i / k.n)), 2) as s from k join p on p.key = k.key group by p.key, k.n, k) "
     "select key, cast(k as integer) as rank, cast(n // k as integer) as period, round(s / n, 3) + 0.0e0 as power from f")
 add("det_fft", lambda sp, d: shown(detect.fft_real(monthly(sp, d), S), "key", "k", "re", "im", digits=3),
     f"with p as ({prepared(MONTHLY)}), k as (select key, n, unnest(generate_series(0, n // 2)) as k from (select distinct key, n from p) a) select p.key, cast(k as integer) as k, round(sum(y * cos(2 * pi() * k * i / k.n)), 3) + 0.0e0 as re, round(-sum(y * sin(2 * pi() * k * i / k.n)), 3) + 0.0e0 as im from k join p on p.key = k.key group by p.key, k.n, k")
-add("det_welch", lambda sp, d: detect.periodogram(hourly(sp, d), S, window=64))
-add("det_spectral_peaks", lambda sp, d: detect.periodogram(hourly(sp, d), S, threshold=3.0))
+add("det_welch", lambda sp, d: shown(detect.periodogram(hourly(sp, d), S, window=64), "key", "rank", "period", "power"), sql.welch(prepared(HOURLY), 64))
+add("det_spectral_peaks", lambda sp, d: shown(detect.periodogram(hourly(sp, d), S, threshold=3.0), "key", "rank", "period", "power", digits=4), sql.spectral_peaks(prepared(HOURLY), 3.0))
 add("det_segment_costs", lambda sp, d: shown(detect.segment_costs(series.prepare(hourly(sp, d), S).withColumn("seg", F.floor(F.col("i") / 100)), S, "seg"), "key", "seg", "l1", "l2", "normal", "poisson", "linear_trend", "mean_variance", "cusum"),
     f"with p as (select *, i // 100 as seg from ({prepared(HOURLY)}) a), x as (select *, avg(y) over (partition by key, seg) as mu, median(y) over (partition by key, seg) as med from p), c as (select *, abs(sum(y - mu) over (partition by key, seg order by i)) as c from x) "
     f"select key, seg, {r('sum(abs(y - med))', 'l1')}, {r('count(*) * var_pop(y)', 'l2')}, {r('case when count(*) < 2 or var_pop(y) < 1e-10 then 0.0 else count(*) * ln(greatest(var_pop(y), 1e-10)) end', 'normal')}, {r('sum(y) - sum(y) * ln(avg(y))', 'poisson')}, "
     f"{r('case when count(*) < 3 then 0.0 else greatest(0.0, regr_syy(y, i) - power(regr_sxy(y, i), 2) / nullif(regr_sxx(y, i), 0)) end', 'linear_trend')}, {r('case when count(*) < 2 or var_pop(y) < 1e-10 then 0.0 else count(*) * (1 + ln(greatest(var_pop(y), 1e-10))) end', 'mean_variance')}, {r('max(c)', 'cusum')} from c group by key, seg")
 for _c in ("l1", "l2", "normal", "poisson", "linear_trend", "mean_variance", "cusum", "periodicity"):
-    add(f"det_pelt_{_c}", lambda sp, d, c=_c: detect.pelt(monthly(sp, d), S, c, "bic"))
+    add(f"det_pelt_{_c}", lambda sp, d, c=_c: shown(detect.pelt(monthly(sp, d), S, c, "bic").withColumn("start_ds", F.unix_timestamp(F.col("start_ds").cast("timestamp"))), "key", "segment", "start", "end", "start_ds", "mean", "cost", digits=3),
+        sql.pelt(prepared(MONTHLY), _c) if _c != "periodicity" else None)
 
 # --- decomposition ----------------------------------------------------------------------
 
-add("dec_stl", lambda sp, d: shown(detect.decompose(monthly(sp, d), S, 12), "key", "ds", "y", "trend", "seasonal", "remainder"))
-add("dec_stl_robust", lambda sp, d: shown(detect.decompose(monthly(sp, d), S, 12, robust=True), "key", "ds", "trend", "seasonal", "remainder"))
-add("dec_mstl", lambda sp, d: shown(detect.decompose(hourly(sp, d), S, (24, 168)), "key", "ds", "trend", "seasonal_24", "seasonal_168", "remainder"))
-add("dec_strengths", lambda sp, d: shown(detect.strengths(detect.decompose(monthly(sp, d), S, 12), S), "key", "seasonal_strength", "trend_strength"))
+add("dec_stl", lambda sp, d: shown(detect.decompose(monthly(sp, d), S, 12), "key", "ds", "y", "trend", "seasonal", "remainder"),
+    sql.stl(prepared(MONTHLY), 12, False, f"select key, epoch(ds)::bigint as t, {', '.join(r(c, c) for c in ('y', 'trend', 'seasonal', 'remainder'))} from parts"))
+add("dec_stl_robust", lambda sp, d: shown(detect.decompose(monthly(sp, d), S, 12, robust=True), "key", "ds", "trend", "seasonal", "remainder"),
+    sql.stl(prepared(MONTHLY), 12, True, f"select key, epoch(ds)::bigint as t, {', '.join(r(c, c) for c in ('trend', 'seasonal', 'remainder'))} from parts"))
+add("dec_mstl", lambda sp, d: shown(detect.decompose(hourly(sp, d), S, (24, 168)), "key", "ds", "trend", "seasonal_24", "seasonal_168", "remainder"),
+    sql.mstl(prepared(HOURLY), (24, 168), f"select key, epoch(ds)::bigint as t, {', '.join(r(c, c) for c in ('trend', 'seasonal_24', 'seasonal_168', 'remainder'))} from parts"))
+add("dec_strengths", lambda sp, d: shown(detect.strengths(detect.decompose(monthly(sp, d), S, 12), S), "key", "seasonal_strength", "trend_strength"), sql.strengths(12, prepared(MONTHLY)))
 
 # --- forecasts ----------------------------------------------------------------------------
 
 _FC = {"seasonal_naive": {"period": 7}, "seasonal_window_average": {"period": 7, "window": 3}, "simple_moving_average": {"window": 14}, "ses_fixed": {"alpha": 0.3}}
 for _m in forecasts.MODELS:
-    _base, _frame = (DEMAND, demand_50) if _m in ("croston", "croston_sba", "tsb") else (DAILY, daily)
+    _base, _frame = (DEMAND, demand) if _m in ("croston", "croston_sba", "tsb") else (DAILY, daily)
     add(f"fc_{_m}", lambda sp, d, m=_m, f=_frame: forecasts.baseline(f(sp, d), S, m, 14, digits=3, **_FC.get(m, {})), forecasts.oracle(_m, prepared(_base), 14, digits=3, **_FC.get(_m, {})))
 _INTERMITTENT = ("croston", "croston_sba", "tsb", "adida", "imapa")
 for _m in MODELS:
@@ -187,6 +197,20 @@ _KERNEL_SQL = {"naive": ("naive", {}), "random_walk_with_drift": ("random_walk_w
                "historic_average": ("historic_average", {}), "window_average": ("window_average", {"window": 7}), "simple_moving_average": ("historic_average", {})}
 for _m, (_o, _kw) in _KERNEL_SQL.items():
     ORACLE_SQL[f"fc_kernel_{_m}"] = f"select key, '{_m}' as model, h, yhat, lo, hi, 'ok' as status from ({forecasts.oracle(_o, prepared(MONTHLY), 12, digits=6, **_kw)}) k"
+for _m in ("croston", "croston_sba"):
+    ORACLE_SQL[f"fc_kernel_{_m}"] = sql.croston_path(prepared(DEMAND), 12, _m)
+ORACLE_SQL["fc_kernel_tsb"] = sql.tsb_path(prepared(DEMAND), 12)
+for _m, _q in (("adida", sql.adida), ("imapa", sql.imapa)):
+    ORACLE_SQL[f"fc_kernel_{_m}"] = _q(prepared(DEMAND), 12)
+for _m, _q in (("theta", sql.theta), ("dynamic_theta", sql.dynamic_theta)):
+    ORACLE_SQL[f"fc_kernel_{_m}"] = _q(prepared(MONTHLY), 12, 12, normal_quantile(0.95))
+ORACLE_SQL["fc_kernel_seasonal_es"] = sql.seasonal_es(prepared(MONTHLY), 12, 12, 0.3)
+#: Models with given parameters: the recursions, without the search.
+_GIVEN = {"ses": ("ses", {"alpha": 0.3}, sql.given_ses(prepared(MONTHLY), 12, 0.3)), "holt": ("holt", {"alpha": 0.4, "beta": 0.2}, sql.given_holt(prepared(MONTHLY), 12, 0.4, 0.2, 1.0)),
+          "holt_damped": ("holt", {"alpha": 0.4, "beta": 0.2, "phi": 0.9}, sql.given_holt(prepared(MONTHLY), 12, 0.4, 0.2, 0.9)),
+          **{f"holt_winters_{k}": ("holt_winters", {"alpha": 0.3, "beta": 0.1, "gamma": 0.2, "multiplicative": k == "multiplicative"}, sql.given_holt_winters(prepared(MONTHLY), 12, 12, 0.3, 0.1, 0.2, k == "multiplicative")) for k in ("additive", "multiplicative")}}
+for _m, (_k, _kw, _q) in _GIVEN.items():
+    add(f"fc_given_{_m}", lambda sp, d, m=_m, k=_k, kw=_kw: shown(forecast.forecast(monthly(sp, d), S, {m: MODELS[k].with_options(**kw)}, 12, period=12), "key", "h", "yhat", "lo", "hi"), _q)
 _EXOG = Series(keys=("key",), ts="ds", value="y", regressors=("x",))
 
 
@@ -207,7 +231,11 @@ for _how, _agg in (("mean", "avg"), ("median", "median")):
         f"select key, h, {', '.join(f'round({_agg}({c}), 4) + 0.0e0 as {c}' for c in ('yhat', 'lo', 'hi'))} from ({_UNION}) e group by key, h")
 add("fc_ensemble_weighted", lambda sp, d: shown(forecast.ensemble(forecast.forecast(monthly(sp, d), S, _ENS, 12, period=12), S, "weighted", {"naive": 1.0, "seasonal_naive": 3.0, "historic_average": 4.0}), "key", "h", "yhat", digits=4),
     "select key, h, round(sum(yhat * w) / 8.0, 4) + 0.0e0 as yhat from (" + " union all ".join(f"select *, {w} as w from ({forecasts.oracle(m, prepared(MONTHLY), 12, digits=9, **({'period': 12} if m == 'seasonal_naive' else {}))}) u_{m}" for m, w in zip(_ENS, (1.0, 3.0, 4.0), strict=True)) + ") e group by key, h")
-add("fc_ensemble_mse", lambda sp, d: shown(forecast.ensemble(forecast.forecast(monthly(sp, d), S, _ENS, 12, period=12), S, "weighted", forecast.inverse_mse_weights(forecast.fitted_values(monthly(sp, d), S, _ENS, period=12), S)), "key", "h", "yhat"))
+add("fc_ensemble_mse", lambda sp, d: shown(forecast.ensemble(forecast.forecast(monthly(sp, d), S, _ENS, 12, period=12), S, "weighted", forecast.inverse_mse_weights(forecast.fitted_values(monthly(sp, d), S, _ENS, period=12), S)), "key", "h", "yhat", digits=4),
+    f"with p as ({prepared(MONTHLY)}), e as (select key, y - lag(y, 1) over ({W}) as naive, y - lag(y, 12) over ({W}) as seasonal_naive, y - avg(y) over ({W} rows between unbounded preceding and 1 preceding) as historic_average from p), "
+    f"w as ({' union all '.join(f'select key, {chr(39)}{m}{chr(39)} as model, 1 / greatest(avg({m} * {m}), 1e-10) as w from e group by key' for m in _ENS)}), "
+    "u as (" + " union all ".join(f"select *, '{m}' as model from ({forecasts.oracle(m, prepared(MONTHLY), 12, digits=9, **({'period': 12} if m == 'seasonal_naive' else {}))}) u_{m}" for m in _ENS) + ") "
+    "select u.key, h, round(sum(yhat * w) / sum(w), 4) + 0.0e0 as yhat from u join w on w.key = u.key and w.model = u.model group by u.key, h")
 
 # --- evaluation -----------------------------------------------------------------------------
 
@@ -259,7 +287,8 @@ add("test_adf", lambda sp, d: shown(stats_tests.adf_test(daily(sp, d), S), "key"
 _KPSS = (f"with p as (select *, y - avg(y) over ({P}) as d from ({prepared(DAILY)}) a), u as (select *, sum(d) over ({W}) as c, cast(greatest(1, least(floor(4 * power(n / 100.0, 0.25)), n // 2)) as integer) as lags from p), v as (select key, max(n) as n, max(lags) as lags, sum(c * c) / (max(n) * 1.0 * max(n)) as num, sum(d * d) as c0 from u group by key), "
          "w as (select a.key, sum(2 * (1 - j / (a.lags + 1.0)) * a.d * b.d / a.n) as s from u a, unnest(generate_series(1, 12)) g(j), u b where b.key = a.key and b.i = a.i - j and j <= a.lags group by a.key), k as (select v.key, lags, num / (c0 / n + s) as s from v join w on w.key = v.key) ")
 add("test_kpss", lambda sp, d: shown(stats_tests.kpss_test(daily(sp, d), S), "key", "statistic", "lags", "is_stationary"), _KPSS + f"select key, {r('s', 'statistic')}, lags, s < 0.463 as is_stationary from k")
-add("test_stationarity", lambda sp, d: stats_tests.test_stationarity(daily(sp, d), S).select("key", "conclusion"))
+add("test_stationarity", lambda sp, d: stats_tests.test_stationarity(daily(sp, d), S).select("key", "conclusion"),
+    f"select x.key, case when x.a and z.b then 'stationary' when not x.a and not z.b then 'non_stationary' else 'inconclusive' end as conclusion from ({_ADF} select key, s < -2.86 as a from t) x join ({_KPSS} select key, s < 0.463 as b from k) z on z.key = x.key")
 
 # --- vectors, scalars, streams -----------------------------------------------------------------------
 
