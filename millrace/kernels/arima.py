@@ -151,33 +151,43 @@ def arima(y: np.ndarray, h: int, order: tuple[int, int, int] = (1, 1, 1)) -> Fit
     return sarima(y, h, order)
 
 
+#: Steps of the optimiser after which orders are screened, and how far behind the best
+#: an order may be then (in units of the criterion) to be fitted fully. On eight
+#: series, where all 226 to 339 orders were fitted fully, the best had been 9 to 24 behind.
 SEARCH_ITERATIONS = 150
+NEAR = 60.0
+# The grid's orders (p, q), alone and beside a seasonal part (P, Q).
+PLAIN = ((0, 0), (1, 0), (0, 1), (1, 1), (2, 0), (0, 2), (2, 1), (1, 2), (2, 2))
+BESIDE = ((0, 0), (1, 0), (0, 1), (1, 1), (2, 0), (0, 2), (2, 1), (1, 2), (3, 0), (0, 3), (2, 2), (3, 1), (1, 3))
+SEASONAL = ((0, 1), (1, 0), (1, 1), (2, 0), (0, 2), (2, 1), (1, 2), (2, 2))
 Order = tuple[tuple[int, int, int], tuple[int, int, int]]
 
 
 def candidates(y: np.ndarray, period: int = 1, max_p: int = 5, max_q: int = 5, max_d: int = 2, max_sp: int = 2, max_sq: int = 2, max_sd: int = 1, exhaustive: bool = False) -> list[Order]:
-    """Orders to try: differences at and beside the suggested ones; a small grid,
-    or all orders if exhaustive."""
+    """Orders to try: differences at and beside the suggested ones, with the grid's
+    orders or, if exhaustive, all."""
     d0 = min(suggest_d(y), max_d)
-    ds = sorted({max(0, min(max_d, d0 + k)) for k in (-1, 0, 1)})
-    seasonal: list[tuple[int, int, int]] = [(0, 0, 0)]
-    if period > 1 and len(y) >= 3 * period:
-        for sd in sorted({0, min(max_sd, suggest_seasonal_d(y, period))}):
-            top = (max_sp, max_sq) if exhaustive else (min(1, max_sp), min(1, max_sq))
-            seasonal += [(a, sd, b) for a, b in itertools.product(range(top[0] + 1), range(top[1] + 1)) if a + b + sd]
+    ds = {max(0, min(max_d, d0 + k)) for k in (-1, 0, 1)}
+    seasons = period > 1 and len(y) >= 3 * period
+    sds = {0, min(max_sd, suggest_seasonal_d(y, period))} if seasons else {0}
     if exhaustive:
-        plain = list(itertools.product(range(max_p + 1), range(max_q + 1)))
+        plain = beside = tuple(itertools.product(range(max_p + 1), range(max_q + 1)))
+        pairs = tuple(itertools.product(range(max_sp + 1), range(max_sq + 1)))
     else:
-        plain = [(p, q) for p, q in ((0, 0), (1, 0), (0, 1), (1, 1), (2, 0), (0, 2), (2, 1), (1, 2), (2, 2)) if p <= max_p and q <= max_q]
-    return sorted({((p, d, q), s) for d in ds for p, q in plain for s in seasonal if s == (0, 0, 0) or p + q <= 2})
+        plain, beside, pairs = PLAIN, BESIDE, SEASONAL
+    tried = {((p, d, q), (0, sd, 0)) for p, q in plain for d in ds for sd in sds}
+    if seasons:
+        tried |= {((p, d, q), (a, sd, b)) for p, q in beside for a, b in pairs if a <= max_sp and b <= max_sq for d in ds for sd in sds}
+    return sorted(((p, d, q), z) for (p, d, q), z in tried if p <= max_p and q <= max_q)
 
 
-def auto_arima(y: np.ndarray, h: int, period: int = 1, criterion: str = "aic", search: str = "stepwise", **limits) -> Fit:
+def auto_arima(y: np.ndarray, h: int, period: int = 1, criterion: str = "aic", search: str = "grid", **limits) -> Fit:
     """The best order by AIC or BIC: ``grid`` tries all candidates, ``exhaustive``
     all orders, ``stepwise`` climbs from three starts by single changes of order.
 
     Likelihoods of different differences are compared as they are. Orders are
-    compared after ``SEARCH_ITERATIONS`` of the optimiser; the best is fitted fully.
+    screened after ``SEARCH_ITERATIONS`` of the optimiser; those within ``NEAR`` of
+    the best are fitted fully and compared again.
     """
     need(y, max(10, 3 * period if period > 1 else 10))
     tried: dict[Order, Fit | None] = {}
@@ -212,7 +222,15 @@ def auto_arima(y: np.ndarray, h: int, period: int = 1, criterion: str = "aic", s
     ok = {o: f for o, f in tried.items() if f is not None and math.isfinite(f.info[criterion])}
     if not ok:
         raise ValueError("no order can be fitted")
-    best = min(sorted(ok), key=lambda o: ok[o].info[criterion])
-    fit = sarima(y, h, best[0], best[1], period)
-    fit.info["tried"] = len(tried)
+    least = min(f.info[criterion] for f in ok.values())
+    full: list[Fit] = []
+    for o in sorted(o for o, f in ok.items() if f.info[criterion] <= least + NEAR):
+        try:
+            full.append(sarima(y, h, o[0], o[1], period))
+        except (ValueError, OverflowError, ZeroDivisionError):
+            continue
+    fit = min((f for f in full if math.isfinite(f.info[criterion])), key=lambda f: f.info[criterion], default=None)
+    if fit is None:
+        raise ValueError("no order can be fitted")
+    fit.info |= {"tried": len(tried), "refitted": len(full)}
     return fit

@@ -26,12 +26,16 @@ def outliers(df: DataFrame, s: Series, method: str = "iqr", threshold: float | N
     key = list(s.keys)
     if method == "iqr":
         t = 1.5 if threshold is None else threshold
-        q = p.groupBy(*key).agg(F.array_sort(F.collect_list("y")).alias("v")).withColumn("m", F.size("v"))
-        q = q.select(*key, "m", F.try_element_at("v", (F.floor(F.col("m") / 4) + 1).cast("int")).alias("q1"), F.try_element_at("v", (F.floor(F.col("m") * 3 / 4) + 1).cast("int")).alias("q3"))
-        x = p.join(q, key).withColumn("r", F.col("q3") - F.col("q1"))
+        w = Window.partitionBy(*key)
+        x = p.withColumn("m", F.count("y").over(w)).withColumn("k", F.row_number().over(w.orderBy(F.col("y").asc_nulls_last())))
+
+        def ranked(share: F.Column) -> F.Column:
+            return F.max(F.when(F.col("k") == F.floor(share) + 1, F.col("y"))).over(w)
+
+        x = x.withColumn("q1", ranked(F.col("m") / 4)).withColumn("q3", ranked(F.col("m") * 3 / 4)).withColumn("r", F.col("q3") - F.col("q1"))
         beyond = F.greatest(F.col("q1") - t * F.col("r") - F.col("y"), F.col("y") - F.col("q3") - t * F.col("r"), F.lit(0.0))
         score = F.when((F.col("m") >= 4) & (F.col("r") > 1e-10), beyond / F.nullif(F.col("r"), F.lit(0.0))).otherwise(0.0)
-        out = x.withColumn("score", F.when(F.col("y").isNotNull(), score).otherwise(0.0)).drop("m", "q1", "q3", "r")
+        out = x.withColumn("score", F.when(F.col("y").isNotNull(), score).otherwise(0.0)).drop("m", "k", "q1", "q3", "r")
         return out.withColumn("is_outlier", F.col("score") > 0)
     w = Window.partitionBy(*key)
     if method == "zscore":

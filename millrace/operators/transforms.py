@@ -1,14 +1,17 @@
 """Transformations of series: windows, scaling, Box-Cox, differences.
 
 All but the Box-Cox search and exponential weighting are window or aggregate
-expressions over one exchange on the keys; exponential weighting folds each
-series' array in the JVM.
+expressions over one exchange on the keys; these two run over each series' array,
+in time that grows with its length.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .series import Series, cleaned, prepare
 
@@ -54,16 +57,22 @@ def ewm(df: DataFrame, s: Series, alpha: float) -> DataFrame:
     squared mean, at least 0. A missing value leaves the state as it is.
     """
     a = min(1.0, max(0.0, alpha))
-    p = prepare(df, s)
-    rows = F.array_sort(F.collect_list(F.struct("i", "ds", "y")))
-    # the state carries what was emitted, so that one fold gives every step
-    step = f"""aggregate(rows, named_struct('m', cast(null as double), 'q', cast(null as double), 'out', cast(array() as array<struct<m: double, q: double>>)), (s, r) ->
-        named_struct('m', if(r.y is null, s.m, if(s.m is null, r.y, {a}D * r.y + {1 - a}D * s.m)), 'q', if(r.y is null, s.q, if(s.q is null, r.y * r.y, {a}D * r.y * r.y + {1 - a}D * s.q)),
-        'out', array_append(s.out, named_struct('m', if(r.y is null, s.m, if(s.m is null, r.y, {a}D * r.y + {1 - a}D * s.m)), 'q', if(r.y is null, s.q, if(s.q is null, r.y * r.y, {a}D * r.y * r.y + {1 - a}D * s.q))))), s -> s.out)"""
-    out = p.groupBy(*s.keys).agg(rows.alias("rows")).withColumn("states", F.expr(step))
-    out = out.select(*s.keys, F.explode(F.arrays_zip("rows", "states")).alias("z"))
-    mean, var = F.col("z.states.m"), F.greatest(F.col("z.states.q") - F.col("z.states.m") * F.col("z.states.m"), F.lit(0.0))
-    return out.select(*s.keys, F.col("z.rows.i").alias("i"), F.col("z.rows.ds").alias("ds"), F.col("z.rows.y").alias("y"), mean.alias("ewm_mean"), var.alias("ewm_var"), F.sqrt(var).alias("ewm_std"))
+    schema = T.StructType([*(df.schema[k] for k in s.keys), T.StructField("i", T.LongType()), T.StructField("ds", df.schema[s.ts].dataType), *(T.StructField(c, T.DoubleType()) for c in ("y", "m", "q"))])
+
+    def smoothed(x: pd.Series) -> pd.Series:
+        if a == 0.0:
+            return x.where(x.notna().cumsum() == 1).ffill()
+        return x.ewm(alpha=a, adjust=False, ignore_na=True).mean()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        y = pdf["y"].astype(float)
+        return pdf.assign(y=y, m=smoothed(y), q=smoothed(y * y))[schema.names]
+
+    out = prepare(df, s).select(*s.keys, F.col("i").cast("long").alias("i"), "ds", "y").groupBy(*s.keys).applyInPandas(run, schema)
+    y, m, q = (F.when(~F.isnan(c), F.col(c)) for c in ("y", "m", "q"))
+    var = F.greatest(q - m * m, F.lit(0.0))
+    return out.select(*s.keys, "i", "ds", y.alias("y"), m.alias("ewm_mean"), var.alias("ewm_var"), F.sqrt(var).alias("ewm_std"))
 
 
 SCALERS = ("standardize", "normalize", "robust", "center")
@@ -122,22 +131,33 @@ def boxcox_lambda(df: DataFrame, s: Series) -> DataFrame:
     """Keys and ``lambda``: the best profile likelihood on the grid -2..2 by 0.01
     (positive values only), then within 0.1 of it in 101 steps; 1 without any.
 
-    Two passes over the rows times a grid of fixed size, aggregated map-side.
+    The grid is run over a series' array, in blocks of it.
     """
-    rows = df.select(*s.keys, cleaned(F.col(s.value)).alias("y")).where("y > 0")
-    logs = rows.groupBy(*s.keys).agg(F.sum(F.ln("y")).alias("slog"), F.count(F.lit(1)).alias("m"))
-
-    def best(grid: DataFrame, key_cols: list[str]) -> DataFrame:
-        z = F.when(F.abs("lam") < 1e-10, F.ln("y")).otherwise((F.pow("y", "lam") - 1) / F.when(F.abs("lam") >= 1e-10, F.col("lam")))
-        v = grid.withColumn("z", z).groupBy(*key_cols, "lam").agg(F.var_pop("z").alias("v")).join(logs, key_cols)
-        llf = -F.col("m") / 2 * F.ln(F.greatest("v", F.lit(1e-300))) + (F.col("lam") - 1) * F.col("slog")
-        return v.groupBy(*key_cols).agg(F.max_by("lam", F.struct(llf, -F.col("lam"))).alias("lam"))
-
     keys = list(s.keys)
-    first = best(rows.select("*", F.explode(F.expr("transform(sequence(-200, 200), x -> x / 100D)")).alias("lam")), keys)
-    near = rows.join(first.withColumnRenamed("lam", "lam0"), keys).select(*keys, "y", F.explode(F.expr("transform(sequence(0, 100), x -> lam0 - 0.1D + x * 0.002D)")).alias("lam"))
-    second = best(near, keys)
-    return df.select(*keys).distinct().join(second, keys, "left").select(*keys, F.coalesce("lam", F.lit(1.0)).alias("lambda"))
+    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("lambda", T.DoubleType())])
+
+    def best(y: np.ndarray, logs: np.ndarray, grid: np.ndarray) -> float:
+        v = np.empty(len(grid))
+        step = max(1, 2_000_000 // len(y))
+        for at in range(0, len(grid), step):
+            lam = grid[at:at + step, None]
+            zero = np.abs(lam) < 1e-10
+            z = np.where(zero, logs, (np.power(y, lam) - 1) / np.where(zero, 1.0, lam))
+            v[at:at + step] = z.var(axis=1)
+        llf = -len(y) / 2 * np.log(np.maximum(v, 1e-300)) + (grid - 1) * logs.sum()
+        return float(grid[int(np.argmax(llf))])  # the smallest of equals
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf["y"].to_numpy(float)
+        lam = 1.0
+        if len(y):
+            logs = np.log(y)
+            lam = best(y, logs, np.arange(-200, 201) / 100)
+            lam = best(y, logs, lam - 0.1 + np.arange(101) * 0.002)
+        return pd.DataFrame([[*key, lam]], columns=schema.names)
+
+    found = df.select(*keys, cleaned(F.col(s.value)).alias("y")).where("y > 0").groupBy(*keys).applyInPandas(run, schema)
+    return df.select(*keys).distinct().join(found, keys, "left").select(*keys, F.coalesce("lambda", F.lit(1.0)).alias("lambda"))
 
 
 def boxcox_auto(df: DataFrame, s: Series) -> DataFrame:

@@ -60,6 +60,9 @@ for name, base, frame, step in (("core_fill_gaps", HOURLY, hourly, "1 hour"), ("
         f"with b as ({base}), g as (select key, unnest(generate_series(min(ds), max(ds), interval {step})) as ds from b group by key) select g.key, epoch(g.ds)::bigint as t, {r('y', 'y')} from g left join b on b.key = g.key and b.ds = g.ds")
 add("core_calendar", lambda sp, d: shown(series.calendar_flags(daily(sp, d), S, sp.sql("select explode(array(date '1996-12-25', date '1997-01-01', date '1998-07-04')) as holiday")), "key", "ds", "is_holiday", "is_business_day"),
     f"select key, epoch(ds)::bigint as t, h as is_holiday, not h and dayofweek(ds) not in (0, 6) as is_business_day from (select *, cast(ds as date) in (date '1996-12-25', date '1997-01-01', date '1998-07-04') as h from ({DAILY}) b) c")
+_STEPS = ("30m", "1h", "2d", "1w", "3mo", "1q", "1y", "15min", "2 hours")
+add("core_parse_frequency", lambda sp, d: sp.createDataFrame([(t, f.seconds, f.months) for t, f in ((t, series.parse_frequency(t)) for t in _STEPS)], "text string, seconds long, months long"),
+    "select * from (values ('30m', 1800::bigint, 0::bigint), ('1h', 3600, 0), ('2d', 172800, 0), ('1w', 604800, 0), ('3mo', 0, 3), ('1q', 0, 3), ('1y', 0, 12), ('15min', 900, 0), ('2 hours', 7200, 0)) v(text, seconds, months)")
 add("core_slice", lambda sp, d: shown(series.slice_rows(hourly(sp, d), S, 10, 50), "key", "ds", "y"), f"select key, epoch(ds)::bigint as t, y from ({prepared(HOURLY)}) p where i >= 10 and i < 50")
 add("core_wide", lambda sp, d: series.to_wide(hourly(sp, d).withColumn("t", F.unix_timestamp("ds")), ["t"], "key", "y", ["click", "view"]),
     f"select epoch(ds)::bigint as t, max(case when key = 'click' then y end) as click, max(case when key = 'view' then y end) as view from ({HOURLY}) h group by 1")
@@ -170,6 +173,12 @@ add("det_segment_costs", lambda sp, d: shown(detect.segment_costs(series.prepare
     f"with p as (select *, i // 100 as seg from ({prepared(HOURLY)}) a), x as (select *, avg(y) over (partition by key, seg) as mu, median(y) over (partition by key, seg) as med from p), c as (select *, abs(sum(y - mu) over (partition by key, seg order by i)) as c from x) "
     f"select key, seg, {r('sum(abs(y - med))', 'l1')}, {r('count(*) * var_pop(y)', 'l2')}, {r('case when count(*) < 2 or var_pop(y) < 1e-10 then 0.0 else count(*) * ln(greatest(var_pop(y), 1e-10)) end', 'normal')}, {r('sum(y) - sum(y) * ln(avg(y))', 'poisson')}, "
     f"{r('case when count(*) < 3 then 0.0 else greatest(0.0, regr_syy(y, i) - power(regr_sxy(y, i), 2) / nullif(regr_sxx(y, i), 0)) end', 'linear_trend')}, {r('case when count(*) < 2 or var_pop(y) < 1e-10 then 0.0 else count(*) * (1 + ln(greatest(var_pop(y), 1e-10))) end', 'mean_variance')}, {r('max(c)', 'cusum')} from c group by key, seg")
+add("det_period_index", lambda sp, d: sp.range(1, 200).select(F.col("id").alias("k"), arrays.period_of_frequency(F.col("id"), F.lit(720)).alias("period"), arrays.frequency_of_period(F.col("id"), F.lit(720)).alias("frequency")),
+    "select id as k, 720 // id as period, 720 // id as frequency from range(1, 200) r(id)")
+add("det_segment_for_index", lambda sp, d: detect.segment_for_index(detect.pelt(monthly(sp, d), S, "l2", "bic"), series.prepare(monthly(sp, d), S).select("key", F.col("i").cast("long").alias("i")), S),
+    f"select p.key, p.i, q.segment from ({prepared(MONTHLY)}) p join ({sql.pelt(prepared(MONTHLY), 'l2')}) q on q.key = p.key and p.i >= q.start and p.i < q.\"end\"")
+add("det_total_cost", lambda sp, d: shown(detect.pelt(monthly(sp, d), S, "l2", 1e7).groupBy("key").agg(F.max("cost").alias("cost"), F.count(F.lit(1)).alias("segments")), "key", "cost", "segments", digits=3),
+    f"select key, max(cost) as cost, count(*) as segments from ({sql.pelt(prepared(MONTHLY), 'l2', penalty='1e7')}) q group by key")
 for _c in ("l1", "l2", "normal", "poisson", "linear_trend", "mean_variance", "cusum", "periodicity"):
     add(f"det_pelt_{_c}", lambda sp, d, c=_c: shown(detect.pelt(monthly(sp, d), S, c, "bic").withColumn("start_ds", F.unix_timestamp(F.col("start_ds").cast("timestamp"))), "key", "segment", "start", "end", "start_ds", "mean", "cost", digits=3),
         sql.pelt(prepared(MONTHLY), _c) if _c != "periodicity" else None)
@@ -328,6 +337,20 @@ add("scalar_erf", lambda sp, d: shown(sp.range(-30, 31).select("id", arrays.erf(
 add("stream_resample", lambda sp, d: shown(online.resample(table(sp, d, "events").select(F.col("event_type").alias("key"), F.col("ts").alias("ds"), F.lit(1.0).alias("y")), S, "6 hours"), "key", "ds", "y", "n"),
     "select event_type as key, (epoch(ts)::bigint // 21600) * 21600 as t, cast(count(*) as double) as y, count(*) as n from events group by 1, 2")
 
+
+
+def _events(sp: SparkSession, d: str, value: str) -> DataFrame:
+    """Events as they would arrive."""
+    e = online.read_stream(sp, d, "events.parquet", table(sp, d, "events").schema)
+    return e.select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ds"), F.expr(value).cast("double").alias("y"))
+
+
+add("stream_live_resample", lambda sp, d: shown(online.drained(online.resample(_events(sp, d, "1.0"), S, "6 hours"), "resample"), "key", "ds", "y", "n"),
+    "select event_type as key, (epoch(ts)::bigint // 21600) * 21600 as t, cast(count(*) as double) as y, count(*) as n from events group by 1, 2 having (epoch(any_value(ts))::bigint // 21600 + 1) * 21600 <= (select epoch(max(ts)) - 7200 from events)")
+add("stream_live_ewm", lambda sp, d: online.drained(online.running_ewm(_events(sp, d, "value"), S, 0.3), "ewm").groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.round(F.max_by("ewm_mean", "ds"), 6).alias("last_mean"), F.round(F.sum("ewm_mean"), 3).alias("sum_mean")),
+    "with e as (select event_type as key, value as y, row_number() over (partition by event_type order by ts) - 1 as i from events), m as (select a.key, a.i, sum(b.y * case when b.i = 0 then power(0.7e0, a.i) else 0.3e0 * power(0.7e0, a.i - b.i) end) as m from e a join e b on b.key = a.key and b.i <= a.i and b.i >= a.i - 150 group by a.key, a.i) "
+    "select key, count(*) as rows, round(arg_max(m, i), 6) as last_mean, round(sum(m), 3) as sum_mean from m group by key")
+
 # --- flagship ------------------------------------------------------------------------------------
 
 

@@ -141,12 +141,12 @@ def segment_costs(p: str, cost: str) -> str:
     return f"select key, s, t, {_PLAIN[cost]} as c from ({rows}) w group by key, s, t"
 
 
-def pelt(p: str, cost: str, min_size: int = 2) -> str:
+def pelt(p: str, cost: str, min_size: int = 2, penalty: str = "ln(max(n))") -> str:
     """Partitioning by lists that grow by one value a step: the best cost up to each
     point, where its last segment starts, and whether it is still open (a start whose
-    cost without penalty exceeds the best is closed). The penalty is ln n."""
+    cost without penalty exceeds the best is closed). The penalty is ln n by default."""
     upto = f"greatest(0, l.t - {min_size} + 1)"
-    return (f"with recursive p as materialized ({p}), c as materialized ({segment_costs(p, cost)}), l as materialized (select key, t, list(c order by s) as cs from c group by key, t), k as (select key, max(n) as n, ln(max(n)) as pen from p group by key), "
+    return (f"with recursive p as materialized ({p}), c as materialized ({segment_costs(p, cost)}), l as materialized (select key, t, list(c order by s) as cs from c group by key, t), k as (select key, max(n) as n, {penalty}::double as pen from p group by key), "
             "z as (select key, n, pen, 0::bigint as t, [-pen]::double[] as best, [0]::bigint[] as last, [true] as alive from k union all "
             "select key, n, pen, t, list_append(best, low + pen), list_append(last, coalesce(list_position(v, low), 1) - 1), list_append(list_transform(alive, lambda o, x: o and not coalesce(v[x] > low + pen, false)), true) "
             f"from (select *, coalesce(list_min(v), 'infinity'::double) as low from (select z.key, z.n, z.pen, l.t, z.best, z.last, z.alive, list_transform(range(1, {upto} + 1), lambda x: case when z.alive[x] then z.best[x] + l.cs[x] else 'infinity'::double end) as v from z join l on l.key = z.key and l.t = z.t + 1) q) q2), "

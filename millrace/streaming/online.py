@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,3 +45,27 @@ def running_ewm(stream: DataFrame, s: Series, alpha: float = 0.3) -> DataFrame:
 
     rows = stream.select(*s.keys, F.col(s.ts).cast("timestamp").alias("ds"), F.col(s.value).cast("double").alias("y"))
     return rows.groupBy(*s.keys).applyInPandasWithState(step, out, state_type, "append", "NoTimeout")
+
+
+def read_stream(spark: SparkSession, folder: str, file: str, schema: T.StructType) -> DataFrame:
+    """The Parquet files of a folder that are called ``file``, as a stream."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
+
+
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream gives for all that is there now, as a table.
+
+    Results and the stream's checkpoint are written to the folder that the cluster
+    shares (``spark.checkpoint.dir``; a temporary one only where all runs on this
+    machine). Windows that the watermark has not closed yet are left out.
+    """
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="millrace-")
+    path = f"{base.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+    run = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
