@@ -180,8 +180,9 @@ add("det_segment_for_index", lambda sp, d: detect.segment_for_index(detect.pelt(
 add("det_total_cost", lambda sp, d: shown(detect.pelt(monthly(sp, d), S, "l2", 1e7).groupBy("key").agg(F.max("cost").alias("cost"), F.count(F.lit(1)).alias("segments")), "key", "cost", "segments", digits=3),
     f"select key, max(cost) as cost, count(*) as segments from ({sql.pelt(prepared(MONTHLY), 'l2', penalty='1e7')}) q group by key")
 for _c in ("l1", "l2", "normal", "poisson", "linear_trend", "mean_variance", "cusum", "periodicity"):
-    add(f"det_pelt_{_c}", lambda sp, d, c=_c: shown(detect.pelt(monthly(sp, d), S, c, "bic").withColumn("start_ds", F.unix_timestamp(F.col("start_ds").cast("timestamp"))), "key", "segment", "start", "end", "start_ds", "mean", "cost", digits=3),
-        sql.pelt(prepared(MONTHLY), _c) if _c != "periodicity" else None)
+    # whole numbers under l1, where equal costs are common and have to be equal to the last digit
+    add(f"det_pelt_{_c}", lambda sp, d, c=_c: shown(detect.pelt(monthly(sp, d).withColumn("y", F.round("y") if c == "l1" else F.col("y")), S, c, "bic").withColumn("start_ds", F.unix_timestamp(F.col("start_ds").cast("timestamp"))), "key", "segment", "start", "end", "start_ds", "mean", "cost", digits=3),
+        sql.pelt(prepared(f"select key, ds, round(y) as y from ({MONTHLY}) m" if _c == "l1" else MONTHLY), _c) if _c != "periodicity" else None)
 
 # --- decomposition ----------------------------------------------------------------------
 
