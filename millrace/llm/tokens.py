@@ -91,19 +91,25 @@ class Encoder:
     def _library(self, text: str) -> bytes:
         return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _pretoken(self, raw: bytes) -> bytes:
-        """Ids of one pre-token, already normalised."""
+    def _pretokens(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of pre-tokens, already normalised."""
+        found = list(map(self.pieces.get, raw))
+        absent = [i for i, x in enumerate(found) if x is None]
+        if not absent:
+            return found
         if len(self.pieces) >= MAX_CACHED:
             self.older, self.pieces = self.pieces, {}
-        if got := self.older.get(raw):
-            self.pieces[raw] = got
-            return got
-        shown = raw.decode("latin-1")
-        if not raw.isalpha():
-            shown = shown.translate(_ALPHABET)
-        got = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
-        self.pieces[raw] = got
-        return got
+        names = [raw[i] for i in absent]
+        got = list(map(self.older.get, names))
+        fresh = [i for i, x in enumerate(got) if x is None]
+        shown = [n.decode("latin-1") if n.isalpha() else n.decode("latin-1").translate(_ALPHABET) for n in (names[i] for i in fresh)]
+        code = self.code
+        for i, tokens in zip(fresh, map(self.model.tokenize, shown), strict=True):
+            got[i] = array(code, [t.id for t in tokens]).tobytes()
+        self.pieces.update(zip(names, got, strict=True))
+        for i, x in zip(absent, got, strict=True):
+            found[i] = x
+        return found
 
     def _chunk(self, raw: bytes) -> bytes | None:
         """Ids of a chunk between white space that the library has to cut; None
@@ -222,12 +228,15 @@ class Encoder:
             if not np.array_equal(x, x[chosen][inverse]):  # two pieces of one hash
                 return [np.frombuffer(self._library(t.decode()), self.dtype) for t in texts]
         names = list(own)
-        found = list(map(self.pieces.get, [text[s:e] for s, e in zip(ps[chosen].tolist(), pe[chosen].tolist(), strict=True)]))
         rare = size[chosen] > _LONG
-        for u in np.flatnonzero(rare | np.fromiter((x is None for x in found), bool, len(found))).tolist():
-            i = int(chosen[u])
-            odd, piece = names[int(keys[0][i])] if rare[u] else (False, text[ps[i]:pe[i]])
-            found[u] = self._chunk(piece) if odd else self.pieces.get(piece) or self._pretoken(piece)
+        usual = np.flatnonzero(~rare)
+        found: list[bytes | None] = [None] * len(chosen)
+        which = chosen[usual]
+        for u, x in zip(usual.tolist(), self._pretokens([text[s:e] for s, e in zip(ps[which].tolist(), pe[which].tolist(), strict=True)]), strict=True):
+            found[u] = x
+        for u in np.flatnonzero(rare).tolist():
+            odd, piece = names[int(keys[0][int(chosen[u])])]
+            found[u] = self._chunk(piece) if odd else self._pretokens([piece])[0]
         width = self.dtype.itemsize
         bad = np.zeros(len(found), bool)
         for u in np.flatnonzero(rare).tolist():
