@@ -1,7 +1,8 @@
 """Token-id archives: static range asymmetric numeral systems.
 
 An archive is a folder of files in ascending document order. A file is a run
-of segments, each followed by one newline byte:
+of segments, each followed by one newline byte; the writer puts one segment in a
+file, which bounds a file's bytes whatever the corpus:
 
     magic, header length, JSON header, body, newline
 
@@ -14,6 +15,7 @@ counted over all ids of the segment and scaled to ``2**PRECISION``.
 
 from __future__ import annotations
 
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
@@ -118,6 +120,47 @@ def decode_block(head: dict, body: bytes, freq: np.ndarray, start: np.ndarray, s
     return np.concatenate(out) if out else np.zeros(0, slots.dtype)
 
 
+def decode_blocks(heads: list[dict], bodies: list[bytes], freq: np.ndarray, start: np.ndarray, slots: np.ndarray) -> list[np.ndarray]:
+    """Table indices of blocks, all decoded at once from all of their checkpoints:
+    what lies between two checkpoints is a stream of its own, and a step of the
+    loop takes one step of every stream."""
+    out = [np.empty(h["n"], slots.dtype) for h in heads]
+    for head, body in zip(heads, bodies, strict=True):
+        if zlib.crc32(body) != head["crc"]:
+            raise ValueError("block checksum differs")
+    for lanes in sorted({h["lanes"] for h in heads}):
+        streams, words, held = [], [], 0  # (steps, block, first step, place of its words), states
+        for k, (head, body) in enumerate(zip(heads, bodies, strict=True)):
+            if head["lanes"] != lanes:
+                continue
+            marks = [[0, 0], *head["marks"]]
+            states = np.frombuffer(body, "<u8", lanes * len(marks)).reshape(-1, lanes)
+            ends = [t for t, _ in marks[1:]] + [-(-head["n"] // lanes)]
+            streams += [(e - t, k, t, held + at, x) for (t, at), e, x in zip(marks, ends, states, strict=True)]
+            words.append(np.frombuffer(body, "<u4", offset=8 * lanes * len(marks)))
+            held += len(words[-1])
+        streams.sort(key=lambda x: -x[0])
+        stream = np.concatenate(words)
+        x = np.stack([y for *_, y in streams])
+        at = np.array([y[3] for y in streams])
+        size = np.array([heads[k]["n"] - t * lanes for _, k, t, _, _ in streams])  # ids from the stream's first step on
+        steps, lane = np.array([y[0] for y in streams]), np.arange(lanes)
+        for j in range(int(steps.max(initial=0))):
+            live = int(np.searchsorted(-steps, -j, "left"))
+            slot = x[:live] & _SLOTS
+            s = slots[slot]
+            y = freq[s] * (x[:live] >> _P) + slot - start[s]
+            need = (y < _LOW) & (lane < (size[:live] - j * lanes)[:, None])
+            count = need.cumsum(1)
+            y[need] = (y[need] << _32) | stream[(at[:live, None] + count - 1)[need]]
+            at[:live] += count[:, -1]
+            x[:live] = y
+            for row, (_, k, t, _, _) in zip(s, streams, strict=False):
+                part = out[k][(t + j) * lanes:(t + j + 1) * lanes]
+                part[:] = row[:len(part)]
+    return out
+
+
 def encode_segment(doc_ids: list[int | None], ids: list[np.ndarray], end_id: int | None = None) -> bytes:
     """Bytes of a segment of documents' ids, with its closing newline."""
     lens = [len(i) for i in ids]
@@ -173,10 +216,24 @@ class Segment:
         self.end = self.at + sum(b["bytes"] for b in self.head["blocks"]) + 1
 
     def blocks(self) -> Iterator[np.ndarray]:
-        at = self.at
+        at = np.concatenate(([self.at], self.at + np.cumsum([b["bytes"] for b in self.head["blocks"]], dtype=np.int64))).tolist()
+        bodies = [self.data[s:e] for s, e in itertools.pairwise(at)]
+        for x in decode_blocks(self.head["blocks"], bodies, self.freq, self.start, self.slots):
+            yield self.symbols[x]
+
+    def document(self, k: int) -> tuple[int | None, np.ndarray]:
+        """One document's id and token ids: only the steps that hold it are decoded,
+        from the checkpoint before them on."""
+        first = int(self.lens[:k].sum())
+        last, at, begin, parts = first + int(self.lens[k]), self.at, 0, []
         for b in self.head["blocks"]:
-            yield self.symbols[decode_block(b, self.data[at:at + b["bytes"]], self.freq, self.start, self.slots)]
-            at += b["bytes"]
+            s, e = max(first, begin) - begin, min(last, begin + b["n"]) - begin
+            if s < e:
+                low, high = s // b["lanes"], -(-e // b["lanes"])
+                x = decode_block(b, self.data[at:at + b["bytes"]], self.freq, self.start, self.slots, low, high)
+                parts.append(self.symbols[x[s - low * b["lanes"]:e - low * b["lanes"]]])
+            at, begin = at + b["bytes"], begin + b["n"]
+        return self.doc_ids[k], np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """Each document's id and token ids (unsigned 32 bits)."""
@@ -200,7 +257,7 @@ def read_file(data: bytes) -> Iterator[Segment]:
         at = s.end
 
 
-def write_archive(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_archive(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Tokenize whole texts and write them, by ascending id, as an archive.
 
     Texts are dealt out by ranges of the id (a hot id or source plays no role)
@@ -222,7 +279,7 @@ def write_archive(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_co
                 doc_ids.append(d)
                 ids.append(np.concatenate((i, end)))
                 held += len(i) + 1
-                if held >= SEGMENT_TOKENS:
+                if held >= segment_tokens:
                     yield pa.RecordBatch.from_arrays([pa.array([encode_segment(doc_ids, ids)[:-1]], pa.binary())], ["segment"])
                     doc_ids, ids, held = [], [], 0
         if ids:
@@ -233,7 +290,7 @@ def write_archive(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_co
         .select("id", F.col("text").cast("binary").alias("text"))
         .mapInArrow(encode, "segment binary")
         .select(F.col("segment").cast("string"))
-        .write.option("lineSep", "\n").text(path))
+        .write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path))
 
 
 def read_archive(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -241,8 +298,9 @@ def read_archive(spark: SparkSession, path: str, with_ids: bool = False) -> Data
     documents before it), ``n_tokens``, ``ids_crc32`` (of the ids as
     little-endian unsigned 32-bit integers) and, if asked for, ``ids``.
 
-    Files are decoded in parallel, each as a stream of blocks. Only the files'
-    totals, one row per file, are summed in order.
+    Files are decoded in parallel, and within a file all blocks at once from all
+    of their checkpoints. Only the files' totals, one row per file, are summed in
+    order.
     """
     schema = T.StructType([
         T.StructField("file", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("before", T.LongType()),
@@ -267,5 +325,6 @@ def read_archive(spark: SparkSession, path: str, with_ids: bool = False) -> Data
     docs = written(files.mapInArrow(decode, schema), "decoded")
     sums = docs.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")  # names sort otherwise from part 100000 on
-    ahead = sums.select("file", (F.sum("n").over(Window.orderBy(number, "file")) - F.col("n")).alias("ahead"))
+    order = [number, F.regexp_extract("file", r"-c(\d+)", 1).try_cast("long"), "file"]
+    ahead = sums.select("file", (F.sum("n").over(Window.orderBy(*order)) - F.col("n")).alias("ahead"))
     return docs.join(ahead, "file").select("doc_id", (F.col("ahead") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))

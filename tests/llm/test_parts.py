@@ -1,0 +1,51 @@
+"""Several segments, files, blocks and sorted parts, where the constants are small."""
+
+import random
+
+import numpy as np
+import pytest
+
+from millrace.llm import queries, rans, spans, tokens
+from millrace.llm.common import work_path
+from tests.llm.test_llm import brute_repeats
+
+
+def test_blocks_are_decoded_from_all_checkpoints():
+    rng = np.random.default_rng(1)
+    for n in (1, 63, 5000, 700_000):
+        ids = [np.minimum(rng.geometric(0.01, m), 3000).astype(np.uint16) for m in rng.multinomial(n, [0.3, 0, 0.7])]
+        s = rans.Segment(rans.encode_segment([1, None, 3], ids), 0)
+        assert n < 500_000 or sum(len(b["marks"]) for b in s.head["blocks"]) > 2
+        assert all(np.array_equal(x, y) for (_, x), y in zip(s.documents(), ids, strict=True))
+        assert all(np.array_equal(s.document(k)[1], ids[k]) and s.document(k)[0] == (1, None, 3)[k] for k in range(3))
+    data = bytearray(rans.encode_segment([1], [np.arange(9000, dtype=np.uint16)]))
+    data[-20] ^= 1
+    with pytest.raises(ValueError):
+        list(rans.Segment(bytes(data), 0).documents())
+
+
+def test_many_segments(spark, small):
+    """Several segments a task, each a file of its own, in order."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").coalesce(2)
+    path = work_path(spark, "t")
+    rans.write_archive(docs, path, queries.WORD_TOKENIZER, 2, segment_tokens=3000)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).count()
+    got = sorted(rans.read_archive(spark, path).collect(), key=lambda r: r["doc_id"])
+    e = tokens.Encoder(tokens.read_spec(queries.WORD_TOKENIZER))
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    want = {r["doc_id"]: len(e.tok.encode(r["text"], add_special_tokens=False).ids) + 1 for r in docs.collect()}
+    assert files > 20 and {r["doc_id"]: r["n_tokens"] for r in got} == want
+
+
+def test_small_blocks_and_parts(spark):
+    """Many blocks, census buckets and sorted parts, against brute force."""
+    rng = random.Random(7)
+    passages = ["".join(rng.choice("abcdef ") for _ in range(n)) for n in (50, 51, 90, 400)]
+    rows = [(i, "".join(rng.choice(passages) if rng.random() < 0.4 else "".join(rng.choice("abcdef ") for _ in range(rng.randrange(80))) for _ in range(5))) for i in range(250)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r) for r in spans.remove_repeats(df, block_bytes=2000, bucket_bytes=3000, sort_bytes=1000, crowded=20).collect()), key=str)
+    assert got == brute_repeats(rows)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("blocks_")]
