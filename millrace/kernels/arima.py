@@ -155,7 +155,7 @@ def arima(y: np.ndarray, h: int, order: tuple[int, int, int] = (1, 1, 1)) -> Fit
 #: an order may be then (in units of the criterion) to be fitted fully. On eight
 #: series, where all 226 to 339 orders were fitted fully, the best had been 9 to 24 behind.
 SEARCH_ITERATIONS = 150
-NEAR = 60.0
+NEAR = 40.0
 # The grid's orders (p, q), alone and beside a seasonal part (P, Q).
 PLAIN = ((0, 0), (1, 0), (0, 1), (1, 1), (2, 0), (0, 2), (2, 1), (1, 2), (2, 2))
 BESIDE = ((0, 0), (1, 0), (0, 1), (1, 1), (2, 0), (0, 2), (2, 1), (1, 2), (3, 0), (0, 3), (2, 2), (3, 1), (1, 3))

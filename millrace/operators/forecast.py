@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,9 +28,16 @@ def specs(models: Models, period: int | None = None) -> dict[str, ModelSpec]:
     return {k: m.with_period(period) if period else m for k, m in named.items()}
 
 
+def spread(spark: SparkSession) -> int:
+    """Tasks for work whose cost is the fitting and not the bytes: a number that is
+    given, so that small partitions are not put together again."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def _grouped(df: DataFrame, s: Series, names: list[str], extra: list[str] = ()) -> DataFrame:
     rows = df.select(*s.keys, F.col(s.ts).cast("timestamp").alias("ds"), cleaned(F.col(s.value)).alias("y"), *(cleaned(F.col(r)).alias(r) for r in s.regressors), *extra)
-    return rows.withColumn("model", F.explode(F.array(*map(F.lit, names)))).groupBy(*s.keys, "model", *extra)
+    rows = rows.withColumn("model", F.explode(F.array(*map(F.lit, names))))
+    return rows.repartition(spread(rows.sparkSession), *s.keys, "model", *extra).groupBy(*s.keys, "model", *extra)
 
 
 def _next_times(ds: pd.Series, h: int) -> list[pd.Timestamp]:
