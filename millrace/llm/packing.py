@@ -91,7 +91,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SEQUENCE, id_
 
     A null text is empty and has its end id only; a null id stays null; rows
     that repeat an id are packed as documents of their own; other columns are
-    ignored; an empty table gives no rows. Long documents are cut at multiples
+    ignored; an empty table gives no rows. Documents read from one table of files
+    are numbered in the order of the files. Long documents are cut at multiples
     of ``size``, so whole pieces fill sequences of their own.
     """
     spec = read_spec(tokenizer)
@@ -121,7 +122,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SEQUENCE, id_
             owners = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays([pc.take(b.column(0), owners), *(pa.array(c) for c in cols), pc.take(b.column(3), owners), pc.take(b.column(2), owners)], schema.names)
 
-    split = (F.input_file_name().alias("file"), F.input_file_block_start().alias("begin"))  # empty and -1 but for files
+    # empty and -1 but for files; what is made of several sources has no file
+    one = docs._jdf.queryExecution().analyzed().collectLeaves().size() == 1
+    split = (F.input_file_name() if one else F.lit("")).alias("file"), (F.input_file_block_start() if one else F.lit(-1).cast("long")).alias("begin")
     pieces = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text"), *split).mapInArrow(cut, schema)
     pieces = written(pieces, "pieces")
     counts = written(pieces.groupBy("file", "begin", "part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")

@@ -98,3 +98,10 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         common.shared_dir(Session())
+
+
+def test_packing_of_two_sources(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    both = docs.unionByName(spark.createDataFrame([(10**9, "a b c", None, None, None)], docs.schema))
+    rows = packing.pack(both, queries.BYTE_TOKENIZER, 1).collect()
+    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in both.collect()}
