@@ -9,14 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def map_runs(df: DataFrame, keys: list[str], order: list[str], f: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]], schema, least: int = 2) -> DataFrame:
+def map_runs(df: DataFrame, keys: list[str], order: list[str], f: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]], schema, least: int = 2, even: bool = False) -> DataFrame:
     """Call ``f`` with the columns (NumPy, in ``df``'s order) of each group of
     rows that agree in the long columns ``keys``, groups of under ``least`` rows
     left out.
 
     Unlike grouped pandas calls, a task meets its groups as slices of large
     batches, so millions of tiny groups cost little. A group is held in memory:
-    callers bound its size.
+    callers bound its size. ``even`` says that the first key numbers groups of
+    about one size; these are dealt out in turn, where hashing would put several
+    into one task.
     """
     at = [df.columns.index(k) for k in keys]
 
@@ -51,7 +53,9 @@ def map_runs(df: DataFrame, keys: list[str], order: list[str], f: Callable[[list
         if held:
             yield from groups([np.concatenate(x) for x in zip(*held, strict=True)], True)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionById(tasks, df[keys[0]].cast("int")) if even else df.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def union_find(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
