@@ -9,7 +9,6 @@ through Spark's committer to whatever store the path names.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -22,6 +21,8 @@ from .common import written
 
 #: Payloads below this many bytes are always written in full.
 MIN_BYTES = 100
+#: Closes heads and records.
+SEPARATOR = b"\r\n\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 
@@ -74,20 +75,58 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         .write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path))
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names; ``type`` is the WARC version line) and block of each record."""
-    at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:stop].decode("utf-8", "surrogateescape").split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        at = stop + 4 + int(head["content-length"])
-        yield head, data[stop + 4:at]
-        if data[at:at + 4] != b"\r\n\r\n":
-            raise ValueError(f"record not closed at byte {at}")
-        at += 4
+class WarcParser:
+    """Records of archives that come in pieces: what is held is one record at a time."""
+
+    def __init__(self):
+        self.held = bytearray()
+        self.wanted = 0
+
+    def feed(self, data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        """Headers (lower-case names) and block of each record that ``data`` completes."""
+        self.held += data
+        at = 0
+        while len(self.held) - at >= self.wanted:
+            stop = self.held.find(SEPARATOR, at)
+            if stop < 0:
+                break
+            first, *lines = self.held[at:stop].decode("utf-8", "surrogateescape").split("\r\n")
+            if not first.startswith("WARC/"):
+                raise ValueError(f"no WARC record at {first[:40]!r}")
+            head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+            end = stop + 4 + int(head["content-length"])
+            if len(self.held) < end + 4:
+                self.wanted = end + 4 - at
+                break
+            if self.held[end:end + 4] != SEPARATOR:
+                raise ValueError(f"record {head.get('warc-record-id')} not closed")
+            self.wanted = 0
+            yield head, bytes(self.held[stop + 4:end])
+            at = end + 4
+        del self.held[:at]
+
+    def close(self) -> Iterator[tuple[dict[str, str], bytes]]:
+        """The last record, where what closes it was taken for the end of a line."""
+        if self.held:
+            yield from self.feed(SEPARATOR)
+        if self.held:
+            raise ValueError("archive ends inside a record")
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[dict[str, str], bytes]]]:
+    """Lists of records from archives' pieces (without the separators between them) and file names."""
+    parser, file = WarcParser(), None
+    for b in batches:
+        out: list[tuple[dict[str, str], bytes]] = []
+        for piece, name in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+            if name != file:
+                out += parser.close()
+                file = name
+                out += parser.feed(piece.as_py())
+            else:
+                out += parser.feed(SEPARATOR + piece.as_py())
+        yield out
+    yield list(parser.close())
 
 
 def _number(urn: str | None) -> int | None:
@@ -99,6 +138,8 @@ def read_warc(spark: SparkSession, path: str, with_body: bool = False) -> DataFr
     """One row per record of the archives under ``path``: ``id``, ``url``,
     ``record_type``, ``payload_bytes``, ``payload_digest`` (both of the full
     payload), ``refers_to`` and, if asked for, ``body`` (null for revisits).
+    Archives are streamed through Spark's text reader, whatever their size; one
+    record at a time is held whole.
 
     Digest and size of every stored payload are computed afresh, and a record
     whose payload differs from its header is an error.
@@ -111,24 +152,20 @@ def read_warc(spark: SparkSession, path: str, with_body: bool = False) -> DataFr
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.binary()] * with_body]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0):
-                rows, held = [], 0
-                for head, block in parse_warc(gzip.decompress(content.as_py())):
-                    http, _, body = block.partition(b"\r\n\r\n")
-                    size = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                    digest = head["warc-payload-digest"].removeprefix("sha256:")
-                    kind = head["warc-type"]
-                    if kind == "response" and (len(body) != size or hashlib.sha256(body).hexdigest() != digest):
-                        raise ValueError(f"payload of {head['warc-record-id']} differs from its header")
-                    rows.append((_number(head["warc-record-id"]), head.get("warc-target-uri"), kind, size, digest, _number(head.get("warc-refers-to")),
-                                 *([body if kind == "response" else None] if with_body else [])))
-                    held += len(body) * with_body
-                    if len(rows) >= 10_000 or held > 1 << 24:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema.names)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema.names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(parse, schema)
+        for records in _records(batches):
+            rows = []
+            for head, block in records:
+                http, _, body = block.partition(SEPARATOR)
+                size = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+                digest = head["warc-payload-digest"].removeprefix("sha256:")
+                kind = head["warc-type"]
+                if kind == "response" and (len(body) != size or hashlib.sha256(body).hexdigest() != digest):
+                    raise ValueError(f"payload of {head['warc-record-id']} differs from its header")
+                rows.append((_number(head["warc-record-id"]), head.get("warc-target-uri"), kind, size, digest, _number(head.get("warc-refers-to")),
+                             *([body if kind == "response" else None] if with_body else [])))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema.names)
+
+    # gzip files are never split: a task meets the pieces of its files in order, one file after another
+    pieces = spark.read.option("lineSep", "\r\n\r\n").option("pathGlobFilter", "part-*").text(path)
+    return pieces.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file")).mapInArrow(parse, schema)
