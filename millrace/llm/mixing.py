@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Words as runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Cells of a source's permutation; sums per cell are scanned, never single documents over a whole source.
@@ -84,21 +86,21 @@ def mix(docs: DataFrame, entropy: float | None = 0.95, repeats: float | None = 4
 
     Positions are sums per (source, cell of the hash), scanned over the cells,
     plus sums within a cell; so a source with a third of all rows is spread over
-    ``cells`` window groups. Null sources are one source; null texts and ids
-    count as empty; documents without words take part only in whole passes;
-    repeated rows are documents of their own.
+    ``cells`` window groups. Null sources are one source; null texts count as
+    empty; documents without an id are placed by their text; documents without
+    words take part only in whole passes; repeated rows are documents of their own.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit(""))).cast("binary"))
+    number = F.coalesce(docs[id_col].cast("string"), F.md5(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary")))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), number).cast("binary"))
     skey = F.coalesce(F.concat(F.lit("="), docs[source_col].cast("string")), F.lit(""))  # never null, so that joins stay equi-joins
     rows = docs.select(
         docs[id_col].alias("id"), docs[source_col].alias("source"), skey.alias("skey"), word_count(docs[text_col].cast("string")).alias("n_tokens"), key.alias("h"),
         F.pmod(F.conv(F.substring(key, 1, 7), 16, 10).cast("long"), F.lit(cells)).cast("int").alias("cell"),
         *([F.struct(*(docs[c] for c in carry)).alias("row")] if carry else []),
     )
-    light = docs.select(
-        skey.alias("source"), word_count(docs[text_col].cast("string")).alias("n_tokens"),
-        F.pmod(F.conv(F.substring(key, 1, 7), 16, 10).cast("long"), F.lit(cells)).cast("int").alias("cell"))
-    sums = light.groupBy("source", "cell").agg(F.sum("n_tokens").alias("n"))
+    if not carry:
+        rows = written(rows, "counted")  # words are counted once; with texts in tow, twice costs less than another copy of them
+    sums = rows.groupBy(F.col("skey").alias("source"), "cell").agg(F.sum("n_tokens").alias("n"))
     totals = sums.groupBy("source").agg(F.sum("n").alias("tokens"))
     weights = source_weights(totals, entropy, repeats, budget)
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

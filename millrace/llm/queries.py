@@ -72,7 +72,7 @@ ORACLE_SQL = {
     "op9_mixing": """
         WITH RECURSIVE d AS (
             SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens,
-                   md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+                   md5('1:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS h FROM documents
         ), t AS (
             SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY source
         ), p AS (
