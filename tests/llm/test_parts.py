@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from millrace.llm import queries, rans, spans, tokens
+from millrace.llm import mixing, queries, rans, spans, tokens, warc
 from millrace.llm.common import work_path
 from tests.llm.test_llm import brute_repeats
 
@@ -49,3 +49,40 @@ def test_small_blocks_and_parts(spark):
     got = sorted((tuple(r) for r in spans.remove_repeats(df, block_bytes=2000, bucket_bytes=3000, sort_bytes=1000, crowded=20).collect()), key=str)
     assert got == brute_repeats(rows)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("blocks_")]
+
+
+def test_archives_in_pieces(spark):
+    ends = ["", "\r\n\r\n", "x\r\n", "x\r", "\r\n\r\n\r\n", "WARC/1.1\r\n\r\nContent-Length: 9", "\n\n", "x\r\n\r\n\r"]
+    bodies = [e * k + str(k) * (k % 7) + e for k in range(40) for e in ends]
+    path = work_path(spark, "w")
+    warc.write_warc(spark.createDataFrame(list(enumerate(bodies)), "page_id long, html string").selectExpr("*", "'u' as url").coalesce(2), path, records_per_file=7)
+    got = {r["id"]: r for r in warc.read_warc(spark, path, with_body=True).collect()}
+    assert sorted(got) == list(range(len(bodies)))
+    full = {r["payload_digest"]: r["body"] for r in got.values() if r["record_type"] == "response"}
+    assert [full[got[k]["payload_digest"]].decode() for k in range(len(bodies))] == bodies
+
+
+def test_broken_archive():
+    whole = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    for cut in range(len(whole) + 1):
+        parser = warc.WarcParser()
+        got = [*parser.feed(whole[:cut]), *parser.feed(whole[cut:])]
+        assert got == [({"warc-type": "response", "content-length": "3"}, b"abc")]
+        assert not list(parser.close())
+    parser = warc.WarcParser()
+    assert not list(parser.feed(whole[:-6]))
+    with pytest.raises(ValueError, match="inside a record"):
+        list(parser.close())
+    with pytest.raises(ValueError, match="not closed"):
+        list(warc.WarcParser().feed(whole.replace(b"abc", b"abcd")))
+
+
+def test_documents_without_ids_are_spread(spark):
+    rows = [(None, f"text {k}", "s") for k in range(200)] + [(7, None, "s"), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, entropy=None, repeats=None, blocks=8).collect()
+    assert sorted(r["block"] for r in got if r["n_tokens"]) == [k // 25 for k in range(200)]
+    plan = mixing.mixed_documents(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    back = mixing.mixed_documents(df, entropy=None, repeats=None).collect()
+    assert sorted(r["text"] for r in back if r["text"]) == sorted(t for _, t, _ in rows if t)
