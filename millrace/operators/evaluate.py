@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..kernels import registry
 from ..kernels.smoothing import sigma2
-from .forecast import Models, specs
+from .forecast import Models, specs, spread
 from .series import Series, cleaned
 
 
@@ -42,13 +42,13 @@ def metrics(df: DataFrame, groups: list[str], actual: str = "y", predicted: str
     return out.withColumn("mase", F.when(F.col("__s") > 0, F.col("mae") / F.nullif(F.col("__s"), F.lit(0.0)))).drop("__s")
 
 
-def cross_validate(df: DataFrame, s: Series, models: Models, window: int = 10, horizon: int = 1, step: int = 1, expanding: bool = True, period: int | None = None) -> DataFrame:
+def cross_validate(df: DataFrame, s: Series, models: Models, window: int = 10, horizon: int = 1, step: int = 1, expanding: bool = True, period: int | None = None, folds_per_task: int = 16) -> DataFrame:
     """Keys, ``model``, ``fold``, ``h``, ``y``, ``yhat``, ``status`` for every origin
     from ``window`` on, ``step`` apart, that leaves ``horizon`` values.
 
-    Origins are exploded before the exchange on (keys, model, fold), so folds of
-    one series run on different tasks; rows a fold does not need are not sent to
-    it. Regressors of the test rows are used as known.
+    A series is sent once for every ``folds_per_task`` neighbouring folds, whatever
+    the number of models, and only the rows these folds need; so a long series runs
+    on several tasks. Regressors of the test rows are used as known.
     """
     use = specs(models, period)
     names = sorted(s.regressors)
@@ -59,23 +59,29 @@ def cross_validate(df: DataFrame, s: Series, models: Models, window: int = 10, h
     first = F.greatest(F.lit(0), F.ceil((F.col("i") - window - horizon + 1) / step)).cast("int")
     until = last if expanding else F.least(last, F.floor(F.col("i") / step))
     rows = rows.where(last >= 0).withColumn("last", until.cast("int")).withColumn("first", first).where("first <= last")
-    rows = rows.withColumn("fold", F.explode(F.expr("sequence(first, last)"))).withColumn("model", F.explode(F.array(*map(F.lit, use))))
+    rows = rows.withColumn("part", F.explode(F.expr(f"sequence(int(first div {folds_per_task}), int(last div {folds_per_task}))")))
     schema = T.StructType([*(df.schema[k] for k in s.keys), T.StructField("model", T.StringType()), T.StructField("fold", T.IntegerType()), T.StructField("h", T.IntegerType()),
                            T.StructField("y", T.DoubleType()), T.StructField("yhat", T.DoubleType()), T.StructField("status", T.StringType())])
     nk = len(s.keys)
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
-        origin = window + int(key[nk + 1]) * step
-        train, test = pdf[pdf["i"] < origin], pdf[(pdf["i"] >= origin) & (pdf["i"] < origin + horizon)]
-        if not expanding:
-            train = train[train["i"] >= origin - window]
-        x, fx = (train[names].to_numpy(float), test[names].to_numpy(float)) if names else (None, None)
-        out = registry.run(use[key[nk]], train["y"].to_numpy(float), horizon, 0.95, x, fx)
-        yhat = out.fit.point if out.fit is not None else [None] * len(test)
-        return pd.DataFrame([[*key, h + 1, a, p, out.status] for h, (a, p) in enumerate(zip(test["y"].tolist(), yhat, strict=True))], columns=schema.names)
-
-    return rows.select(*s.keys, "model", "fold", "i", "y", *names).groupBy(*s.keys, "model", "fold").applyInPandas(fit, schema)
+        at, y = pdf["i"].to_numpy(), pdf["y"].to_numpy(float)
+        x = pdf[names].to_numpy(float) if names else None
+        begin = int(key[nk]) * folds_per_task
+        end = min(begin + folds_per_task, (int(pdf["n"].iloc[0]) - window - horizon) // step + 1)
+        out = []
+        for fold in range(begin, end):
+            origin = window + fold * step
+            a, b, c = np.searchsorted(at, [0 if expanding else origin - window, origin, origin + horizon]).tolist()
+            for model, spec in use.items():
+                got = registry.run(spec, y[a:b], horizon, 0.95, *((x[a:b], x[b:c]) if names else (None, None)))
+                yhat = got.fit.point if got.fit is not None else [None] * (c - b)
+                out += [[*key[:nk], model, fold, h + 1, v, p, got.status] for h, (v, p) in enumerate(zip(y[b:c].tolist(), yhat, strict=True))]
+        return pd.DataFrame(out, columns=schema.names)
+
+    rows = rows.select(*s.keys, "part", "i", "n", "y", *names).repartition(spread(rows.sparkSession), *s.keys, "part")
+    return rows.groupBy(*s.keys, "part").applyInPandas(fit, schema)
 
 
 def cv_summary(folds: DataFrame, s: Series) -> DataFrame:
