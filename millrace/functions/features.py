@@ -351,8 +351,15 @@ def _sql(plans: dict[str, Agg | Nested], keys: tuple[str, ...], p: str, digits:
     sql = f"select {k}{', ' if listed else ''}{listed} from {base} group by {k}"
     nested = {a: x for a, x in plans.items() if isinstance(x, Nested)}
     if nested:
-        joins = " ".join(f"left join ({x.sql.format(**names)}) j_{a} on " + " and ".join(f"j_{a}.{c} = m.{c}" for c in keys) for a, x in nested.items())
-        values = ", ".join((f"coalesce(j_{a}.v, {x.default})" if x.default else shown(f"j_{a}.v")) + f" as {a}" for a, x in nested.items())
+        # features over one inner query (counts of values, of patterns) are aggregated there together
+        inner: dict[str, list[tuple[str, str]]] = {}
+        for a, x in nested.items():
+            value, _, source = x.sql.removeprefix("select {K}, ").partition(" as v from ")
+            inner.setdefault(source, []).append((a, value))
+        joins = " ".join(f"left join (select {k}, {', '.join(f'{v.format(**names)} as {a}' for a, v in xs)} from {source.format(**names)}) j{j} on " + " and ".join(f"j{j}.{c} = m.{c}" for c in keys)
+                         for j, (source, xs) in enumerate(inner.items()))
+        place = {a: j for j, xs in enumerate(inner.values()) for a, _ in xs}
+        values = ", ".join((f"coalesce(j{place[a]}.{a}, {x.default})" if x.default else shown(f"j{place[a]}.{a}")) + f" as {a}" for a, x in nested.items())
         sql = f"select m.*, {values} from ({sql}) m {joins}"
     return doubles(sql)
 
