@@ -40,13 +40,14 @@ def test_many_segments(spark, small):
     assert files > 20 and {r["doc_id"]: r["n_tokens"] for r in got} == want
 
 
-def test_small_blocks_and_parts(spark):
-    """Many blocks, census buckets and sorted parts, against brute force."""
+@pytest.mark.parametrize(("crowded", "shelf"), [(20, 4096), (20, 3), (1, 7), (1000, 3)])
+def test_small_blocks_and_parts(spark, crowded, shelf):
+    """Many blocks, census buckets, sorted parts and shelves, against brute force."""
     rng = random.Random(7)
     passages = ["".join(rng.choice("abcdef ") for _ in range(n)) for n in (50, 51, 90, 400)]
     rows = [(i, "".join(rng.choice(passages) if rng.random() < 0.4 else "".join(rng.choice("abcdef ") for _ in range(rng.randrange(80))) for _ in range(5))) for i in range(250)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = sorted((tuple(r) for r in spans.remove_repeats(df, block_bytes=2000, bucket_bytes=3000, sort_bytes=1000, crowded=20).collect()), key=str)
+    got = sorted((tuple(r) for r in spans.remove_repeats(df, block_bytes=2000, bucket_bytes=3000, sort_bytes=1000, crowded=crowded, shelf=shelf).collect()), key=str)
     assert got == brute_repeats(rows)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("blocks_")]
 
