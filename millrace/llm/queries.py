@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, mixing, packing, pii, quality, rans, simhash, spans, vectors, warc
+from . import alignment, audio, mixing, packing, periods, pii, quality, rans, simhash, spans, toxicity, vectors, warc
 from .common import work_path
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 #: The tables hold no recordings: a text's bytes are read as 8-bit sound.
 TEXT_AS_SOUND = audio.Chroma(rate=8000, width=1, frame=256, hop=64)
 
@@ -65,7 +68,34 @@ def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.align_all(table(spark, sf_dir, "documents"), TEXT_AS_SOUND, "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_tokens, op4_suffixes, op5_simhash, op6_quality, op7_packing, op8_vectors, op9_mixing, op10_chroma)}
+def repeat_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a tenth of the documents, by crc32 of the id, repeat with a
+    period from some word on; the others, and those without an id, stay."""
+    h = zlib.crc32(str(doc_id).encode())
+    n = len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * (-(-(n - a) // p)))[:n - a]
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.find_runs(table(spark, sf_dir, "documents"), edit=repeat_tail)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", F.expr("if(score >= 0.3, 1, 0)").alias("predicted"), "n_passages")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_TOKENIZER)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_tokens, op4_suffixes, op5_simhash, op6_quality, op7_packing, op8_vectors, op9_mixing, op10_chroma, op11_runs, op12_toxicity, op13_alignment)}
 
 #: WARC types and references follow from payloads alone; the round trip through archives has to give the same.
 ORACLE_SQL = {
