@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..kernels import changepoints, periods
 from ..kernels.decompose import mstl, stl
 from ..kernels.smoothing import TooShort
+from .joins import interval_join
 from .series import Series, prepare
 
 
@@ -162,8 +163,8 @@ def segment_costs(df: DataFrame, s: Series, segment: str) -> DataFrame:
 
 
 def segment_for_index(segments: DataFrame, points: DataFrame, s: Series, index: str = "i") -> DataFrame:
-    """Points with the segment that holds their position, joined on the keys."""
-    return points.join(segments.select(*s.keys, "segment", "start", "end"), list(s.keys)).where((F.col(index) >= F.col("start")) & (F.col(index) < F.col("end"))).drop("start", "end")
+    """Points with the segment that holds their position, as an interval join."""
+    return interval_join(points, segments.select(*s.keys, "segment", "start", "end"), s.keys, index, "start", "end").drop("start", "end")
 
 
 def decompose(df: DataFrame, s: Series, periods_: int | tuple[int, ...], robust: bool = False, **options) -> DataFrame:

@@ -1,8 +1,8 @@
 """Transformations of series: windows, scaling, Box-Cox, differences.
 
-All but the Box-Cox search and exponential weighting are window or aggregate
-expressions over one exchange on the keys; these two run over each series' array,
-in time that grows with its length.
+All but the Box-Cox search are window or aggregate expressions over one exchange
+on the keys; it runs over each series' array, in time that grows with its
+length. ``ewm`` and the operators of :mod:`chunks` split long series.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .chunks import ewm as ewm
 from .series import Series, cleaned, prepare
 
 ROLLING = ("mean", "std", "var", "min", "max", "sum", "median")
@@ -49,32 +50,6 @@ def expanding(df: DataFrame, s: Series, functions: tuple[str, ...] = EXPANDING)
     return p.withColumns({f"expanding_{f}": _aggregate(f, F.col("y")).over(w) for f in functions})
 
 
-def ewm(df: DataFrame, s: Series, alpha: float) -> DataFrame:
-    """Keys, ``i``, ``ds``, ``y``, ``ewm_mean``, ``ewm_var``, ``ewm_std``.
-
-    The mean starts at the first value and moves by ``alpha`` (clamped to 0..1)
-    of each surprise; the variance is the weighted mean of squares less the
-    squared mean, at least 0. A missing value leaves the state as it is.
-    """
-    a = min(1.0, max(0.0, alpha))
-    schema = T.StructType([*(df.schema[k] for k in s.keys), T.StructField("i", T.LongType()), T.StructField("ds", df.schema[s.ts].dataType), *(T.StructField(c, T.DoubleType()) for c in ("y", "m", "q"))])
-
-    def smoothed(x: pd.Series) -> pd.Series:
-        if a == 0.0:
-            return x.where(x.notna().cumsum() == 1).ffill()
-        return x.ewm(alpha=a, adjust=False, ignore_na=True).mean()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        y = pdf["y"].astype(float)
-        return pdf.assign(y=y, m=smoothed(y), q=smoothed(y * y))[schema.names]
-
-    out = prepare(df, s).select(*s.keys, F.col("i").cast("long").alias("i"), "ds", "y").groupBy(*s.keys).applyInPandas(run, schema)
-    y, m, q = (F.when(~F.isnan(c), F.col(c)) for c in ("y", "m", "q"))
-    var = F.greatest(q - m * m, F.lit(0.0))
-    return out.select(*s.keys, "i", "ds", y.alias("y"), m.alias("ewm_mean"), var.alias("ewm_var"), F.sqrt(var).alias("ewm_std"))
-
-
 SCALERS = ("standardize", "normalize", "robust", "center")
 
 

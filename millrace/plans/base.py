@@ -23,6 +23,14 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 HOURLY = "select event_type as key, date_trunc('hour', ts) as ds, cast(count(*) as double) as y from events group by 1, 2"
 
 
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one long, irregular series; the values of errors are missing."""
+    return table(spark, sf_dir, "events").select(F.lit("all").alias("key"), F.col("ts").alias("ds"), F.when(F.col("event_type") != "error", F.col("value")).alias("y"))
+
+
+TICKS = "select 'all' as key, ts as ds, case when event_type <> 'error' then value end as y from events"
+
+
 def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As :func:`hourly`, with every sixth hour's value missing."""
     return hourly(spark, sf_dir).withColumn("y", F.when(F.hour("ds") % 6 != 0, F.col("y")))

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import arrays, features, forecasts, stats_tests
 from ..kernels.numeric import normal_quantile
 from ..kernels.registry import MODELS
-from ..operators import detect, evaluate, forecast, series, transforms
+from ..operators import chunks, detect, evaluate, forecast, joins, series, transforms
 from ..operators.series import Series
 from ..streaming import online
 from . import sql
-from .base import DAILY, DEMAND, GAPPY, HOURLY, MONTHLY, S, WAVY, daily, demand, gappy, hourly, monthly, prepared, shown, table, wavy
+from .base import DAILY, DEMAND, GAPPY, HOURLY, MONTHLY, S, TICKS, WAVY, daily, demand, gappy, hourly, monthly, prepared, shown, table, ticks, wavy
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -141,6 +141,55 @@ add("xf_suggest_differencing", lambda sp, d: transforms.suggest_differencing(dai
     f"with p as ({prepared(DAILY)}), d as (select key, y, y - lag(y, 1) over ({W}) as d1, y - 2 * lag(y, 1) over ({W}) + lag(y, 2) over ({W}) as d2 from p), v as (select key, var_samp(y) as v0, var_samp(d1) as v1, var_samp(d2) as v2 from d group by key) "
     "select key, cast(case when v0 > 0 and v1 < 0.9 * v0 then case when v2 < 0.9 * v1 and v2 < v0 then 2 else 1 end else 0 end as integer) as d from v")
 
+# --- long series in chunks ---------------------------------------------------------------
+
+#: Rows of a chunk in the queries, so that one series of the smallest tables has several.
+_ROWS = 1024
+_LONG = prepared(TICKS)
+add("chunk_positions", lambda sp, d: (lambda p: p.select("key", chunks.micros(p, "ds").alias("t"), "i", "k", "y"))(chunks.positions(ticks(sp, d), S, _ROWS)),
+    f"select key, epoch_us(ds) as t, i, count(y) over ({W} rows unbounded preceding) as k, y from ({_LONG}) p")
+add("chunk_rolling", lambda sp, d: shown(chunks.rolling(ticks(sp, d), S, 50, transforms.ROLLING, rows=_ROWS), "key", "i", *_cols("rolling", transforms.ROLLING)),
+    f"select key, i, {', '.join(r(f'case when i >= 49 then {x} over ({W} rows between 49 preceding and current row) end', f'rolling_{f}') for f, x in _AGGS.items())} from ({_LONG}) p")
+add("chunk_rolling_centered", lambda sp, d: shown(chunks.rolling(ticks(sp, d), S, 24, ("mean", "min", "max"), center=True, rows=_ROWS), "key", "i", *_cols("rolling", ("mean", "min", "max"))),
+    f"select key, i, {', '.join(r(f'{_AGGS[f]} over ({W} rows between 12 preceding and 11 following)', f'rolling_{f}') for f in ('mean', 'min', 'max'))} from ({_LONG}) p")
+add("chunk_lagged", lambda sp, d: shown(chunks.lagged(ticks(sp, d), S, (1, 30, -2), _ROWS), "key", "i", "y", "lag_1", "lag_30", "lag_-2"),
+    f'select key, i, y, lag(y, 1) over ({W}) as lag_1, lag(y, 30) over ({W}) as lag_30, lead(y, 2) over ({W}) as "lag_-2" from ({_LONG}) p')
+add("chunk_difference", lambda sp, d: shown(chunks.difference(ticks(sp, d), S, 2, 7, _ROWS), "key", "i", "diff"),
+    f"select key, i, {r(f'y - 2 * lag(y, 7) over ({W}) + lag(y, 14) over ({W})', 'diff')} from ({_LONG}) p")
+# a weight is under 1e-18 of the latest after 120 values; pairs further apart are left out of the sum
+add("chunk_ewm", lambda sp, d: shown(chunks.ewm(ticks(sp, d), S, 0.3, _ROWS), "key", "i", "ewm_mean", "ewm_var"),
+    f"with p as (select key, i, y, count(y) over ({W} rows unbounded preceding) as k from ({_LONG}) p), v as (select key, k, y, case when k = 1 then 1.0e0 else 0.3e0 end as w from p where y is not null), "
+    "e as (select a.key, a.k, sum(b.w * b.y * power(0.7e0, a.k - b.k)) as m, sum(b.w * b.y * b.y * power(0.7e0, a.k - b.k)) as q from v a join v b on a.key = b.key and b.k between a.k - 120 and a.k group by a.key, a.k) "
+    f"select p.key, i, {r('m', 'ewm_mean')}, {r('greatest(q - m * m, 0.0)', 'ewm_var')} from p left join e on p.key = e.key and p.k = e.k")
+
+# --- joins by time -------------------------------------------------------------------------
+
+_BUYS, _VIEWS = "select event_id, user_id, ts from events where event_type = 'purchase'", "select user_id, ts, value from events where event_type = 'view'"
+
+
+def _sides(sp: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Purchases, and the views of the same users."""
+    e = table(sp, d, "events")
+    return e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'view'").select("user_id", "ts", "value")
+
+
+def _asof(direction: str, **options) -> Query:
+    return lambda sp, d: (lambda j: j.select("event_id", chunks.micros(j, "seen_ts").alias("seen"), "seen_value"))(
+        joins.asof_join(*_sides(sp, d), ("user_id",), "ts", "ts", ("value",), direction, prefix="seen_", rows=_ROWS, **options))
+
+
+_ASOF = "select a.event_id, epoch_us(b.ts) as seen, b.value as seen_value from ({a}) a asof left join ({b}) b on a.user_id = b.user_id and a.ts {op} b.ts"
+for _d, _op in (("backward", ">="), ("forward", "<=")):
+    add(f"join_asof_{_d}", _asof(_d), _ASOF.format(a=_BUYS, b=_VIEWS, op=_op))
+add("join_asof_nearest", _asof("nearest", tolerance=6 * 3_600_000_000),
+    f"with b as ({_ASOF.format(a=_BUYS, b=_VIEWS, op='>=')}), f as ({_ASOF.format(a=_BUYS, b=_VIEWS, op='<=')}), n as (select a.event_id, epoch_us(a.ts) as t, b.seen as bs, b.seen_value as bv, f.seen as fs, f.seen_value as fv "
+    f"from ({_BUYS}) a join b on a.event_id = b.event_id join f on a.event_id = f.event_id), c as (select event_id, t, case when bs is null or fs - t < t - bs then fs else bs end as seen, case when bs is null or fs - t < t - bs then fv else bv end as seen_value from n) "
+    "select event_id, case when abs(t - seen) <= 21600000000 then seen end as seen, case when abs(t - seen) <= 21600000000 then seen_value end as seen_value from c")
+# what else a user does while an error lasts: its value in hours, so from seconds to days
+add("join_interval", lambda sp, d: (lambda e: joins.interval_join(e.where("event_type <> 'error'").select("event_id", "user_id", "ts"), e.where("event_type = 'error'").select(
+    F.col("event_id").alias("error_id"), "user_id", F.col("ts").alias("since"), F.expr("ts + make_dt_interval(0, 0, 0, round(value * 3600, 0))").alias("until")), ("user_id",), "ts", "since", "until").select("event_id", "error_id"))(table(sp, d, "events")),
+    "select p.event_id, e.event_id as error_id from events p join events e on p.user_id = e.user_id and p.event_type <> 'error' and e.event_type = 'error' and p.ts >= e.ts and p.ts < e.ts + to_microseconds(cast(round(e.value * 3600) as bigint) * 1000000)")
+
 # --- detection -----------------------------------------------------------------------
 
 _Q = "list_sort(list(y))"
