@@ -35,9 +35,12 @@ _GAP = r"[ \t]{0,3}(?:number|no\.?|nr\.?|#)?[ \t]{0,3}[:=#]?[ \t]{0,3}"
 _IBAN = re.compile(_GAP + r"([A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30})")
 _SSN = re.compile(_GAP + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 _ACCOUNT = re.compile(_GAP + r"([0-9]{6,17})(?![0-9])")
-_USERINFO = re.compile(r"[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+(?::[0-9]+)?")
-#: After a cue of a secret: the rest of its name, a separator, perhaps a quote, and the value.
-_ASSIGNED = re.compile(r"[A-Za-z0-9_-]{0,20}[\"']?[ \t]{0,3}(?::=|=>|[:=])[ \t]{0,3}[\"'`]?([^\s\"'`,;<>()\[\]{}]{6,})")
+_USERINFO = re.compile(r"[^\s/@:]+:[^\s/]+@[A-Za-z0-9.-]+(?::[0-9]+)?")
+#: After a cue of a secret: the rest of its name, a separator, perhaps a quote; then comes the value.
+_ASSIGNED = re.compile(r"[A-Za-z0-9_-]{0,20}[\"']?(?:[ \t]{0,3}(?::=|=>|[:=])[ \t]{0,3}|[ \t]{1,3}(?:is|was)[ \t]{1,3})[\"'`]?(?=[^\s\"'`,;<>()\[\]{}]{6})")
+_VALUE = re.compile(r"[^\s\"'`,;<>()\[\]{}]+")
+_TOKEN_PART = re.compile(r"[A-Za-z0-9_-]+")
+_TOKEN_REST = re.compile(r"(?:\.[A-Za-z0-9_-]{5,}){2}")
 _BEARER = re.compile(r"[ \t]{1,3}([A-Za-z0-9._~+/-]{16,}=*)")
 
 # Lengths of account numbers by country, as published for ISO 13616.
@@ -51,7 +54,7 @@ _SECRET_CUES = ("password", "passwd", "passphrase", "secret", "token", "apikey",
 # Published prefixes of access keys and what follows them.
 _KEY_PREFIXES = {p: re.compile(follows) for p, follows in (
     ("AKIA", "[0-9A-Z]{16}"), ("ASIA", "[0-9A-Z]{16}"), ("ghp_", "[A-Za-z0-9]{36,}"), ("gho_", "[A-Za-z0-9]{36,}"), ("ghs_", "[A-Za-z0-9]{36,}"), ("github_pat_", "[A-Za-z0-9_]{22,}"),
-    ("glpat-", "[A-Za-z0-9_-]{20,}"), ("xoxb-", "[A-Za-z0-9-]{10,}"), ("xoxp-", "[A-Za-z0-9-]{10,}"), ("sk_live_", "[A-Za-z0-9]{16,}"), ("sk_test_", "[A-Za-z0-9]{16,}"), ("AIza", "[0-9A-Za-z_-]{35}"))}
+    ("glpat-", "[A-Za-z0-9_-]{20,}"), ("xoxb-", "[A-Za-z0-9-]{10,}"), ("xoxp-", "[A-Za-z0-9-]{10,}"), ("sk_live_", "[A-Za-z0-9]{16,}"), ("sk-", "[A-Za-z0-9_-]{20,}"), ("sk_test_", "[A-Za-z0-9]{16,}"), ("AIza", "[0-9A-Za-z_-]{35}"))}
 
 _AUTOMATON: ahocorasick.Automaton | None = None
 
@@ -70,6 +73,8 @@ def _automaton() -> ahocorasick.Automaton:
         for cue in _SECRET_CUES:
             a.add_word(cue, "secret")
         a.add_word("bearer", "bearer")
+        a.add_word("eyj", "web token")
+        a.add_word("private key-----", "private key")
         for prefix in _KEY_PREFIXES:
             a.add_word(prefix.lower(), prefix)
         a.make_automaton()
@@ -98,11 +103,25 @@ def _iban_end(text: str, start: int, stop: int) -> int:
     return at if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1 else 0
 
 
-def _secret_ok(value: str, cue: str) -> bool:
-    """Whether a value is one: a password of any make but a plain word, else long, with letters and digits."""
-    if cue.startswith("pass"):
-        return any(not c.isalpha() for c in value)
-    return len(value) >= 16 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+class _Value:
+    """The unbroken run from a place on, as the value of a secret: what is asked
+    of it is found once, and holds for every later start within the run."""
+
+    def __init__(self, text: str, start: int):
+        self.end = _VALUE.match(text, start).end()
+        self.stop = start + len(text[start:self.end].rstrip(".:?"))
+
+        def last(good) -> int:
+            return next((i for i in range(self.stop - 1, start - 1, -1) if good(text[i])), -1)
+
+        self.digit, self.letter, self.other = last(str.isdigit), last(str.isalpha), last(lambda c: not c.isalpha())
+
+    def ok(self, start: int, cue: str) -> bool:
+        """Whether the value from ``start`` is a secret: a password of any make
+        but a plain word, else long, with letters and digits."""
+        if cue.startswith("pass"):
+            return self.stop - start >= 6 and self.other >= start
+        return self.stop - start >= 16 and self.digit >= start and self.letter >= start
 
 
 def _lowered(text: str) -> str:
@@ -117,17 +136,23 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     The four base kinds give exactly the leftmost non-overlapping matches of
     their patterns, less those that fail validation; the others are extra. Cues
     count in any letter case. Secrets are what a cue (``password``, ``token``,
-    ``api_key`` and so on) is set to, what follows ``bearer``, and access keys with a
-    known prefix.
+    ``api_key`` and so on) is set to, what follows ``bearer``, access keys with a
+    known prefix, signed web tokens and private keys in text form. Time is in
+    proportion to the text's length: no stretch is read anew for each cue in it.
     """
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    email_end = ip_end = card_end = phone_end = 0
+    email_end = ip_end = card_end = phone_end = token_end = pem_end = 0
+    value: _Value | None = None
     low = _lowered(text)
 
     def add(kind: str, start: int, end: int) -> None:
         if not out[kind] or start >= out[kind][-1][1]:
             out[kind].append((start, end))
 
+    def free(start: int) -> bool:
+        """Whether no secret found so far reaches there."""
+        return not out["secret"] or start >= out["secret"][-1][1]
+
     for at, kind in _automaton().iter(low):
         if kind == "digit":
             if at >= card_end:
@@ -166,17 +191,31 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 out[kind].append((start, m.end()))
         elif kind == "secret":
             cue = next(c for c in _SECRET_CUES if low.endswith(c, max(0, at + 1 - len(c)), at + 1))
-            if not low[max(0, at - len(cue)):at + 1 - len(cue)].isalpha() and (m := _ASSIGNED.match(text, at + 1)):
-                value = m[1].rstrip(".:!?")
-                if len(value) >= 6 and _secret_ok(value, cue):
-                    add(kind, m.start(1), m.start(1) + len(value))
+            if not low[max(0, at - len(cue)):at + 1 - len(cue)].isalpha() and (m := _ASSIGNED.match(text, at + 1)) and free(m.end()):
+                if value is None or m.end() >= value.end:
+                    value = _Value(text, m.end())
+                if value.ok(m.end(), cue):
+                    out["secret"].append((m.end(), value.stop))
         elif kind == "bearer":
-            if (m := _BEARER.match(text, at + 1)) and _secret_ok(m[1], "bearer"):
-                add("secret", m.start(1), m.start(1) + len(m[1].rstrip(".")))
+            if (m := _BEARER.match(text, at + 1)) and free(m.start(1)) and _Value(text, m.start(1)).ok(m.start(1), "bearer"):
+                out["secret"].append((m.start(1), m.start(1) + len(m[1].rstrip("."))))
+        elif kind == "web token":
+            start = at - 2
+            if start >= token_end and text.startswith("eyJ", start) and not text[max(0, start - 1):start].isalnum() and free(start):
+                token_end = _TOKEN_PART.match(text, start).end()  # every start within this part fails alike
+                if m := _TOKEN_REST.match(text, token_end):
+                    out["secret"].append((start, m.end()))
+        elif kind == "private key":
+            start = text.rfind("-----BEGIN ", max(0, at - 60), at)
+            if start >= 0 and free(start) and pem_end >= 0:
+                pem_end = text.find("-----END ", at)
+                if pem_end >= 0:
+                    stop = text.find("-----", pem_end + 9, pem_end + 69)
+                    out["secret"].append((start, stop + 5 if stop >= 0 else pem_end + 8))
         elif kind in _KEY_PREFIXES:
             start = at + 1 - len(kind)
-            if text.startswith(kind, start) and not text[max(0, start - 1):start].isalnum() and (m := _KEY_PREFIXES[kind].match(text, at + 1)):
-                add("secret", start, m.end())
+            if text.startswith(kind, start) and not text[max(0, start - 1):start].isalnum() and free(start) and (m := _KEY_PREFIXES[kind].match(text, at + 1)):
+                out["secret"].append((start, m.end()))
         else:
             m = {"iban": _IBAN, "ssn": _SSN, "account": _ACCOUNT}[kind].match(text, at + 1)
             if not m:
