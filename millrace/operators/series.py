@@ -165,17 +165,28 @@ def _month_steps(first: Column, last: Column, months: int) -> Column:
     return F.filter(grown, lambda t: t <= last)
 
 
+#: Grid points that are made at once.
+_GRID = 10_000
+
+
 def fill_gaps(df: DataFrame, s: Series, frequency: str | int | Frequency) -> DataFrame:
     """Keys, time and value on the regular grid from each series' first to last
-    row; grid points without a row get NULL, rows off the grid are left out."""
+    row; grid points without a row get NULL, rows off the grid are left out.
+
+    A grid of seconds is made ``_GRID`` points at a time, so that its length
+    costs no memory; one of months is an array of a series' months.
+    """
     f = frequency if isinstance(frequency, Frequency) else parse_frequency(frequency)
     ts = F.col(s.ts).cast("timestamp")
     ends = df.groupBy(*s.keys).agg(F.min(ts).alias("__first"), F.max(ts).alias("__last"))
     if f.seconds:
-        grid = F.sequence(F.col("__first"), F.col("__last"), F.expr(f"interval {f.seconds} seconds"))
+        step = f.seconds * 1_000_000
+        sized = ends.where("__first is not null").withColumn("__n", F.expr(f"(unix_micros(__last) - unix_micros(__first)) div {step}"))
+        blocks = sized.withColumn("__b", F.explode(F.expr(f"sequence(0L, __n div {_GRID})")))
+        points = blocks.withColumn("__i", F.explode(F.expr(f"sequence(__b * {_GRID}, least(__n, __b * {_GRID} + {_GRID - 1}))")))
+        steps = points.select(*s.keys, F.timestamp_micros(F.unix_micros("__first") + F.col("__i") * step).alias(s.ts))
     else:
-        grid = _month_steps(F.col("__first"), F.col("__last"), f.months)
-    steps = ends.select(*s.keys, F.explode(grid).alias(s.ts))
+        steps = ends.select(*s.keys, F.explode(_month_steps(F.col("__first"), F.col("__last"), f.months)).alias(s.ts))
     rows = df.select(*s.keys, ts.alias(s.ts), cleaned(F.col(s.value)).alias(s.value), *s.regressors)
     return steps.join(rows, [*s.keys, s.ts], "left")
 

@@ -57,6 +57,17 @@ def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 MONTHLY = "select o_orderpriority as key, date_trunc('month', o_orderdate)::timestamp as ds, round(sum(o_totalprice), 2) / 1000 as y from orders group by 1, 2"
 
 
+def by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenue of each order in thousands, with month, region and nation of its customer."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey")).join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+    o = table(spark, sf_dir, "orders").join(c, F.expr("o_custkey = c_custkey"))
+    return o.select(F.col("r_name").alias("region"), F.col("n_name").alias("nation"), F.date_trunc("month", "o_orderdate").alias("ds"), (F.col("o_totalprice") / 1000).alias("y"))
+
+
+BY_NATION = ("select r_name as region, n_name as nation, date_trunc('month', o_orderdate)::timestamp as ds, o_totalprice / 1000 as y from orders join customer on o_custkey = c_custkey "
+             "join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
+
+
 def wavy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events an hour, zeros filled in, on top of a wave of 24 hours as strong as the mean and a half."""
     h = fill_gaps(hourly(spark, sf_dir), S, "1h").withColumn("y", F.coalesce("y", F.lit(0.0)))

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import arrays, features, forecasts, stats_tests
 from ..kernels.numeric import normal_quantile
 from ..kernels.registry import MODELS
-from ..operators import chunks, detect, evaluate, forecast, joins, series, transforms
+from ..operators import chunks, detect, evaluate, forecast, hierarchy, joins, series, transforms
 from ..operators.series import Series
 from ..streaming import online
 from . import sql
-from .base import DAILY, DEMAND, GAPPY, HOURLY, MONTHLY, S, TICKS, WAVY, daily, demand, gappy, hourly, monthly, prepared, shown, table, ticks, wavy
+from .base import BY_NATION, DAILY, DEMAND, GAPPY, HOURLY, MONTHLY, S, TICKS, WAVY, by_nation, daily, demand, gappy, hourly, monthly, prepared, shown, table, ticks, wavy
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -190,6 +190,34 @@ add("join_interval", lambda sp, d: (lambda e: joins.interval_join(e.where("event
     F.col("event_id").alias("error_id"), "user_id", F.col("ts").alias("since"), F.expr("ts + make_dt_interval(0, 0, 0, round(value * 3600, 0))").alias("until")), ("user_id",), "ts", "since", "until").select("event_id", "error_id"))(table(sp, d, "events")),
     "select p.event_id, e.event_id as error_id from events p join events e on p.user_id = e.user_id and p.event_type <> 'error' and e.event_type = 'error' and p.ts >= e.ts and p.ts < e.ts + to_microseconds(cast(round(e.value * 3600) as bigint) * 1000000)")
 
+# --- hierarchies ------------------------------------------------------------------------------
+
+_PATH = ("region", "nation")
+_TREE = "select region, nation, 2 - grouping(region) - grouping(nation) as level, ds, sum(y) as y, count(y) as n from ({b}) b group by rollup (region, nation), ds"
+add("hier_aggregate", lambda sp, d: shown(hierarchy.aggregate(by_nation(sp, d), S, _PATH), "region", "nation", "level", "ds", "y", "n"),
+    f"select region, nation, level::integer as level, epoch(ds)::bigint as t, round(y, 6) + 0.0e0 as y, n from ({_TREE.format(b=BY_NATION)}) a where level <= 2")
+add("hier_summing", lambda sp, d: hierarchy.summing(by_nation(sp, d), _PATH),
+    f"with b as (select distinct region, nation from ({BY_NATION}) x) select case when level > 0 then region end as region, case when level > 1 then nation end as nation, level, region as b_region, nation as b_nation from b, (values (0), (1), (2)) v(level)")
+
+
+def _medians(sp: SparkSession, d: str) -> DataFrame:
+    """Each node's median month: forecasts that do not add up."""
+    nodes = hierarchy.aggregate(by_nation(sp, d), S, _PATH)
+    return nodes.groupBy(*_PATH, "level").agg(F.percentile("y", 0.5).alias("y"), F.var_samp("y").alias("spread")).withColumn("ds", F.lit(0))
+
+
+_MEDIANS = f"select region, nation, level, 0 as ds, median(y) as y, var_samp(y) as spread from ({_TREE.format(b=BY_NATION)}) a group by region, nation, level"
+# the normal equations of least squares on two levels below the whole, one unknown a node
+_RECONCILED = """with m as ({medians}), b as (select region, nation, y as m, {w} as v from m where level = 2), r as (select region, y as f, {w} as w from m where level = 1), a as (select y as f, {w} as w from m where level = 0),
+    rs as (select b.region, sum(b.m) as sm, sum(b.v) as sv from b group by b.region), rr as (select rs.region, sm, sv, 1 / (1 / w + 1 / sv) as v, (f / w + sm / sv) / (1 / w + 1 / sv) as m from rs join r on r.region = rs.region),
+    t as (select sum(m) as sm, sum(v) as sv from rr), x as (select (f / w + sm / sv) / (1 / w + 1 / sv) as x, sm, sv from t, a), xr as (select rr.*, rr.m + rr.v / x.sv * (x.x - x.sm) as x from rr, x)
+    select null as region, null as nation, 0 as level, {r} from x union all select region, null, 1, {r} from xr union all select b.region, b.nation, 2, round(b.m + b.v / xr.sv * (xr.x - xr.sm), 4) + 0.0e0 from b join xr on b.region = xr.region"""
+for _n, _w in (("hier_reconcile", None), ("hier_reconcile_weighted", "spread")):
+    add(_n, lambda sp, d, w=_w: shown(hierarchy.reconcile(_medians(sp, d), _PATH, weight=w), "region", "nation", "level", "reconciled", digits=4),
+        _RECONCILED.format(medians=_MEDIANS, w=_w or "1.0e0", r="round(x, 4) + 0.0e0 as reconciled"))
+add("hier_bottom_up", lambda sp, d: shown(hierarchy.bottom_up(_medians(sp, d), _PATH), "region", "nation", "level", "y"),
+    f"select region, nation, (2 - grouping(region) - grouping(nation))::integer as level, round(sum(y), 6) + 0.0e0 as y from ({_MEDIANS}) m where level = 2 group by rollup (region, nation)")
+
 # --- detection -----------------------------------------------------------------------
 
 _Q = "list_sort(list(y))"
@@ -401,6 +429,23 @@ add("stream_live_ewm", lambda sp, d: online.drained(online.running_ewm(_events(s
     "with e as (select event_type as key, value as y, row_number() over (partition by event_type order by ts) - 1 as i from events), m as (select a.key, a.i, sum(b.y * case when b.i = 0 then power(0.7e0, a.i) else 0.3e0 * power(0.7e0, a.i - b.i) end) as m from e a join e b on b.key = a.key and b.i <= a.i and b.i >= a.i - 150 group by a.key, a.i) "
     "select key, count(*) as rows, round(arg_max(m, i), 6) as last_mean, round(sum(m), 3) as sum_mean from m group by key")
 
+# events in four-hour spells, shuffled within each and cut into five files of overlapping times, so that later files bring earlier rows
+_LATE = 4 * 3600
+
+
+def _shuffled(sp: SparkSession, d: str) -> DataFrame:
+    e = table(sp, d, "events").select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ds"), F.col("value").alias("y"))
+    t = F.unix_seconds("ds")
+    span = F.floor((t - F.lit(1_704_067_200)) / 518_400)  # six days a file
+    part = F.greatest(F.lit(0), F.least(F.lit(4), F.when(F.pmod(t, F.lit(518_400)) < F.when(F.xxhash64("ds") % 2 == 0, _LATE - 60).otherwise(0), span - 1).otherwise(span)))
+    return online.replayed(e.withColumn("part", part.cast("int")), "part", "replay")
+
+
+add("stream_event_time_ewm", lambda sp, d: shown(online.drained(online.ordered_ewm(_shuffled(sp, d), S, 0.3, f"{_LATE} seconds"), "ordered").withColumn("t", F.unix_micros("ds")), "key", "t", "ewm_mean"),
+    "with e as (select event_type as key, epoch_us(ts) as t, value as y, row_number() over (partition by event_type order by ts) - 1 as i from events), m as (select a.key, a.t, sum(b.y * case when b.i = 0 then power(0.7e0, a.i) else 0.3e0 * power(0.7e0, a.i - b.i) end) as m "
+    "from e a join e b on b.key = a.key and b.i between a.i - 120 and a.i group by a.key, a.t) "
+    f"select key, t, round(m, 6) + 0.0e0 as ewm_mean from m where t // 1000 < (select max(epoch_us(ts)) // 1000 - {_LATE} * 1000 from events)")
+
 # --- flagship ------------------------------------------------------------------------------------
 
 

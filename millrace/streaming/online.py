@@ -25,8 +25,10 @@ def resample(events: DataFrame, s: Series, every: str = "1 hour", lateness: str
 
 def running_ewm(stream: DataFrame, s: Series, alpha: float = 0.3) -> DataFrame:
     """Keys, time, value, ``ewm_mean`` and ``ewm_var`` of a stream: the state of a key
-    is two numbers. Rows of a batch are taken by time; a missing value leaves the
-    state as it is."""
+    is two numbers. Rows are taken as they arrive, those of one batch by time, and
+    at once; a row that comes in a later batch than a newer one counts after it
+    (:func:`ordered_ewm` takes all rows by time). A missing value leaves the
+    state as it is. State is kept for every key for ever."""
     key_fields = [stream.schema[k] for k in s.keys]
     out = T.StructType([*key_fields, T.StructField("ds", T.TimestampType()), *(T.StructField(c, T.DoubleType()) for c in ("y", "ewm_mean", "ewm_var"))])
     state_type = T.StructType([T.StructField("m", T.DoubleType()), T.StructField("q", T.DoubleType())])
@@ -47,11 +49,80 @@ def running_ewm(stream: DataFrame, s: Series, alpha: float = 0.3) -> DataFrame:
     return rows.groupBy(*s.keys).applyInPandasWithState(step, out, state_type, "append", "NoTimeout")
 
 
+def ordered_ewm(stream: DataFrame, s: Series, alpha: float = 0.3, lateness: str = "2 hours", forget: str | None = None) -> DataFrame:
+    """As :func:`running_ewm`, in event time: a row waits in the state of its key
+    until the watermark (``lateness`` behind the newest time seen) has passed
+    it, and rows leave in order of time, whatever batch brought them.
+
+    Rows that come after the watermark has passed them are dropped (and those of
+    1970 and before, where every watermark starts); those that it never passes
+    stay behind, rows without a time are left out. Rows of one time are taken by value. With
+    ``forget``, a key's state goes once the watermark is that far past its last
+    row; the key then starts anew. The state is two numbers and the rows within
+    ``lateness``.
+    """
+    names = ("ds", "y", "ewm_mean", "ewm_var")
+    out = T.StructType([*(stream.schema[k] for k in s.keys), T.StructField("ds", T.TimestampType()), *(T.StructField(c, T.DoubleType()) for c in names[1:])])
+    longs, doubles = T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())
+    state_type = T.StructType([T.StructField("m", T.DoubleType()), T.StructField("q", T.DoubleType()), T.StructField("last", T.LongType()), T.StructField("ts", longs), T.StructField("ys", doubles)])
+    hold = None if forget is None else int(pd.Timedelta(forget).total_seconds() * 1000)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        m, q, last, ts, ys = state.get if state.exists else (None, None, None, [], [])
+        waiting = list(zip(ts, ys, strict=True))
+        for pdf in batches:
+            waiting += zip(pdf["us"].tolist(), pdf["y"].tolist(), strict=True)
+        waiting = sorted(((t, None if y is None or y != y or abs(y) == float("inf") else y) for t, y in waiting), key=lambda r: (r[0], r[1] is None, r[1] or 0.0))
+        rows, n = [], 0
+        for t, y in waiting:
+            if t // 1000 >= mark:
+                break
+            n += 1
+            if y is not None:
+                m, q = (y, y * y) if m is None else (alpha * y + (1 - alpha) * m, alpha * y * y + (1 - alpha) * q)
+            rows.append([*key, pd.Timestamp(t, unit="us"), y, m, None if m is None else max(0.0, q - m * m)])
+            last = t
+        rest = waiting[n:]
+        if not rest and hold is not None and (last is None or last // 1000 + hold < mark):
+            state.remove()
+        else:
+            state.update((m, q, last, [t for t, _ in rest], [y for _, y in rest]))
+            if rest or hold is not None:
+                state.setTimeoutTimestamp(max(rest[0][0] // 1000 if rest else last // 1000 + hold, mark + 1))
+        yield pd.DataFrame(rows, columns=out.names)
+
+    rows = stream.select(*s.keys, F.col(s.ts).cast("timestamp").alias("ds"), F.col(s.value).cast("double").alias("y")).where("ds is not null")
+    marked = rows.withWatermark("ds", lateness).withColumn("us", F.unix_micros("ds"))
+    return marked.groupBy(*s.keys).applyInPandasWithState(step, out, state_type, "append", "EventTimeTimeout")
+
+
+def replayed(rows: DataFrame, part: str, name: str) -> DataFrame:
+    """A table as a stream of one micro-batch per value of ``part`` (whole
+    numbers), in their order: each is written as a file of its own, in a folder
+    that the cluster shares, and the stream takes one file at a time."""
+    spark = rows.sparkSession
+    path = f"{_shared(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    for k in sorted(r[0] for r in rows.select(part).distinct().collect()):
+        rows.where(F.col(part) == k).drop(part).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.drop(part).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def read_stream(spark: SparkSession, folder: str, file: str, schema: T.StructType) -> DataFrame:
     """The Parquet files of a folder that are called ``file``, as a stream."""
     return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that the cluster shares; a temporary one only where all runs on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="millrace-")
+    return base.rstrip("/")
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """What a stream gives for all that is there now, as a table.
 
@@ -60,12 +131,7 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     machine). Windows that the watermark has not closed yet are left out.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="millrace-")
-    path = f"{base.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+    path = f"{_shared(spark)}/millrace/{name}-{uuid.uuid4().hex}"
     run = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
