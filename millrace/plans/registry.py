@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import arrays, features, forecasts, stats_tests
+from ..functions import arrays, features, forecasts, sketches, stats_tests
 from ..kernels.numeric import normal_quantile
 from ..kernels.registry import MODELS
 from ..operators import chunks, detect, evaluate, forecast, hierarchy, joins, series, transforms
@@ -190,6 +190,25 @@ add("join_interval", lambda sp, d: (lambda e: joins.interval_join(e.where("event
     F.col("event_id").alias("error_id"), "user_id", F.col("ts").alias("since"), F.expr("ts + make_dt_interval(0, 0, 0, round(value * 3600, 0))").alias("until")), ("user_id",), "ts", "since", "until").select("event_id", "error_id"))(table(sp, d, "events")),
     "select p.event_id, e.event_id as error_id from events p join events e on p.user_id = e.user_id and p.event_type <> 'error' and e.event_type = 'error' and p.ts >= e.ts and p.ts < e.ts + to_microseconds(cast(round(e.value * 3600) as bigint) * 1000000)")
 
+# --- sketches ----------------------------------------------------------------------------------
+
+
+def _sketched_weeks(sp: SparkSession, d: str) -> DataFrame:
+    """Weeks merged from sketches of days: rows, and whether the estimates hold against all values."""
+    e = table(sp, d, "events").select(F.col("event_type").alias("key"), F.col("ts").alias("ds"), F.col("value").alias("y"))
+    weeks = sketches.estimated(sketches.merged(sketches.sketched(e, S), ["key", F.date_trunc("week", "bucket").alias("week")]))
+    seen = e.withColumn("week", F.date_trunc("week", "ds")).join(weeks, ["key", "week"])
+    near = [F.avg((F.col("y") < F.col(f"q_{q}")).cast("double")) <= q / 100 + 3 * sketches.RANK_ERROR + 1 / F.count("y") for q in (25, 50, 75)]
+    near += [F.avg((F.col("y") <= F.col(f"q_{q}")).cast("double")) >= q / 100 - 3 * sketches.RANK_ERROR for q in (25, 50, 75)]
+    distinct = F.abs(F.first("n_distinct") - F.count_distinct("y")) <= 1 + 4 * sketches.DISTINCT_ERROR * F.count_distinct("y")
+    ranks = near[0]
+    for x in near[1:]:
+        ranks = ranks & x
+    return seen.groupBy("key", "week").agg(F.first("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), ranks.alias("ranks_hold"), distinct.alias("distinct_holds")).withColumn("week", F.to_date("week").cast("string"))
+
+
+add("sketch_weeks", _sketched_weeks, "select event_type as key, cast(cast(date_trunc('week', ts) as date) as varchar) as week, count(value) as n, min(value) as low, max(value) as high, true as ranks_hold, true as distinct_holds from events group by 1, 2")
+
 # --- hierarchies ------------------------------------------------------------------------------
 
 _PATH = ("region", "nation")
