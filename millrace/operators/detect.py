@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..kernels import changepoints, periods
 from ..kernels.decompose import mstl, stl
 from ..kernels.smoothing import TooShort
+from . import spectra
 from .joins import interval_join
 from .series import Series, prepare
 
@@ -89,10 +90,13 @@ def detect_period_ensemble(df: DataFrame, s: Series, low: int = 2, high: int = 3
 
 
 def periodogram(df: DataFrame, s: Series, window: int | None = None, overlap: float = 0.5, threshold: float | None = None, low: int = 2, high: int = 365) -> DataFrame:
-    """Keys, ``rank``, ``period``, ``power``: plain, Welch's (with ``window``) or its
-    peaks only (with ``threshold``)."""
+    """Keys, ``rank``, ``period``, ``power``: plain, Welch's (with ``window``, by
+    segments, see :mod:`spectra`) or its peaks only (with ``threshold``)."""
+    if window and window >= 4:
+        return spectra.welch(df, s, window, overlap)
+
     def f(y: np.ndarray, _) -> list:
-        got = periods.welch(y, window, overlap) if window else periods.spectral_peaks(y, threshold, low, high) if threshold else periods.periodogram(y)
+        got = periods.spectral_peaks(y, threshold, low, high) if threshold and not window else periods.periodogram(y)
         return [(k + 1, int(p), float(v)) for k, (p, v) in enumerate(got)]
 
     return _per_series(df, s, f, [T.StructField("rank", T.IntegerType()), T.StructField("period", T.IntegerType()), T.StructField("power", T.DoubleType())])

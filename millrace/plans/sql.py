@@ -65,8 +65,8 @@ def lempel_ziv_binary(p: str) -> str:
 # --- spectra and periods ----------------------------------------------------------
 
 
-def welch(p: str, window: int) -> str:
-    hop = window // 2
+def welch(p: str, window: int, hop: int | None = None) -> str:
+    hop = hop or window // 2
     return (f"with p as ({p}), g as (select key, n, unnest(generate_series(0, cast(n as bigint) - {window}, {hop})) as pos from (select distinct key, n from p) a), "
             f"t as (select g.key, pos, p.i - pos as i, {window} as n, y * 0.5e0 * (1 - cos(2 * pi() * (p.i - pos) / {window})) as y from g join p on p.key = g.key and p.i >= pos and p.i < pos + {window}), "
             f"s as (select key, pos, k, (power(sum(y * cos(2 * pi() * k * i / {window})), 2) + power(sum(y * sin(2 * pi() * k * i / {window})), 2)) / {window} as v from t, unnest(generate_series(1, {window // 2})) f(k) group by key, pos, k), "

@@ -174,3 +174,34 @@ def test_intervals_touch_two_cells_at_most(spark):
     assert out.count() == 200 * 3 + (1000 - 35) - 3
     assert joins.interval_join(points, spans.where("false"), ("key",), "p", "a", "z").count() == 0
     assert joins.interval_join(points.where("false"), spans, ("key",), "p", "a", "z").count() == 0
+
+
+@pytest.mark.parametrize("window,overlap", [(16, 0.5), (24, 0.9), (9, 0.0), (4, 0.3)])
+def test_welch_equals_one_series_at_a_time(spark, window, overlap):
+    import numpy as np
+
+    from millrace.kernels import periods
+    from millrace.operators import spectra
+
+    rng = np.random.default_rng(1)
+    lengths = {"a": 200, "b": window, "c": window - 1, "d": 3, "e": 1, None: 50}
+    ys = {k: rng.normal(size=n) for k, n in lengths.items()}
+    df = spark.createDataFrame([(k, i * i, float(v)) for k, y in ys.items() for i, v in enumerate(y)], "key string, ds long, y double")
+    got = {}
+    for r in spectra.welch(df, S, window, overlap, rows=20).orderBy("rank").collect():
+        got.setdefault(r["key"], []).append((r["period"], r["power"]))
+    for k, y in ys.items():
+        want = periods.welch(y, window, overlap)
+        assert [p for p, _ in got.get(k, [])] == [p for p, _ in want]
+        assert np.allclose([v for _, v in got.get(k, [])], [v for _, v in want])
+
+
+def test_welch_leaves_out_segments_with_gaps(spark):
+    from millrace.operators import spectra
+
+    rows = [("a", i, None if i in (0, 40) else float(i % 8)) for i in range(64)]
+    df = spark.createDataFrame(rows, "key string, ds long, y double")
+    cut = spectra.welch(df, S, 16, 0.0, rows=7)
+    whole = spectra.welch(df.where("ds between 16 and 31 or ds >= 48"), S, 16, 0.0, rows=7)
+    assert [tuple(r) for r in cut.collect()] == [tuple(r) for r in whole.collect()] and [r[2] for r in cut.collect()] == [16, 8, 5, 4, 3, 2]
+    assert spectra.welch(df.where("false"), S, 16).count() == 0
