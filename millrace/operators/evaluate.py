@@ -42,14 +42,60 @@ def metrics(df: DataFrame, groups: list[str], actual: str = "y", predicted: str
     return out.withColumn("mase", F.when(F.col("__s") > 0, F.col("mae") / F.nullif(F.col("__s"), F.lit(0.0)))).drop("__s")
 
 
+#: Models whose forecast from every origin is a window expression.
+WINDOWED = ("naive", "random_walk_with_drift", "seasonal_naive", "historic_average", "window_average")
+#: What these take where nothing is given: the period, and the rows of ``window_average``.
+_PERIOD, _AVERAGED = 12, 7
+
+
+def _windowed_folds(df: DataFrame, s: Series, names: list[str], window: int, horizon: int, step: int, expanding: bool, period: int | None) -> DataFrame:
+    """:func:`cross_validate` for models of ``WINDOWED``: each row is an origin's
+    last training row, whose forecast looks back over the frame of that origin,
+    and a test row takes it from as many rows ago as it is ahead. One sort of
+    each series serves all folds, models and steps; no row is copied for a fold.
+    """
+    m = period or _PERIOD
+    w = Window.partitionBy(*s.keys).orderBy("ds")
+    frame = w.rowsBetween(Window.unboundedPreceding if expanding else 1 - window, 0)
+    p = df.select(*s.keys, F.col(s.ts).alias("ds"), cleaned(F.col(s.value)).alias("y"))
+    p = p.withColumn("i", F.row_number().over(w).cast("long") - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*s.keys)))
+    size = F.col("i") + 1 if expanding else F.least(F.col("i") + 1, F.lit(window))
+    p = p.withColumns({"__size": size, "__seen": F.count("y").over(frame), "__first": F.first("y").over(frame), "__mean": F.avg("y").over(frame), "__last": F.avg("y").over(w.rowsBetween(1 - _AVERAGED, 0))})
+    p = p.withColumn("__slope", (F.col("y") - F.col("__first")) / F.nullif(F.col("__size") - 1, F.lit(0)))
+    need = {"naive": 1, "random_walk_with_drift": 2, "seasonal_naive": m, "historic_average": 1, "window_average": _AVERAGED}
+    steps = []
+    for h in range(1, horizon + 1):
+        def ago(c: str, extra: int = 0, h: int = h) -> Column:
+            return F.lag(c, h + extra).over(w)
+
+        point = {"naive": lambda: ago("y"), "random_walk_with_drift": lambda: ago("y") + h * ago("__slope"), "seasonal_naive": lambda: ago("y", m - 1 - (h - 1) % m),
+                 "historic_average": lambda: ago("__mean"), "window_average": lambda: ago("__last")}
+        short = {k: ago("__size") < need[k] for k in names}
+        gap = ago("__seen") < ago("__size")
+        found = [F.struct(F.lit(k).alias("model"), F.when(gap, "missing_values").when(short[k], "insufficient_data").otherwise("ok").alias("status"), F.when(~gap & ~short[k], point[k]()).alias("yhat")) for k in names]
+        p = p.withColumn(f"__h{h}", F.array(*found))
+        steps.append(F.struct(F.lit(h).alias("h"), (F.col("i") - h + 1 - window).alias("from"), F.col(f"__h{h}").alias("found")))
+    rows = p.select(*s.keys, "y", "n", F.explode(F.array(*steps)).alias("x")).where(f"x.from >= 0 and x.from % {step} = 0 and x.from + {window + horizon} <= n")
+    out = rows.select(*s.keys, F.expr(f"cast(x.from div {step} as int)").alias("fold"), "x.h", "y", F.explode("x.found").alias("f"))
+    return out.select(*s.keys, "f.model", "fold", "h", "y", "f.yhat", "f.status")
+
+
 def cross_validate(df: DataFrame, s: Series, models: Models, window: int = 10, horizon: int = 1, step: int = 1, expanding: bool = True, period: int | None = None, folds_per_task: int = 16) -> DataFrame:
     """Keys, ``model``, ``fold``, ``h``, ``y``, ``yhat``, ``status`` for every origin
     from ``window`` on, ``step`` apart, that leaves ``horizon`` values.
 
     A series is sent once for every ``folds_per_task`` neighbouring folds, whatever
     the number of models, and only the rows these folds need; so a long series runs
-    on several tasks. Regressors of the test rows are used as known.
+    on several tasks. Regressors of the test rows are used as known. Models of
+    ``WINDOWED`` that are given by name, without regressors, are window
+    expressions in the JVM instead.
     """
+    if not isinstance(models, dict) and not s.regressors:
+        given = [models] if isinstance(models, str) else list(dict.fromkeys(models))
+        if plain := [k for k in given if k in WINDOWED]:
+            folds = _windowed_folds(df, s, plain, window, horizon, step, expanding, period)
+            rest = [k for k in given if k not in WINDOWED]
+            return folds.unionByName(cross_validate(df, s, rest, window, horizon, step, expanding, period, folds_per_task)) if rest else folds
     use = specs(models, period)
     names = sorted(s.regressors)
     w = s.by_time()
