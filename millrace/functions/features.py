@@ -4,8 +4,8 @@ A feature is a SQL aggregate over the prepared frame (``i``, ``n``, ``y``) and
 the window columns it names; all features asked for share one pass: one
 exchange on the keys, one sort by time (plus one by value where ranks are
 needed) and one aggregation. Features that count values or runs first have a
-query of their own, and those without a closed form run as NumPy kernels over
-whole series. The SQL is written once for two dialects, Spark's and DuckDB's.
+query of their own, entropies of templates are a neighbour join, and those
+without a closed form run as NumPy kernels over whole series. The SQL is written once for two dialects, Spark's and DuckDB's.
 
 What the definitions call undefined (too short, no variation) is NULL.
 """
@@ -19,9 +19,11 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..kernels import features as kernels
+from ..operators import entropy
 from ..operators.series import Series, prepare
 
 EPS = "1e-10"
@@ -76,6 +78,15 @@ class Kernel:
     args: tuple = ()
 
 
+@dataclass(frozen=True)
+class Neighbours:
+    """A column of the neighbour join of templates (:mod:`millrace.operators.entropy`)."""
+
+    column: str
+    m: int
+    r: float
+
+
 L1, L2 = {"l1": "lag(y, 1) over ({W})"}, {"l2": "lag(y, 2) over ({W})"}
 MU, SD = {"mu": "avg(y) over ({P})"}, {"sd": "stddev_pop(y) over ({P})"}
 MN, MX = {"mn": "min(y) over ({P})"}, {"mx": "max(y) over ({P})"}
@@ -268,7 +279,7 @@ _KURT = (f"case when {N} >= 4 and max(sd) >= {EPS} then {N} * ({N} + 1.0) / (({N
          f"- 3.0 * ({N} - 1.0) * ({N} - 1.0) / (({N} - 2.0) * nullif({N} - 3.0, 0)) end")
 
 #: By name, as functions of the dialect and the feature's own parameters.
-FEATURES: dict[str, Callable[..., Agg | Nested | Kernel]] = {
+FEATURES: dict[str, Callable[..., Agg | Nested | Kernel | Neighbours]] = {
     # basic
     "abs_energy": _simple("sum(y * y)"), "absolute_maximum": _simple("max(abs(y))"), "absolute_sum_of_changes": _simple("coalesce(sum(abs(y - l1)), 0.0)", L1),
     "length": _simple("count(*)"), "maximum": _simple("max(y)"), "mean": _simple("avg(y)"), "mean_abs_change": _simple("avg(abs(y - l1))", L1),
@@ -291,7 +302,7 @@ FEATURES: dict[str, Callable[..., Agg | Nested | Kernel]] = {
     "has_duplicate": has_duplicate, "has_duplicate_max": _simple(f"{_count(f'abs(y - mx) < {EPS}')} > 1", MX), "has_duplicate_min": _simple(f"{_count(f'abs(y - mn) < {EPS}')} > 1", MN),
     "index_mass_quantile": index_mass_quantile, "value_count": value_count, "range_count": range_count,
     # entropy
-    "sample_entropy": lambda d, m=2, r=0.2: Kernel(kernels.sample_entropy, (m, r)), "approximate_entropy": lambda d, m=2, r=0.2: Kernel(kernels.approximate_entropy, (m, r)),
+    "sample_entropy": lambda d, m=2, r=0.2: Neighbours("sample_entropy", m, r), "approximate_entropy": lambda d, m=2, r=0.2: Neighbours("approximate_entropy", m, r),
     "permutation_entropy": permutation_entropy, "permutation_entropy_normalized": permutation_entropy_normalized, "binned_entropy": binned_entropy,
     "fourier_entropy": lambda d: Kernel(kernels.fourier_entropy),
     # complexity
@@ -331,7 +342,7 @@ def doubles(sql: str) -> str:
 
 
 def _sql(plans: dict[str, Agg | Nested], keys: tuple[str, ...], p: str, digits: int | None) -> str:
-    """One query for all but kernels."""
+    """One query for all but kernels and neighbour joins."""
     k = ", ".join(keys)
     names = {"K": k, "P": f"partition by {k}", "W": f"partition by {k} order by i", "p": p}
 
@@ -380,7 +391,7 @@ def features(df: DataFrame, s: Series, wanted: Iterable[Request] | None = None,
     plans = {a: FEATURES[f](Dialect(), **kw) for a, f, kw in requests}
     p = prepare(df, s)
     view = p.select(*s.keys, "i", "n", "y")
-    sql = _sql({a: x for a, x in plans.items() if not isinstance(x, Kernel)}, s.keys, "{p}", digits)
+    sql = _sql({a: x for a, x in plans.items() if isinstance(x, Agg | Nested)}, s.keys, "{p}", digits)
     out = df.sparkSession.sql(sql, p=view)
     own = {a: x for a, x in plans.items() if isinstance(x, Kernel)}
     if own:
@@ -395,4 +406,11 @@ def features(df: DataFrame, s: Series, wanted: Iterable[Request] | None = None,
 
         more = view.select(*s.keys, "i", "y").groupBy(*s.keys).applyInPandas(run, schema)
         out = out.join(more, list(s.keys))
+    joins: dict[tuple[int, float], dict[str, str]] = {}
+    for a, x in plans.items():
+        if isinstance(x, Neighbours):
+            joins.setdefault((x.m, x.r), {})[a] = x.column
+    for (m, r), columns in joins.items():
+        found = entropy.of_prepared(view, s.keys, m, r)
+        out = out.join(found.select(*s.keys, *((F.col(c) if digits is None else F.round(c, digits) + 0.0).alias(a) for a, c in columns.items())), list(s.keys))
     return out.select(*s.keys, *plans)

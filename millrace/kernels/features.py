@@ -43,34 +43,6 @@ def partial_autocorrelation(y: np.ndarray, lag: int = 1) -> float | None:
     return phi[lag - 1][-1] if len(phi) >= lag else 0.0
 
 
-def _matches(y: np.ndarray, m: int, count: int, r: float) -> np.ndarray:
-    """For each of ``count`` templates of length ``m``, how many are within r (itself included)."""
-    t = np.lib.stride_tricks.sliding_window_view(y, m)[:count]
-    out = np.empty(count, np.int64)
-    block = max(1, 4_000_000 // max(1, count * m))
-    for s in range(0, count, block):
-        out[s:s + block] = (np.abs(t[s:s + block, None, :] - t[None, :, :]).max(2) <= r).sum(1)
-    return out
-
-
-def sample_entropy(y: np.ndarray, m: int = 2, r: float = 0.2) -> float | None:
-    """-ln(A/B), pairs of distinct templates, absolute tolerance."""
-    n = len(y)
-    if n < m + 2:
-        return None
-    b = (_matches(y, m, n - m, r) - 1).sum()
-    a = (_matches(y, m + 1, n - m - 1, r) - 1).sum() if n - m - 1 > 0 else 0
-    return None if a == 0 or b == 0 else float(-np.log(a / b))
-
-
-def approximate_entropy(y: np.ndarray, m: int = 2, r: float = 0.2) -> float | None:
-    n = len(y)
-    if n < m + 1:
-        return None
-    phi = [np.log(_matches(y, k, n - k + 1, r) / (n - k + 1)).mean() for k in (m, m + 1)]
-    return float(phi[0] - phi[1])
-
-
 def fourier_entropy(y: np.ndarray) -> float | None:
     """Entropy of the power at frequencies 0..n/2-1, the mean's included."""
     n = len(y)

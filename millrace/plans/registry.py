@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, features, forecasts, sketches, stats_tests
 from ..kernels.numeric import normal_quantile
 from ..kernels.registry import MODELS
-from ..operators import chunks, detect, evaluate, forecast, hierarchy, joins, series, spectra, transforms
+from ..operators import chunks, detect, entropy, evaluate, forecast, hierarchy, joins, series, spectra, transforms
 from ..operators.series import Series
 from ..streaming import online
 from . import sql
@@ -73,7 +73,7 @@ add("core_wide", lambda sp, d: series.to_wide(hourly(sp, d).withColumn("t", F.un
 _WITH = {"quantile": {"q": 0.3}, "autocorrelation": {"lag": 3}, "partial_autocorrelation": {"lag": 2}, "number_peaks": {"support": 3}, "number_crossing_m": {"m": 2.0}, "count_above": {"t": 3.0}, "count_below": {"t": 3.0},
          "value_count": {"value": 2.0}, "range_count": {"low": 1.0, "high": 4.0}, "sample_entropy": {"m": 2, "r": 0.5}, "approximate_entropy": {"m": 2, "r": 0.5}, "ar_coefficient": {"k": 3, "coeff": 1},
          "energy_ratio_by_chunks": {"num_segments": 7, "segment_focus": 2}, "change_quantiles": {"ql": 0.2, "qh": 0.9, "isabs": True, "f": "var"}, "agg_autocorrelation": {"max_lag": 5, "f": "median"}}
-_KERNELS = {f for f in features.FEATURES if isinstance(features.FEATURES[f](features.Dialect()), features.Kernel)}
+_KERNELS = {f for f in features.FEATURES if isinstance(features.FEATURES[f](features.Dialect()), features.Kernel | features.Neighbours)}
 _R = "sum((y - mu) * (l{k} - mu)) / nullif((max(n) - {k}) * var_pop(y), 0)"
 _CLOSED = {  # the same numbers by another way than the kernels
     "partial_autocorrelation": f"with p as ({prepared(HOURLY)}) select key, {r('(r2 - r1 * r1) / nullif(1 - r1 * r1, 0)', 'partial_autocorrelation')} from (select key, {_R.format(k=1)} as r1, {_R.format(k=2)} as r2 "
@@ -81,12 +81,11 @@ _CLOSED = {  # the same numbers by another way than the kernels
     "ar_coefficient_yule_walker": f"with p as ({prepared(HOURLY)}), c as (select key, sum((y - mu) * (l1 - mu)) / sum((y - mu) * (y - mu)) as r1, sum((y - mu) * (l2 - mu)) / sum((y - mu) * (y - mu)) as r2 "
                                   f"from (select *, avg(y) over ({P}) as mu, lag(y, 1) over ({W}) as l1, lag(y, 2) over ({W}) as l2 from p) a group by key) select key, {r('(r2 - r1 * r1) / nullif(1 - r1 * r1, 0)', 'ar_coefficient_yule_walker')} from c",
 }
-_CLOSED["sample_entropy"] = (
-    f"with p as ({prepared(HOURLY)}), w as (select key, i, n, y, lead(y, 1) over ({W}) as f1, lead(y, 2) over ({W}) as f2 from p), m as (select a.key as key, count(*) as b, "
-    f"count(case when a.i < a.n - 3 and b.i < b.n - 3 and abs(a.f2 - b.f2) <= 0.5 then 1 end) as a from w a join w b on a.key = b.key and a.i < b.i and a.i < a.n - 2 and b.i < b.n - 2 and abs(a.y - b.y) <= 0.5 and abs(a.f1 - b.f1) <= 0.5 group by a.key) "
-    f"select key, {r('-ln(a * 1.0 / nullif(b, 0))', 'sample_entropy')} from m")
-_CLOSED |= {"approximate_entropy": sql.approximate_entropy(prepared(HOURLY), 0.5), "fourier_entropy": sql.fourier_entropy(prepared(HOURLY)), "ar_coefficient": sql.ar3_first(prepared(HOURLY)),
+_CLOSED |= {"sample_entropy": sql.sample_entropy(prepared(HOURLY), 0.5), "approximate_entropy": sql.approximate_entropy(prepared(HOURLY), 0.5), "fourier_entropy": sql.fourier_entropy(prepared(HOURLY)), "ar_coefficient": sql.ar3_first(prepared(HOURLY)),
             "lempel_ziv_complexity": sql.lempel_ziv(prepared(HOURLY)), "lempel_ziv_complexity_binary": sql.lempel_ziv_binary(prepared(HOURLY))}
+_MARKS = "select event_type as key, y, row_number() over (partition by event_type order by ts) - 1 as i, count(*) over (partition by event_type) as n from (select *, value as y from events) e"
+add("entropy_events", lambda sp, d: shown(entropy.entropies(table(sp, d, "events"), Series(keys=("event_type",), ts="ts", value="value"), 2, 10.0).withColumnRenamed("event_type", "key"), "key", "sample_entropy", "approximate_entropy"),
+    f"select s.key, sample_entropy, approximate_entropy from ({sql.sample_entropy(_MARKS, 10.0)}) s join ({sql.approximate_entropy(_MARKS, 10.0)}) a on a.key = s.key")
 for _f in features.FEATURES:
     _request = (_f, _f, _WITH.get(_f, {}))
     add(f"feat_{_f}", lambda sp, d, q=_request: features.features(hourly(sp, d), S, [q], digits=6),

@@ -17,6 +17,13 @@ def rounded(x: str, alias: str, digits: int = 6) -> str:
 # --- features -----------------------------------------------------------------
 
 
+def sample_entropy(p: str, r: float) -> str:
+    """Pairs of templates of two and three values, by self-join."""
+    return (f"with p as ({p}), w as (select key, i, n, y, lead(y, 1) over ({W}) as f1, lead(y, 2) over ({W}) as f2 from p), m as (select a.key as key, count(*) as b, "
+            f"count(case when a.i < a.n - 3 and b.i < b.n - 3 and abs(a.f2 - b.f2) <= {r} then 1 end) as a from w a join w b on a.key = b.key and a.i < b.i and a.i < a.n - 2 and b.i < b.n - 2 and abs(a.y - b.y) <= {r} and abs(a.f1 - b.f1) <= {r} group by a.key) "
+            f"select key, {rounded('-ln(a * 1.0 / nullif(b, 0))', 'sample_entropy')} from m")
+
+
 def approximate_entropy(p: str, r: float) -> str:
     """Templates of two and three values, by self-join."""
     return (f"with p as ({p}), w as (select key, i, n, y, lead(y, 1) over ({W}) as f1, lead(y, 2) over ({W}) as f2 from p), "
