@@ -1,19 +1,22 @@
 """Tests of residuals and of stationarity, one row per series.
 
-A series' centred values are one ordered array; products at each lag are
-higher-order functions over it, so the statistics never leave the JVM. Only
-the chi-squared tail is a vectorised Python function.
+Products at each lag are sums over lagged values, partial sums are window sums;
+no series is held as an array, and the statistics never leave the JVM. With
+``rows`` given, a long series runs on many tasks, in blocks of so many
+positions (:mod:`millrace.operators.chunks`); otherwise its rows are one sort.
+Only the chi-squared tail is a vectorised Python function.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..kernels.numeric import chi2_upper
-from ..operators.series import Series, prepare
+from ..operators import chunks
+from ..operators.series import Series, cleaned, prepare
 
 
 @F.pandas_udf(T.DoubleType())
@@ -21,33 +24,49 @@ def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or a != a else chi2_upper(float(a), int(k)) for a, k in zip(x, df, strict=True)], dtype=float)
 
 
-def _arrays(df: DataFrame, s: Series) -> DataFrame:
-    """Keys, ``n``, ``d`` (values less their mean, by time) and ``c0`` (their sum of squares)."""
-    p = prepare(df, s).where("y is not null")
-    a = p.groupBy(*s.keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "y"))), lambda r: r["y"]).alias("v"), F.avg("y").alias("mu"), F.count("y").alias("n"))
-    a = a.withColumn("d", F.expr("transform(v, x -> x - mu)"))
-    return a.withColumn("c0", F.expr("aggregate(d, 0D, (a, x) -> a + x * x)"))
-
-
-_PRODUCT = "aggregate(zip_with(slice(d, 1, n - k), slice(d, k + 1, n - k), (a, b) -> a * b), 0D, (t, x) -> t + x)"
-
-
-def _portmanteau(df: DataFrame, s: Series, lags: int | None, term: str, outer: str) -> DataFrame:
+def _sums(df: DataFrame, s: Series, most: int, partial: bool, rows: int | None) -> DataFrame:
+    """Keys, ``n`` and, of the values less their mean, ``c0`` (sum of squares),
+    ``products`` (sums of products at lags 1 to ``most``) and, if ``partial``,
+    ``q`` (sum of squares of the partial sums). Missing values are passed over."""
+    keys = list(s.keys)
+    known = df.where(cleaned(F.col(s.value)).isNotNull())
+    lags = range(1, most + 1)
+    if rows is None:
+        w = Window.partitionBy(*keys).orderBy("i")
+        p = prepare(known, s).withColumn("d", F.col("y") - F.avg("y").over(Window.partitionBy(*keys)))
+        p = p.select(*keys, "d", *(F.lag("d", k).over(w).alias(f"d{k}") for k in lags), *([F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run")] if partial else []))
+        runs = None
+    else:
+        size = max(rows, most, 1)
+        base = chunks.positions(known, s, size)
+        means = base.groupBy(*keys).agg(F.avg("y").alias("mu"), F.count("y").alias("n"))
+        means = means.select(*keys, "mu", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {size}"))).alias("block"))
+        p = chunks.with_halo(base, most, 0, size).join(means, [*keys, "block"]).withColumn("d", F.col("y") - F.col("mu"))
+        w = Window.partitionBy(*keys, "block").orderBy("i")
+        p = p.select(*keys, "i", "own", "d", *(F.lag("d", k).over(w).alias(f"d{k}") for k in lags)).where("own")
+        runs = chunks.decayed(p.select(*keys, "i", F.col("d").alias("run")), keys, "i", "i", ["run"], 1.0, size) if partial else None
+    squares = F.sum(F.col("run") * F.col("run")).alias("q")
+    products = F.array(*(F.coalesce(F.sum(F.col("d") * F.col(f"d{k}")), F.lit(0.0)) for k in lags)).cast("array<double>").alias("products")
+    out = p.groupBy(*keys).agg(F.count("d").alias("n"), F.sum(F.col("d") * F.col("d")).alias("c0"), products, *([squares] if partial and runs is None else []))
+    return out if runs is None else out.join(runs.groupBy(*keys).agg(squares), keys)
+
+
+def _portmanteau(df: DataFrame, s: Series, lags: int | None, term: str, outer: str, rows: int | None) -> DataFrame:
     chosen = f"{lags}L" if lags is not None else "greatest(1L, least(10L, n div 5))"
-    a = _arrays(df, s).where("n >= 3").withColumn("lags", F.expr(f"cast(least({chosen}, n - 1) as int)")).withColumn("n", F.col("n").cast("int"))
-    q = F.expr(f"aggregate(transform(sequence(1, lags), k -> power({_PRODUCT} / nullif(c0, 0D), 2) {term}), 0D, (t, x) -> t + x) * {outer}")
+    a = _sums(df, s, 10 if lags is None else lags, False, rows).where("n >= 3").withColumn("lags", F.expr(f"cast(least({chosen}, n - 1) as int)"))
+    q = F.expr(f"aggregate(transform(slice(products, 1, lags), (x, k) -> power(x / nullif(c0, 0D), 2) {term}), 0D, (t, x) -> t + x) * {outer}")
     return a.withColumn("statistic", F.when(F.col("c0") == 0, 0.0).otherwise(q))
 
 
-def ljung_box(df: DataFrame, s: Series, lags: int | None = None, fitted_params: int = 0) -> DataFrame:
+def ljung_box(df: DataFrame, s: Series, lags: int | None = None, fitted_params: int = 0, rows: int | None = None) -> DataFrame:
     """Keys, ``statistic``, ``p_value``, ``lags``, ``df``; NULLs under three values."""
-    a = _portmanteau(df, s, lags, "/ (n - k)", "n * (n + 2)").withColumn("df", F.greatest(F.lit(1), F.col("lags") - fitted_params))
+    a = _portmanteau(df, s, lags, "/ (n - k - 1)", "n * (n + 2)", rows).withColumn("df", F.greatest(F.lit(1), F.col("lags") - fitted_params))
     return _tail(df, s, a)
 
 
-def box_pierce(df: DataFrame, s: Series, lags: int | None = None) -> DataFrame:
+def box_pierce(df: DataFrame, s: Series, lags: int | None = None, rows: int | None = None) -> DataFrame:
     """As :func:`ljung_box`, without its correction for length or parameters."""
-    return _tail(df, s, _portmanteau(df, s, lags, "", "n").withColumn("df", F.col("lags")))
+    return _tail(df, s, _portmanteau(df, s, lags, "", "n", rows).withColumn("df", F.col("lags")))
 
 
 def _tail(df: DataFrame, s: Series, a: DataFrame) -> DataFrame:
@@ -61,8 +80,6 @@ def is_white_noise(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 def durbin_watson(df: DataFrame, s: Series) -> DataFrame:
     """Keys, ``statistic`` (2 if all zero) and ``interpretation``."""
-    from pyspark.sql import Window
-
     p = prepare(df, s)
     d = p.withColumn("e", F.col("y") - F.lag("y").over(Window.partitionBy(*s.keys).orderBy("ds")))
     g = d.groupBy(*s.keys).agg(F.max("n").alias("n"), F.sum(F.col("e") * F.col("e")).alias("a"), F.sum(F.col("y") * F.col("y")).alias("b"))
@@ -90,8 +107,6 @@ def adf_test(df: DataFrame, s: Series, max_lags: int | None = None) -> DataFrame
     The regression of differences on levels, begun ``lags`` rows later for each
     lag tried; the lag has the lowest AIC. No lagged differences enter.
     """
-    from pyspark.sql import Window
-
     p = prepare(df, s)
     top = f"{max_lags}L" if max_lags is not None else "cast(floor(power(n - 1, 1D / 3)) as bigint)"
     rows = p.withColumn("x", F.lag("y").over(Window.partitionBy(*s.keys).orderBy("ds"))).where("n >= 4 and i >= 1").withColumn("e", F.col("y") - F.col("x"))
@@ -109,13 +124,16 @@ def adf_test(df: DataFrame, s: Series, max_lags: int | None = None) -> DataFrame
     return df.select(*s.keys).distinct().join(best, list(s.keys), "left").select(*s.keys, "statistic", "p_value", "lags", F.coalesce("is_stationary", F.lit(False)).alias("is_stationary"))
 
 
-def kpss_test(df: DataFrame, s: Series, lags: int | None = None) -> DataFrame:
+def kpss_test(df: DataFrame, s: Series, lags: int | None = None, rows: int | None = None) -> DataFrame:
     """Keys, ``statistic``, ``p_value`` (by pieces; above 0.1 for small statistics),
-    ``lags``, ``is_stationary``. Bartlett weights."""
+    ``lags``, ``is_stationary``. Bartlett weights. Without ``lags``, the longest
+    series' length is counted first, as it decides how many there are."""
     chosen = f"{lags}L" if lags is not None else "cast(floor(4 * power(n / 100D, 0.25D)) as bigint)"
-    a = _arrays(df, s).where("n >= 4").withColumn("lags", F.expr(f"cast(greatest(1L, least({chosen}, n div 2)) as int)")).withColumn("n", F.col("n").cast("int"))
-    a = a.withColumn("num", F.expr("aggregate(d, named_struct('c', 0D, 'q', 0D), (t, x) -> named_struct('c', t.c + x, 'q', t.q + (t.c + x) * (t.c + x)), t -> t.q) / (n * 1D * n)"))
-    a = a.withColumn("var", F.expr(f"c0 / n + aggregate(transform(sequence(1, lags), k -> 2 * (1 - k / (lags + 1D)) * {_PRODUCT} / n), 0D, (t, x) -> t + x)"))
+    wanted = F.expr(f"cast(greatest(1L, least({chosen}, n div 2)) as int)")
+    most = max(1, lags) if lags is not None else df.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max(wanted)).first()[0] or 1
+    a = _sums(df, s, most, True, rows).where("n >= 4").withColumn("lags", wanted)
+    a = a.withColumn("num", F.expr("q / (n * 1D * n)"))
+    a = a.withColumn("var", F.expr("c0 / n + aggregate(transform(slice(products, 1, lags), (x, k) -> 2 * (1 - (k + 1) / (lags + 1D)) * x / n), 0D, (t, x) -> t + x)"))
     t = F.col("statistic")
     p = (F.when(t < 0.347, 0.10 + 0.90 * (1 - t / 0.347)).when(t < 0.463, 0.05 + 0.05 * (0.463 - t) / (0.463 - 0.347))
          .when(t < 0.739, 0.01 + 0.04 * (0.739 - t) / (0.739 - 0.463)).otherwise(0.01 * (1 - F.least(t - 0.739, F.lit(1.0)))))

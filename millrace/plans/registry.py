@@ -61,8 +61,12 @@ for name, base, frame, step in (("core_fill_gaps", HOURLY, hourly, "1 hour"), ("
 add("core_calendar", lambda sp, d: shown(series.calendar_flags(daily(sp, d), S, sp.sql("select explode(array(date '1996-12-25', date '1997-01-01', date '1998-07-04')) as holiday")), "key", "ds", "is_holiday", "is_business_day"),
     f"select key, epoch(ds)::bigint as t, h as is_holiday, not h and dayofweek(ds) not in (0, 6) as is_business_day from (select *, cast(ds as date) in (date '1996-12-25', date '1997-01-01', date '1998-07-04') as h from ({DAILY}) b) c")
 _STEPS = ("30m", "1h", "2d", "1w", "3mo", "1q", "1y", "15min", "2 hours")
-add("core_parse_frequency", lambda sp, d: sp.createDataFrame([(t, f.seconds, f.months) for t, f in ((t, series.parse_frequency(t)) for t in _STEPS)], "text string, seconds long, months long"),
-    "select * from (values ('30m', 1800::bigint, 0::bigint), ('1h', 3600, 0), ('2d', 172800, 0), ('1w', 604800, 0), ('3mo', 0, 3), ('1q', 0, 3), ('1y', 0, 12), ('15min', 900, 0), ('2 hours', 7200, 0)) v(text, seconds, months)")
+_PARSED = [(x, series.parse_frequency(x)) for x in _STEPS]
+add("core_parse_frequency", lambda sp, d: table(sp, d, "events").select(F.unix_timestamp("ts").alias("e"), (F.year("ts") * 12 + F.month("ts") - 1).alias("m"), F.explode(F.array(*(
+        F.struct(F.lit(x).alias("text"), F.lit(f.seconds).cast("long").alias("seconds"), F.lit(f.months).cast("long").alias("months")) for x, f in _PARSED))).alias("f"))
+    .groupBy("f.text", "f.seconds", "f.months").agg(F.count_distinct(F.expr("case when f.seconds > 0 then e div f.seconds else m div f.months end")).alias("steps")),
+    "select text, seconds, months, count(distinct case when seconds > 0 then epoch(ts)::bigint // nullif(seconds, 0) else (year(ts) * 12 + month(ts) - 1) // nullif(months, 0) end) as steps from events cross join "
+    "(values ('30m', 1800::bigint, 0::bigint), ('1h', 3600, 0), ('2d', 172800, 0), ('1w', 604800, 0), ('3mo', 0, 3), ('1q', 0, 3), ('1y', 0, 12), ('15min', 900, 0), ('2 hours', 7200, 0)) v(text, seconds, months) group by text, seconds, months")
 add("core_slice", lambda sp, d: shown(series.slice_rows(hourly(sp, d), S, 10, 50), "key", "ds", "y"), f"select key, epoch(ds)::bigint as t, y from ({prepared(HOURLY)}) p where i >= 10 and i < 50")
 add("core_wide", lambda sp, d: series.to_wide(hourly(sp, d).withColumn("t", F.unix_timestamp("ds")), ["t"], "key", "y", ["click", "view"]),
     f"select epoch(ds)::bigint as t, max(case when key = 'click' then y end) as click, max(case when key = 'view' then y end) as view from ({HOURLY}) h group by 1")
@@ -271,8 +275,8 @@ add("det_segment_costs", lambda sp, d: shown(detect.segment_costs(series.prepare
     f"with p as (select *, i // 100 as seg from ({prepared(HOURLY)}) a), x as (select *, avg(y) over (partition by key, seg) as mu, median(y) over (partition by key, seg) as med from p), c as (select *, abs(sum(y - mu) over (partition by key, seg order by i)) as c from x) "
     f"select key, seg, {r('sum(abs(y - med))', 'l1')}, {r('count(*) * var_pop(y)', 'l2')}, {r('case when count(*) < 2 or var_pop(y) < 1e-10 then 0.0 else count(*) * ln(greatest(var_pop(y), 1e-10)) end', 'normal')}, {r('sum(y) - sum(y) * ln(avg(y))', 'poisson')}, "
     f"{r('case when count(*) < 3 then 0.0 else greatest(0.0, regr_syy(y, i) - power(regr_sxy(y, i), 2) / nullif(regr_sxx(y, i), 0)) end', 'linear_trend')}, {r('case when count(*) < 2 or var_pop(y) < 1e-10 then 0.0 else count(*) * (1 + ln(greatest(var_pop(y), 1e-10))) end', 'mean_variance')}, {r('max(c)', 'cusum')} from c group by key, seg")
-add("det_period_index", lambda sp, d: sp.range(1, 200).select(F.col("id").alias("k"), arrays.period_of_frequency(F.col("id"), F.lit(720)).alias("period"), arrays.frequency_of_period(F.col("id"), F.lit(720)).alias("frequency")),
-    "select id as k, 720 // id as period, 720 // id as frequency from range(1, 200) r(id)")
+add("det_period_index", lambda sp, d: series.prepare(hourly(sp, d), S).select("key", F.col("i").alias("k"), arrays.period_of_frequency(F.col("i"), F.col("n")).alias("period"), arrays.frequency_of_period(F.col("i"), F.col("n")).alias("frequency")),
+    f"select key, i as k, n // nullif(i, 0) as period, n // nullif(i, 0) as frequency from ({prepared(HOURLY)}) p")
 add("det_segment_for_index", lambda sp, d: detect.segment_for_index(detect.pelt(monthly(sp, d), S, "l2", "bic"), series.prepare(monthly(sp, d), S).select("key", F.col("i").cast("long").alias("i")), S),
     f"select p.key, p.i, q.segment from ({prepared(MONTHLY)}) p join ({sql.pelt(prepared(MONTHLY), 'l2')}) q on q.key = p.key and p.i >= q.start and p.i < q.\"end\"")
 add("det_total_cost", lambda sp, d: shown(detect.pelt(monthly(sp, d), S, "l2", 1e7).groupBy("key").agg(F.max("cost").alias("cost"), F.count(F.lit(1)).alias("segments")), "key", "cost", "segments", digits=3),
@@ -429,10 +433,11 @@ _PAIRS = f"select p.key, p.i, p.y, q.y as b, avg(p.y) over (partition by p.key)
 add("vec_reductions", lambda sp, d: shown(_computed(sp, d, _REDUCE), "key", *_REDUCE), f"select key, {', '.join(r(x, k) for k, (_, x) in _REDUCE.items())} from ({_PAIRS}) v group by key")
 add("vec_elementwise", _elementwise, f"select key, i, {', '.join(r(x, k) for k, (_, x) in _EACH.items())} from ({_PAIRS}) v")
 _T = "sqrt(-2 * ln(case when p < 0.5 then p else 1 - p end))"
-add("scalar_normal_quantile", lambda sp, d: shown(sp.range(1, 1000).select("id", arrays.normal_quantile(F.col("id") / 1000).alias("z")), "id", "z"),
-    f"select id, round(case when p = 0.5 then 0 when p < 0.5 then -z else z end, 6) + 0.0e0 as z from (select id, p, t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t) as z from (select id, p, {_T} as t from (select id, id / 1000.0e0 as p from range(1, 1000) r(id)) a) b) c")
-add("scalar_erf", lambda sp, d: shown(sp.range(-30, 31).select("id", arrays.erf(F.col("id") / 10).alias("e")), "id", "e"),
-    "select id, round(sign(x) * (1 - ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-x * x)), 6) + 0.0e0 as e from (select id, x, 1 / (1 + 0.3275911 * abs(x)) as t from (select id, id / 10.0e0 as x from range(-30, 31) r(id)) a) b")
+_SCORES = f"select *, row_number() over (partition by key order by y, i) as id from ({prepared(HOURLY)}) p"
+add("scalar_normal_quantile", lambda sp, d: shown(series.prepare(hourly(sp, d), S).withColumn("id", F.expr("row_number() over (partition by key order by y, i)")).select("key", "i", arrays.normal_quantile(F.col("id") / (F.col("n") + 1)).alias("z")), "key", "i", "z"),
+    f"select key, i, round(case when p = 0.5 then 0 when p < 0.5 then -z else z end, 6) + 0.0e0 as z from (select key, i, p, t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t) as z from (select key, i, p, {_T} as t from (select key, i, id * 1.0e0 / (n + 1) as p from ({_SCORES}) s) a) b) c")
+add("scalar_erf", lambda sp, d: shown(series.prepare(hourly(sp, d), S).select("key", "i", arrays.erf((F.col("y") - 3) / 2).alias("e")), "key", "i", "e"),
+    f"select key, i, round(sign(x) * (1 - ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-x * x)), 6) + 0.0e0 as e from (select key, i, x, 1 / (1 + 0.3275911 * abs(x)) as t from (select key, i, (y - 3) / 2 as x from ({prepared(HOURLY)}) r) a) b")
 add("stream_resample", lambda sp, d: shown(online.resample(table(sp, d, "events").select(F.col("event_type").alias("key"), F.col("ts").alias("ds"), F.lit(1.0).alias("y")), S, "6 hours"), "key", "ds", "y", "n"),
     "select event_type as key, (epoch(ts)::bigint // 21600) * 21600 as t, cast(count(*) as double) as y, count(*) as n from events group by 1, 2")
 
