@@ -12,6 +12,7 @@ from ..kernels.numeric import normal_quantile
 from ..kernels.registry import MODELS
 from ..operators import chunks, detect, entropy, evaluate, forecast, hierarchy, joins, series, spectra, transforms
 from ..operators.series import Series
+from ..sources import tables
 from ..streaming import online
 from . import sql
 from .base import BY_NATION, DAILY, DEMAND, GAPPY, HOURLY, MONTHLY, S, TICKS, WAVY, by_nation, daily, demand, gappy, hourly, monthly, prepared, shown, table, ticks, wavy
@@ -438,6 +439,35 @@ add("scalar_normal_quantile", lambda sp, d: shown(series.prepare(hourly(sp, d),
     f"select key, i, round(case when p = 0.5 then 0 when p < 0.5 then -z else z end, 6) + 0.0e0 as z from (select key, i, p, t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t) as z from (select key, i, p, {_T} as t from (select key, i, id * 1.0e0 / (n + 1) as p from ({_SCORES}) s) a) b) c")
 add("scalar_erf", lambda sp, d: shown(series.prepare(hourly(sp, d), S).select("key", "i", arrays.erf((F.col("y") - 3) / 2).alias("e")), "key", "i", "e"),
     f"select key, i, round(sign(x) * (1 - ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-x * x)), 6) + 0.0e0 as e from (select key, i, x, 1 / (1 + 0.3275911 * abs(x)) as t from (select key, i, (y - 3) / 2 as x from ({prepared(HOURLY)}) r) a) b")
+
+
+# --- sources and sinks ------------------------------------------------------------------------
+
+_LISTED = {"mean": "avg(y)", "maximum": "max(y)", "minimum": "min(y)", "count_above_mean": "count(case when y > mu then 1 end)"}
+
+
+def _stored(sp: SparkSession, d: str, form: str, fmt: str) -> str:
+    """Where features of all hourly series, or forecasts of all monthly ones, were written."""
+    path = online.shared_path(sp, f"long_{form}")
+    if form == "features":
+        long = tables.long_features(features.features(hourly(sp, d), S, list(_LISTED)), S)
+    else:
+        f = forecasts.baseline(monthly(sp, d), S, "seasonal_naive", 12, period=12).withColumns({"model": F.lit("seasonal_naive"), "status": F.lit("ok"), "level": F.lit(0.95)})
+        long = tables.long_intervals(f, S) if form == "intervals" else tables.long_forecasts(f, S)
+    tables.write_long(long, path, form, fmt)
+    return path
+
+
+_LONG = " union all ".join(f"select key as series_type, '{f}' as feature_name, {r(x, 'value')} from (select *, avg(y) over ({P}) as mu from ({HOURLY}) h) a group by key" for f, x in _LISTED.items())
+add("io_long_features", lambda sp, d: shown(tables.read_long(sp, _stored(sp, d, "features", "csv"), "features"), "series_type", "feature_name", "value"), _LONG)
+add("io_long_features_filtered", lambda sp, d: shown(tables.read_long(sp, _stored(sp, d, "features", "parquet"), "features", "parquet").where("feature_name = 'maximum' and value > 3"), "series_type", "feature_name", "value"),
+    f"select * from ({_LONG}) a where feature_name = 'maximum' and value > 3")
+add("io_long_features_stream", lambda sp, d: shown(online.drained(tables.stream_long(sp, _stored(sp, d, "features", "csv"), "features", files=2), "long"), "series_type", "feature_name", "value"), _LONG)
+_STORED = forecasts.oracle("seasonal_naive", prepared(MONTHLY), 12, digits=9, period=12)
+add("io_long_forecasts", lambda sp, d: shown(tables.read_long(sp, _stored(sp, d, "forecasts", "csv"), "forecasts"), "series_type", "model", "step", "forecast", digits=4),
+    f"select key as series_type, 'seasonal_naive' as model, cast(h as integer) as step, round(yhat, 4) + 0.0e0 as forecast from ({_STORED}) f")
+add("io_long_intervals", lambda sp, d: shown(tables.read_long(sp, _stored(sp, d, "intervals", "parquet"), "intervals", "parquet"), "series_type", "model", "step", "level", "lower", "upper", digits=4),
+    f"select key as series_type, 'seasonal_naive' as model, cast(h as integer) as step, 0.95::double as level, round(lo, 4) + 0.0e0 as lower, round(hi, 4) + 0.0e0 as upper from ({_STORED}) f")
 add("stream_resample", lambda sp, d: shown(online.resample(table(sp, d, "events").select(F.col("event_type").alias("key"), F.col("ts").alias("ds"), F.lit(1.0).alias("y")), S, "6 hours"), "key", "ds", "y", "n"),
     "select event_type as key, (epoch(ts)::bigint // 21600) * 21600 as t, cast(count(*) as double) as y, count(*) as n from events group by 1, 2")
 

@@ -102,7 +102,7 @@ def replayed(rows: DataFrame, part: str, name: str) -> DataFrame:
     numbers), in their order: each is written as a file of its own, in a folder
     that the cluster shares, and the stream takes one file at a time."""
     spark = rows.sparkSession
-    path = f"{_shared(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     for k in sorted(r[0] for r in rows.select(part).distinct().collect()):
         rows.where(F.col(part) == k).drop(part).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.drop(part).schema).option("maxFilesPerTrigger", 1).parquet(path)
@@ -123,6 +123,11 @@ def _shared(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the cluster shares."""
+    return f"{_shared(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """What a stream gives for all that is there now, as a table.
 
@@ -131,7 +136,7 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     machine). Windows that the watermark has not closed yet are left out.
     """
     spark = stream.sparkSession
-    path = f"{_shared(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     run = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
