@@ -66,7 +66,7 @@ _PARSED = [(x, series.parse_frequency(x)) for x in _STEPS]
 add("core_parse_frequency", lambda sp, d: table(sp, d, "events").select(F.unix_timestamp("ts").alias("e"), (F.year("ts") * 12 + F.month("ts") - 1).alias("m"), F.explode(F.array(*(
         F.struct(F.lit(x).alias("text"), F.lit(f.seconds).cast("long").alias("seconds"), F.lit(f.months).cast("long").alias("months")) for x, f in _PARSED))).alias("f"))
     .groupBy("f.text", "f.seconds", "f.months").agg(F.count_distinct(F.expr("case when f.seconds > 0 then e div f.seconds else m div f.months end")).alias("steps")),
-    "select text, seconds, months, count(distinct case when seconds > 0 then epoch(ts)::bigint // nullif(seconds, 0) else (year(ts) * 12 + month(ts) - 1) // nullif(months, 0) end) as steps from events cross join "
+    "select text, seconds, months, count(distinct case when seconds > 0 then epoch_us(ts) // 1000000 // nullif(seconds, 0) else (year(ts) * 12 + month(ts) - 1) // nullif(months, 0) end) as steps from events cross join "
     "(values ('30m', 1800::bigint, 0::bigint), ('1h', 3600, 0), ('2d', 172800, 0), ('1w', 604800, 0), ('3mo', 0, 3), ('1q', 0, 3), ('1y', 0, 12), ('15min', 900, 0), ('2 hours', 7200, 0)) v(text, seconds, months) group by text, seconds, months")
 add("core_slice", lambda sp, d: shown(series.slice_rows(hourly(sp, d), S, 10, 50), "key", "ds", "y"), f"select key, epoch(ds)::bigint as t, y from ({prepared(HOURLY)}) p where i >= 10 and i < 50")
 add("core_wide", lambda sp, d: series.to_wide(hourly(sp, d).withColumn("t", F.unix_timestamp("ds")), ["t"], "key", "y", ["click", "view"]),
