@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import arrays, features, forecasts, sketches, stats_tests
+from ..functions import arrays, features, forecasts, sketches, stats_tests, table_functions
 from ..kernels.numeric import normal_quantile
 from ..kernels.registry import MODELS
 from ..operators import chunks, detect, entropy, evaluate, forecast, hierarchy, joins, series, spectra, transforms
@@ -59,6 +59,26 @@ for name, where in (("core_infer_frequency", ""), ("core_infer_frequency_calenda
 for name, base, frame, step in (("core_fill_gaps", HOURLY, hourly, "1 hour"), ("core_fill_gaps_months", MONTHLY, monthly, "1 month")):
     add(name, lambda sp, d, frame=frame, step=step: shown(series.fill_gaps(frame(sp, d), S, "1h" if step == "1 hour" else "1mo"), "key", "ds", "y"),
         f"with b as ({base}), g as (select key, unnest(generate_series(min(ds), max(ds), interval {step})) as ds from b group by key) select g.key, epoch(g.ds)::bigint as t, {r('y', 'y')} from g left join b on b.key = g.key and b.ds = g.ds")
+
+
+def _regular_grid(step: str, fill: str, frame: Query) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table_functions.register(spark)
+        got = spark.sql(f"select * from regular_grid(TABLE({{t}}), keys => array('key'), time => 'ds', value => 'y', step => '{step}', fill => '{fill}')", t=frame(spark, sf_dir))
+        return shown(got, "key", "ds", "y")
+
+    return query
+
+
+_FILLED = {
+    "null": "y", "previous": f"last_value(y ignore nulls) over ({W} rows between unbounded preceding and current row)",
+    "linear": "case when y is not null then y when a_i is not null and b_i is not null then a_y + (i - a_i) * 1.0 / nullif(b_i - a_i, 0) * (b_y - a_y) end",
+}
+for step, unit, base, frame in (("1h", "1 hour", GAPPY, gappy), ("1mo", "1 month", MONTHLY, monthly)):
+    for fill, y in _FILLED.items():
+        add(f"tf_regular_grid_{step}_{fill}", _regular_grid(step, fill, frame),
+            f"with b as ({base}), g as (select key, unnest(generate_series(min(ds), max(ds), interval {unit})) as ds from b group by key), p as (select g.key, g.ds, b.y, row_number() over (partition by g.key order by g.ds) as i from g left join b on b.key = g.key and b.ds = g.ds) "
+            f"select key, epoch(ds)::bigint as t, {r(y, 'y')} from (select *, {_AROUND.format(c='i')}, {_AROUND.format(c='y')} from p) q")
 add("core_calendar", lambda sp, d: shown(series.calendar_flags(daily(sp, d), S, sp.sql("select explode(array(date '1996-12-25', date '1997-01-01', date '1998-07-04')) as holiday")), "key", "ds", "is_holiday", "is_business_day"),
     f"select key, epoch(ds)::bigint as t, h as is_holiday, not h and dayofweek(ds) not in (0, 6) as is_business_day from (select *, cast(ds as date) in (date '1996-12-25', date '1997-01-01', date '1998-07-04') as h from ({DAILY}) b) c")
 _STEPS = ("30m", "1h", "2d", "1w", "3mo", "1q", "1y", "15min", "2 hours")
