@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, features, forecasts, sketches, stats_tests, table_functions
-from ..kernels.numeric import normal_quantile
+from ..kernels.numeric import interval_z, normal_quantile
 from ..kernels.registry import MODELS
-from ..operators import chunks, detect, entropy, evaluate, forecast, hierarchy, joins, series, spectra, transforms
+from ..operators import chunks, detect, entropy, evaluate, forecast, hierarchy, joins, series, smoothing, spectra, transforms
 from ..operators.series import Series
 from ..sources import tables
 from ..streaming import online
@@ -186,6 +186,10 @@ add("chunk_ewm", lambda sp, d: shown(chunks.ewm(ticks(sp, d), S, 0.3, _ROWS), "k
     "e as (select a.key, a.k, sum(b.w * b.y * power(0.7e0, a.k - b.k)) as m, sum(b.w * b.y * b.y * power(0.7e0, a.k - b.k)) as q from v a join v b on a.key = b.key and b.k between a.k - 120 and a.k group by a.key, a.k) "
     f"select p.key, i, {r('m', 'ewm_mean')}, {r('greatest(q - m * m, 0.0)', 'ewm_var')} from p left join e on p.key = e.key and p.k = e.k")
 
+for name, frame, base in (("chunk_ses", ticks, TICKS), ("chunk_ses_monthly", monthly, MONTHLY)):
+    add(name, lambda sp, d, frame=frame: shown(smoothing.fit_ses(frame(sp, d), S, 3, points=17, rounds=3, rows=_ROWS), "key", "h", "yhat", "lo", "hi", "alpha", "n"),
+        sql.fitted_ses(prepared(base), 3, 17, 3, interval_z(0.95)))
+
 add("chunk_welch", lambda sp, d: shown(spectra.welch(ticks(sp, d).where("y is not null"), S, 32, 0.75, _ROWS), "key", "rank", "period", "power"),
     sql.welch(prepared(f"select * from ({TICKS}) t where y is not null"), 32, 8))
 

@@ -371,3 +371,16 @@ def dynamic_theta(p: str, h: int, m: int, quantile: float, a: float = 0.1, th: f
             f"d as (select key, n, 0::bigint as h, l, mean, bn, an, null::double as g from z where i = n - 1 union all select key, n, h + 1, {a}e0 * g2 + {1 - a}e0 * l, ((n + h) * mean + g2) / (n + h + 1), nb, ((n + h) * mean + g2) / (n + h + 1) - nb * (n + h + 2) / 2, g2 from "
             f"(select *, ((n + h - 1) * bn + 6 * (g2 - mean) / (n + h + 1)) / (n + h + 2) as nb from (select key, n, h, l, mean, bn, an, l + {share}e0 * (an * power({1 - a}e0, n + h) + bn * (1 - power({1 - a}e0, n + h + 1)) / {a}e0) as g2 from d where h < {h}) c) c2) "
             f"select d.key, 'dynamic_theta' as model, cast(d.h as integer) as h, {rounded('g * f.f', 'yhat')}, {rounded(f'g * f.f - {grow}', 'lo')}, {rounded(f'g * f.f + {grow}', 'hi')}, 'ok' as status from d join v on v.key = d.key join f on f.key = d.key and f.ph = (d.n + d.h - 1) % {m} where d.h > 0")
+
+
+def fitted_ses(p: str, h: int, points: int, rounds: int, z: float) -> str:
+    """Simple smoothing whose rate is found on narrowing grids; ``p`` has key, i and y."""
+    path = "list_reduce(list_transform(ys, lambda v: {'y': v, 'l': v, 's': 0.0e0}), lambda m, v: {'y': v.y, 'l': m.l + a * (v.y - m.l), 's': m.s + (v.y - m.l) * (v.y - m.l)})"
+    out = f"with r0 as (select key, list(y order by i) as ys, 1.0e-4 as lo, 0.9999e0 as hi from ({p}) p where y is not null group by key)"
+    for k in range(rounds):
+        out += (f", t{k} as (select key, ys, lo, hi, lo + (hi - lo) * cast(j as double) / {points - 1} as a from r{k} cross join (select unnest(range({points})) as j) g), f{k} as (select *, {path} as f from t{k}), "
+                f"b{k} as (select *, row_number() over (partition by key order by f.s, a) as pick from f{k}), "
+                f"r{k + 1} as (select key, ys, greatest(1.0e-4, a - (hi - lo) / {points - 1}) as lo, least(0.9999e0, a + (hi - lo) / {points - 1}) as hi, a, f from b{k} where pick = 1)")
+    half = f"{z!r} * sqrt(f.s / len(ys) * (1 + power(1 - a, 2) * (1 - power(power(1 - a, 2), h - 1)) / (1 - power(1 - a, 2))))"
+    return (f"{out} select key, h, {rounded('f.l', 'yhat')}, {rounded(f'f.l - {half}', 'lo')}, {rounded(f'f.l + {half}', 'hi')}, {rounded('a', 'alpha')}, cast(len(ys) as bigint) as n "
+            f"from r{rounds} cross join (select cast(unnest(range(1, {h + 1})) as integer) as h) g")
