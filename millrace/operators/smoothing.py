@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..kernels.registry import interval_z
 from ..streaming.online import shared_path
 from . import chunks
+from .forecast import spread
 from .series import Series, cleaned
 
 LOW, HIGH = 1e-4, 0.9999
@@ -79,8 +80,9 @@ def fit_ses(df: DataFrame, s: Series, h: int, level: float = 0.95, points: int =
         raise ValueError("at least 3 points, one round and a horizon of 1 are needed")
     keys, cell = list(s.keys), float(points - 1)
     values = df.where(cleaned(F.col(s.value)).isNotNull())
-    steps = chunks.lagged(values, s, (1,), rows, width).select(*keys, "i", "y", F.coalesce(F.col("y") - F.col("lag_1"), F.lit(0.0)).alias("d"))
-    parts = steps.groupBy(*keys, F.expr(f"i div {rows}").alias("g")).agg(
+    steps = chunks.lagged(values, s, (1,), rows, width).select(*keys, F.expr(f"i div {rows}").alias("g"), "i", "y", F.coalesce(F.col("y") - F.col("lag_1"), F.lit(0.0)).alias("d"))
+    # many files: a value costs a step for each rate of the grid, so bytes are no measure of work
+    parts = steps.repartition(spread(df.sparkSession), *keys, "g").groupBy(*keys, "g").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "d"))), lambda v: v["d"]).alias("ds"), F.max_by("y", "i").alias("last"), F.count(F.lit(1)).alias("n"))
     parts = _kept(parts, "differences")
     most = parts.agg(F.max("g")).first()[0] or 0
