@@ -88,7 +88,9 @@ def mix(docs: DataFrame, entropy: float | None = 0.95, repeats: float | None = 4
     plus sums within a cell; so a source with a third of all rows is spread over
     ``cells`` window groups. Null sources are one source; null texts count as
     empty; documents without an id are placed by their text; documents without
-    words take part only in whole passes; repeated rows are documents of their own.
+    words take part only in whole passes; repeated rows are documents of their own,
+    and where rows are carried those of one id and length go in the order of a hash of
+    their texts, so that a task that runs again chooses the same.
     """
     number = F.coalesce(docs[id_col].cast("string"), F.md5(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary")))
     key = F.md5(F.concat(F.lit(f"{seed}:"), number).cast("binary"))
@@ -96,7 +98,7 @@ def mix(docs: DataFrame, entropy: float | None = 0.95, repeats: float | None = 4
     rows = docs.select(
         docs[id_col].alias("id"), docs[source_col].alias("source"), skey.alias("skey"), word_count(docs[text_col].cast("string")).alias("n_tokens"), key.alias("h"),
         F.pmod(F.conv(F.substring(key, 1, 7), 16, 10).cast("long"), F.lit(cells)).cast("int").alias("cell"),
-        *([F.struct(*(docs[c] for c in carry)).alias("row")] if carry else []),
+        *([F.struct(*(docs[c] for c in carry)).alias("row"), F.sha2(docs[text_col].cast("string").cast("binary"), 256).alias("tie")] if carry else []),
     )
     if not carry:
         rows = written(rows, "counted")  # words are counted once; with texts in tow, twice costs less than another copy of them
@@ -106,7 +108,7 @@ def mix(docs: DataFrame, entropy: float | None = 0.95, repeats: float | None = 4
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     known = sums.select("source", "cell", ahead.alias("ahead")).join(weights.select("source", "tokens", "quota"), "source")
     known = known.select(F.col("source").alias("skey"), "cell", "ahead", "tokens", "quota")
-    within = F.sum("n_tokens").over(Window.partitionBy("skey", "cell").orderBy("h", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
+    within = F.sum("n_tokens").over(Window.partitionBy("skey", "cell").orderBy("h", "id", "n_tokens", *(["tie"] if carry else [])).rowsBetween(Window.unboundedPreceding, 0))
     placed = rows.withColumn("upto", within).join(known, ["skey", "cell"])
     row = ["row"] if carry else []
     placed = placed.selectExpr("id", "source", "n_tokens", *row, "ahead + upto as upto", "tokens", "quota")

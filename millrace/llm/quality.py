@@ -12,11 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import remove, slices, written_at
+
 #: Labelled rows of each class that the dictionaries and the calibration are fitted on, at most.
 TRAIN_ROWS = 3000
 #: Bytes of a text that are compressed at once; a text is scored over all of its chunks.
 CHUNK_BYTES = 1024
 DICTIONARY_BYTES = 112_640
+#: Chunks of a text that dictionaries are built from, at most: evenly spaced over the whole of a longer one.
+SAMPLE_CHUNKS = 64
 LEVEL = 3
 
 
@@ -47,8 +51,14 @@ class _Sizes:
         return (sizes[1] - sizes[0]) / max(1, sum(sizes))
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    samples = [t[i:i + CHUNK_BYTES] for t in texts for i in range(0, len(t), CHUNK_BYTES)]
+def sampled(text: bytes, most: int = SAMPLE_CHUNKS) -> list[bytes]:
+    """At most ``most`` chunks of a text, evenly spaced, from its start to its end."""
+    n = -(-len(text) // CHUNK_BYTES)
+    at = range(n) if n <= most else [j * (n - 1) // (most - 1) for j in range(most)]
+    return [text[i * CHUNK_BYTES:(i + 1) * CHUNK_BYTES] for i in at]
+
+
+def _dictionary(samples: list[bytes]) -> bytes:
     samples = [s for s in samples if len(s) >= 16]
     total = sum(map(len, samples))
     try:
@@ -86,6 +96,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
     out. Odd ranks of the hash build the dictionaries, even ones calibrate, and
     the calibration is weighted to the classes' shares among all labels used.
     With one class missing, every score is that of the other class's share.
+
+    Whole texts stay in tasks: the driver gets at most ``SAMPLE_CHUNKS`` chunks
+    of each text of the dictionaries and one number of each that calibrates.
     """
     known = (
         labels.select(labels[id_col].alias("k"), labels[label_col].cast("int").alias("y"))
@@ -97,17 +110,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
     for y in (0, 1):
         part = known.where(F.col("y") == y).select("k", "y", F.xxhash64("k").alias("h")).orderBy("h", "k").limit(rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = (
+    texts, path = written_at(
         docs.select(docs[id_col].alias("k"), docs[text_col].cast("string").cast("binary").alias("t"))
-        .join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("t").alias("t"), F.first("y").alias("y"), F.first("h").alias("h"))
-    ).orderBy("h", "k").collect()
-    by = {y: [bytes(r["t"] or b"") for r in texts if r["y"] == y] for y in (0, 1)}
-    if not by[0] or not by[1]:
-        n0, n1 = len(by[0]) + 1, len(by[1]) + 1
-        return QualityModel(b"\0" * 8, b"\0" * 8, 0.0, float(np.log(n1 / n0)))
-    good, bad = _dictionary(by[1][::2]), _dictionary(by[0][::2])
-    sizes = _Sizes(good, bad)
-    x0, x1 = (np.array([sizes.difference(t) for t in (by[y][1::2] or by[y])]) for y in (0, 1))
+        .join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("t").alias("t"), F.first("y").alias("y"), F.first("h").alias("h")), "labelled")
+    try:
+        by: dict[int, list] = {0: [], 1: []}
+        for r in texts.select("k", "y", "h").orderBy("h", "k").collect():
+            by[r["y"]].append(r["k"])
+        if not by[0] or not by[1]:
+            n0, n1 = len(by[0]) + 1, len(by[1]) + 1
+            return QualityModel(b"\0" * 8, b"\0" * 8, 0.0, float(np.log(n1 / n0)))
+        pieces = _of_texts(texts, {k for y in by for k in by[y][::2]}, lambda: sampled, T.ArrayType(T.BinaryType()))
+        good, bad = (_dictionary([c for k in by[y][::2] for c in pieces[k]]) for y in (1, 0))
+        tried = {y: by[y][1::2] or by[y] for y in by}
+        found = _of_texts(texts, {k for y in by for k in tried[y]}, lambda: _Sizes(good, bad).difference, T.DoubleType())
+    finally:
+        remove(docs.sparkSession, path)
+    x0, x1 = (np.array([found[k] for k in tried[y]]) for y in (0, 1))
     x = np.concatenate((x0, x1))
     y = np.concatenate((np.zeros(len(x0)), np.ones(len(x1))))
     w = np.where(y == 1, totals[1] / len(x1), totals[0] / len(x0))
@@ -115,6 +134,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
     return QualityModel(good, bad, max(0.0, slope), intercept)
 
 
+def _of_texts(texts: DataFrame, ids: set, function, kind: T.DataType) -> dict:
+    """What ``function()`` makes of each text of ``ids``, by id."""
+    schema = T.StructType([texts.schema["k"], T.StructField("x", kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = function()
+        for b in slices(batches, 50):
+            at = [i for i, k in enumerate(b.column(0).to_pylist()) if k in ids]
+            part = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([made(t.as_py() or b"") for t in part.column(1)], pa.list_(pa.binary()) if isinstance(kind, T.ArrayType) else pa.float64())], schema.names)
+
+    return {r["k"]: r["x"] for r in texts.select("k", "t").mapInArrow(run, schema).collect()}
+
+
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``score`` (0 to 1, higher: better) of every whole text, beside the id.
 
