@@ -314,6 +314,7 @@ def ets(y: np.ndarray, h: int, spec: str = "ANN", period: int = 1, criterion: st
     first = _ets_start(y, trend, season, m)
     skip = m if season != "N" else 1
     names = ["alpha", *(["beta"] if trend != "N" else []), *(["gamma"] if season != "N" else []), *(["phi"] if trend == "Ad" else [])]
+    # fixed values: where the search starts, and its bounds
     start = {"alpha": 0.3, "beta": 0.1, "gamma": 0.1, "phi": 0.98}
     limits = {"alpha": (1e-4, 0.9999), "beta": (1e-4, 0.9999), "gamma": (1e-4, 0.9999), "phi": (0.8, 0.98)}
     free = trend == "A" and season == "N"  # level and trend are estimated too
@@ -342,7 +343,7 @@ def ets(y: np.ndarray, h: int, spec: str = "ANN", period: int = 1, criterion: st
     span = float(np.abs(y).max()) * 10 + 10
     box = [limits[k] for k in names] + ([(-span, span)] * 2 if free else [])
     starts = [x0]
-    if free:
+    if free:  # fixed values: further rates to start from
         starts += [[a, b, *x0[2:]] for a, b in ((0.1, 0.05), (0.5, 0.2), (0.8, 0.1), (0.2, 0.01))]
     best, nll = min((nelder_mead(loss, s, box, 2000, 1e-8) for s in starts), key=lambda r: r[1])
     params, f0 = unpack(best)

@@ -69,6 +69,7 @@ def theta(y: np.ndarray, h: int, period: int = 1, seasonal: bool | None = None,
     return Fit(fitted, a.back(_curve(level, b, alpha, theta, h), len(y)), ses_variance(alpha, sigma2(y, fitted), h), {"alpha": alpha, "theta": theta})
 
 
+# fixed values: where the search for alpha and theta starts
 STARTS = ((0.1, 2.0), (0.3, 2.0), (0.5, 2.0), (0.1, 3.0), (0.3, 1.5))
 _BOX = [(0.01, 0.99), (1.0, 10.0)]
 

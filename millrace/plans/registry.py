@@ -461,6 +461,7 @@ _T = "sqrt(-2 * ln(case when p < 0.5 then p else 1 - p end))"
 _SCORES = f"select *, row_number() over (partition by key order by y, i) as id from ({prepared(HOURLY)}) p"
 add("scalar_normal_quantile", lambda sp, d: shown(series.prepare(hourly(sp, d), S).withColumn("id", F.expr("row_number() over (partition by key order by y, i)")).select("key", "i", arrays.normal_quantile(F.col("id") / (F.col("n") + 1)).alias("z")), "key", "i", "z"),
     f"select key, i, round(case when p = 0.5 then 0 when p < 0.5 then -z else z end, 6) + 0.0e0 as z from (select key, i, p, t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t) as z from (select key, i, p, {_T} as t from (select key, i, id * 1.0e0 / (n + 1) as p from ({_SCORES}) s) a) b) c")
+# fixed values in the SQL below: the published polynomial of the error function
 add("scalar_erf", lambda sp, d: shown(series.prepare(hourly(sp, d), S).select("key", "i", arrays.erf((F.col("y") - 3) / 2).alias("e")), "key", "i", "e"),
     f"select key, i, round(sign(x) * (1 - ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-x * x)), 6) + 0.0e0 as e from (select key, i, x, 1 / (1 + 0.3275911 * abs(x)) as t from (select key, i, (y - 3) / 2 as x from ({prepared(HOURLY)}) r) a) b")
 
