@@ -52,6 +52,26 @@ def test_small_blocks_and_parts(spark, crowded, shelf):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("blocks_")]
 
 
+def test_copies_do_not_travel(spark, monkeypatch):
+    """Whole texts that a smaller id holds send nothing, whatever their ids are."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(n)) for n in (49, 50, 51, 300, 700, 900)]
+    rows = [(None if i % 17 == 0 else i // 2, texts[i % 6] + ("x" * 60 if i % 29 == 0 else "")) for i in range(240)] + [(None, "only without an id " * 5)] * 3
+    sent = []
+    plain = spans.map_runs
+
+    def counted(df, keys, *a, **kw):
+        if "mins" in df.columns:
+            sent.append(df.select("block").distinct().count())
+        return plain(df, keys, *a, **kw)
+
+    monkeypatch.setattr(spans, "map_runs", counted)
+    got = sorted((tuple(r) for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), block_bytes=2000, crowded=20).collect()), key=str)
+    assert got == brute_repeats(rows)
+    # copies fill nearly all of some 40 blocks; only those with other texts send minimizers
+    assert sent[0] < 20
+
+
 def test_archives_in_pieces(spark):
     ends = ["", "\r\n\r\n", "x\r\n", "x\r", "\r\n\r\n\r\n", "WARC/1.1\r\n\r\nContent-Length: 9", "\n\n", "x\r\n\r\n\r"]
     bodies = [e * k + str(k) * (k % 7) + e for k in range(40) for e in ends]
