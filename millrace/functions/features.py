@@ -302,7 +302,7 @@ FEATURES: dict[str, Callable[..., Agg | Nested | Kernel | Neighbours]] = {
     "has_duplicate": has_duplicate, "has_duplicate_max": _simple(f"{_count(f'abs(y - mx) < {EPS}')} > 1", MX), "has_duplicate_min": _simple(f"{_count(f'abs(y - mn) < {EPS}')} > 1", MN),
     "index_mass_quantile": index_mass_quantile, "value_count": value_count, "range_count": range_count,
     # entropy
-    "sample_entropy": lambda d, m=2, r=0.2: Neighbours("sample_entropy", m, r), "approximate_entropy": lambda d, m=2, r=0.2: Neighbours("approximate_entropy", m, r),
+    "sample_entropy": lambda d, m=2, r=0.2, limit=False: Neighbours("sample_entropy_limit" if limit else "sample_entropy", m, r), "approximate_entropy": lambda d, m=2, r=0.2: Neighbours("approximate_entropy", m, r),
     "permutation_entropy": permutation_entropy, "permutation_entropy_normalized": permutation_entropy_normalized, "binned_entropy": binned_entropy,
     "fourier_entropy": lambda d: Kernel(kernels.fourier_entropy),
     # complexity

@@ -72,8 +72,8 @@ def neighbours(t: DataFrame, m: int, r: float, piece: int = PIECE) -> DataFrame:
 
 
 def of_templates(series: DataFrame, t: DataFrame, keys: tuple[str, ...], m: int, r: float, piece: int = PIECE) -> DataFrame:
-    """Keys, ``sample_entropy`` and ``approximate_entropy`` of the ``series``
-    (keys, ``__n`` rows, ``__v`` values) whose templates are ``t``."""
+    """Keys, ``sample_entropy``, ``approximate_entropy`` and ``sample_entropy_limit``
+    of the ``series`` (keys, ``__n`` rows, ``__v`` values) whose templates are ``t``."""
     def mean_log(w: str, c: str) -> Column:
         total = F.sum(w)
         return F.sum(F.col(w) * F.log(F.when(F.col(c) > 0, F.col(c)))) / F.when(total > 0, total) - F.log(F.when(total > 0, total))
@@ -83,8 +83,8 @@ def of_templates(series: DataFrame, t: DataFrame, keys: tuple[str, ...], m: int,
         (mean_log("w_all", "c_all") - mean_log("w_full", "c1_full")).alias("__apen"))
     out = series.withColumn("__key", F.struct(*keys)).join(sums, "__key", "left")
     whole = F.col("__n") == F.col("__v")
-    return out.select(*keys, F.when(whole & (F.col("__n") >= m + 2) & (F.col("__a") > 0) & (F.col("__b") > 0), -F.log(F.col("__a") / F.col("__b"))).alias("sample_entropy"),
-                      F.when(whole & (F.col("__n") >= m + 1), F.col("__apen")).alias("approximate_entropy"))
+    sample = F.when(whole & (F.col("__n") >= m + 2) & (F.col("__b") > 0), F.coalesce(-F.log(F.col("__a") / F.col("__b")), F.lit(float("inf"))))  # the logarithm of 0 is NULL
+    return out.select(*keys, F.when(F.col("__a") > 0, sample).alias("sample_entropy"), F.when(whole & (F.col("__n") >= m + 1), F.col("__apen")).alias("approximate_entropy"), sample.alias("sample_entropy_limit"))
 
 
 def of_prepared(p: DataFrame, keys: tuple[str, ...], m: int = 2, r: float = 0.2, piece: int = PIECE) -> DataFrame:
@@ -98,8 +98,11 @@ def of_prepared(p: DataFrame, keys: tuple[str, ...], m: int = 2, r: float = 0.2,
 
 
 def entropies(df: DataFrame, s: Series, m: int = 2, r: float = 0.2, piece: int = PIECE, rows: int | None = None) -> DataFrame:
-    """Keys, ``sample_entropy`` and ``approximate_entropy`` with templates of
-    ``m`` values and an absolute tolerance ``r``; no task holds a whole series.
+    """Keys, ``sample_entropy``, ``approximate_entropy`` and
+    ``sample_entropy_limit`` with templates of ``m`` values and an absolute
+    tolerance ``r``; no task holds a whole series. The last is infinite where
+    templates of ``m`` values match and none of ``m + 1`` do, as the logarithm
+    of nothing is.
 
     NULL where a series has a missing value, is shorter than ``m + 2``
     (approximate: ``m + 1``) or, for sample entropy, has no two templates of
@@ -116,4 +119,4 @@ def entropies(df: DataFrame, s: Series, m: int = 2, r: float = 0.2, piece: int =
     p = lagged(named, Series(keys=tuple(inner), ts="__ts", value="__value"), tuple(-j for j in range(1, m + 2)), rows or ROWS)
     ahead = [F.col("y"), *(F.col(f"lag_{-j}") for j in range(1, m + 2))]
     out = of_templates(p.groupBy(*inner).agg(F.count(F.lit(1)).alias("__n"), F.count("y").alias("__v")), templates(p, tuple(inner), ahead, m), tuple(inner), m, r, piece)
-    return out.select(*(F.col(x).alias(k) for k, x in zip(s.keys, inner)), "sample_entropy", "approximate_entropy")
+    return out.select(*(F.col(x).alias(k) for k, x in zip(s.keys, inner)), "sample_entropy", "approximate_entropy", "sample_entropy_limit")

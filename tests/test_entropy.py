@@ -8,6 +8,7 @@ import pytest
 from millrace.functions import features
 from millrace.operators import entropy
 from millrace.operators.series import Series
+from millrace.plans import registry
 
 S = Series(keys=("k",), ts="t", value="y")
 
@@ -72,3 +73,17 @@ def test_features_share_the_join_with_others(spark):
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate(y.tolist())], "k string, t int, y double")
     x = features.features(df, S, [("se", "sample_entropy", {"r": 1.0}), ("ae", "approximate_entropy", {"r": 1.0}), ("s1", "sample_entropy", {"m": 1, "r": 0.0}), "mean", "fourier_entropy"]).first()
     assert (x["se"], x["ae"]) == pytest.approx(brute(y, 2, 1.0)) and x["s1"] == pytest.approx(brute(y, 1, 0.0)[0]) and x["mean"] == pytest.approx(y.mean())
+
+
+def test_sample_entropy_without_longer_matches_is_as_in_sql(spark, tmp_path):
+    """Infinite where only templates of two values match, and no row where none do."""
+    import duckdb
+
+    counts = {"some": [3, 4, 9, 3, 4, 9, 3, 4, 9, 1, 2], "longer": [1, 2, 5, 9, 1, 2, 7, 12, 20], "none": [1, 2, 4, 8, 16, 32, 64], "short": [1, 1]}
+    rows = [(k, f"2024-01-01 {h:02d}:00:{j:02d}.5") for k, y in counts.items() for h, n in enumerate(y) for j in range(n) if j < 60] + [("none", f"2024-01-01 06:01:{j:02d}") for j in range(4)]
+    spark.createDataFrame(rows, "event_type string, ts string").selectExpr("event_type", "cast(ts as timestamp_ntz) as ts").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = dict(con.execute(registry.ORACLE_SQL["feat_sample_entropy"]).fetchall())
+    assert want["longer"] == math.inf and set(want) == {"some", "longer"}
+    assert dict(map(tuple, registry.QUERIES["feat_sample_entropy"](spark, str(tmp_path)).collect())) == want
