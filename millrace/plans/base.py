@@ -82,10 +82,14 @@ WAVY = (f"with b as ({HOURLY}), g as (select key, unnest(generate_series(min(ds)
 def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units a month of all parts, zeros filled in: intermittent."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("key"), F.date_trunc("month", "l_shipdate").alias("ds"), "l_quantity")
-    sums = li.groupBy("key", "ds").agg(F.sum("l_quantity").alias("y"))
+    # one exchange, by key: a month brings the empty ones up to the next, so no grid is joined
+    sums = li.repartition("key").groupBy("key", "ds").agg(F.sum("l_quantity").alias("y"))
     ends = table(spark, sf_dir, "lineitem").agg(F.date_trunc("month", F.min("l_shipdate")).alias("a"), F.date_trunc("month", F.max("l_shipdate")).alias("b"))
-    grid = sums.select("key").distinct().crossJoin(F.broadcast(ends)).select("key", F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("ds"))
-    return grid.join(sums, ["key", "ds"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
+    w = Window.partitionBy("key").orderBy("ds")
+    months = sums.select("key", "ds", "y", F.lead("ds").over(w).alias("later"), (F.row_number().over(w) == 1).alias("first")).crossJoin(F.broadcast(ends))
+    months = months.select("key", "y", F.col("ds").alias("own"), F.expr("case when first then a else ds end as low"), F.expr("coalesce(later - interval 1 month, b) as high"))
+    grid = months.select("key", "y", "own", F.explode(F.expr("case when low <= high then sequence(low, high, interval 1 month) end")).alias("ds"))
+    return grid.select("key", "ds", F.expr("case when ds = own and key is not null then coalesce(y, 0.0D) else 0.0D end as y"))
 
 
 DEMAND = """select k.key, g.ds, coalesce(s.y, 0.0) as y from (select distinct cast(l_partkey as varchar) as key from lineitem) k
