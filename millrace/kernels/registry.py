@@ -18,15 +18,22 @@ from .smoothing import Fit, TooShort
 @dataclass(frozen=True)
 class ModelSpec:
     """A model: its kernel (series, horizon, options -> Fit), default options, and
-    whether it takes regressors or a period."""
+    whether it takes regressors or a period. ``batch`` does the kernel's work for
+    many series of one length (matrix, options -> whether each is long enough,
+    its forecast, the same for every step, and the variance)."""
 
     kernel: Callable[..., Fit]
     options: dict = field(default_factory=dict)
     exog: bool = False
     period: str | None = None
+    batch: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
 
     def with_options(self, **options) -> ModelSpec:
-        return ModelSpec(self.kernel, {**self.options, **options}, self.exog, self.period)
+        return ModelSpec(self.kernel, {**self.options, **options}, self.exog, self.period, self.batch)
+
+    def batched(self) -> bool:
+        """Whether the work can be done for many series at once."""
+        return self.batch is not None and all(v is not None for v in self.options.values())
 
     def with_period(self, period: int) -> ModelSpec:
         return self if self.period is None else self.with_options(**{self.period: (period,) if self.period == "periods" else period})
@@ -42,7 +49,8 @@ MODELS: dict[str, ModelSpec] = {
     "theta": ModelSpec(t.theta, exog=True, period="period"), "optimized_theta": ModelSpec(t.optimized_theta, exog=True, period="period"),
     "dynamic_theta": ModelSpec(t.dynamic_theta, exog=True, period="period"), "dynamic_optimized_theta": ModelSpec(t.dynamic_optimized_theta, exog=True, period="period"),
     "auto_theta": ModelSpec(t.auto_theta, exog=True, period="period"),
-    "croston": ModelSpec(s.croston), "croston_sba": ModelSpec(s.croston, {"variant": "sba"}), "tsb": ModelSpec(s.tsb), "adida": ModelSpec(s.adida), "imapa": ModelSpec(s.imapa),
+    "croston": ModelSpec(s.croston, batch=s.croston_batch), "croston_sba": ModelSpec(s.croston, {"variant": "sba"}, batch=s.croston_batch), "tsb": ModelSpec(s.tsb, batch=s.tsb_batch),
+    "adida": ModelSpec(s.adida, batch=s.adida_batch), "imapa": ModelSpec(s.imapa, batch=s.imapa_batch),
     "mfles": ModelSpec(c.mfles, exog=True, period="periods"), "mstl": ModelSpec(c.mstl_forecaster, period="periods"),
     "tbats": ModelSpec(c.tbats, period="periods"), "auto_tbats": ModelSpec(c.auto_tbats, period="periods"), "garch": ModelSpec(c.garch),
 }

@@ -469,3 +469,89 @@ def imapa(y: np.ndarray, h: int, max_level: int | None = None) -> Fit:
     point = float(np.mean([_aggregated(y, k) for k in range(1, top + 1) if k <= len(y)]))
     fitted = np.full(len(y), point)
     return Fit(fitted, np.full(h, point), np.full(h, float((y - fitted).var(ddof=1))), {"levels": top})
+
+
+# --- the same for many series of one length, a row each ---------------------------------
+
+
+def _sample_variance(r: np.ndarray) -> np.ndarray:
+    """Of each column over what is finite; 0 of fewer than two values."""
+    ok = np.isfinite(r)
+    c = ok.sum(0)
+    mean = np.where(ok, r, 0.0).sum(0) / np.maximum(c, 1)
+    d = np.where(ok, r - mean, 0.0)
+    return np.where(c > 1, (d * d).sum(0) / np.maximum(c - 1, 1), 0.0)
+
+
+def croston_batch(y: np.ndarray, variant: str = "classic", alpha: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    s, n = y.shape
+    rows = np.ascontiguousarray(y.T)
+    demand = rows > 0
+    fitted = np.full((n, s), np.nan)
+    size, gap, last = np.full(s, np.nan), np.full(s, np.nan), np.full(s, -1.0)
+    for t in range(n):
+        fitted[t] = size / np.maximum(gap, 0.001)
+        v, g, new = rows[t], t - last, np.isnan(size)
+        size = np.where(demand[t], np.where(new, v, alpha * v + (1 - alpha) * size), size)
+        gap = np.where(demand[t], np.where(new, g, alpha * g + (1 - alpha) * gap), gap)
+        last = np.where(demand[t], t, last)
+    factor = 1 - alpha / 2 if variant == "sba" else 1.0
+    return (demand.sum(0) >= 2) & (n >= 4), size / np.maximum(gap, 0.001) * factor, _sample_variance(rows - fitted * factor)
+
+
+def tsb_batch(y: np.ndarray, alpha: float = 0.1, beta: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    s, n = y.shape
+    rows = np.ascontiguousarray(y.T)
+    demand = rows > 0
+    some = demand.any(0)
+    size = rows[demand.argmax(0), np.arange(s)] if n else np.zeros(s)
+    chance = demand[0].astype(float) if n else np.zeros(s)
+    fitted = np.empty((n, s))
+    for t in range(n):
+        fitted[t] = size * chance
+        size = np.where(demand[t], alpha * rows[t] + (1 - alpha) * size, size)
+        chance = beta * demand[t] + (1 - beta) * chance
+    return np.full(s, n >= 2), np.where(some, size * chance, 0.0), np.where(some, _sample_variance(rows - fitted), 0.0)
+
+
+def _mean_intervals(y: np.ndarray) -> np.ndarray:
+    some = y != 0
+    c, n = some.sum(1), y.shape[1]
+    span = (n - 1 - some[:, ::-1].argmax(1)) - some.argmax(1)
+    return np.where(c > 1, np.maximum(1, np.floor(span / np.maximum(c - 1, 1) + 0.5)), 1).astype(np.int64)
+
+
+def _aggregated_batch(y: np.ndarray, k: int) -> np.ndarray:
+    s, n = y.shape
+    if k > n:
+        return y.mean(1)
+    blocks = y[:, n % k:].reshape(s, -1, k).sum(2)
+    grid = 0.1 + 0.002 * np.arange(101)
+    keep = 1 - grid
+    level = np.repeat(blocks[:, :1], len(grid), axis=1)
+    total, e, step = np.zeros_like(level), np.empty_like(level), np.empty_like(level)
+    for v in blocks.T[:, :, None]:
+        np.subtract(v, level, out=e)
+        np.multiply(e, e, out=e)
+        total += e
+        np.multiply(grid, v, out=step)
+        np.multiply(keep, level, out=level)
+        np.add(step, level, out=level)
+    return level[np.arange(s), total.argmin(1)] / k
+
+
+def adida_batch(y: np.ndarray, level: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    levels = np.full(len(y), level) if level else _mean_intervals(y)
+    point = np.empty(len(y))
+    for k in np.unique(levels).tolist():
+        point[levels == k] = _aggregated_batch(y[levels == k], k)
+    return np.full(len(y), y.shape[1] >= 4), point, _sample_variance((y - point[:, None]).T)
+
+
+def imapa_batch(y: np.ndarray, max_level: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    top = np.minimum(np.full(len(y), max_level) if max_level else _mean_intervals(y), y.shape[1])
+    total = np.zeros(len(y))
+    for k in range(1, int(top.max(initial=0)) + 1):
+        total[top >= k] += _aggregated_batch(y[top >= k], k)
+    point = total / np.maximum(top, 1)
+    return np.full(len(y), y.shape[1] >= 4), point, _sample_variance((y - point[:, None]).T)

@@ -4,13 +4,19 @@ Two ways. Baselines, and smoothing with given parameters, are SQL over one
 exchange on the keys (:mod:`millrace.functions.forecasts`). Every model is also
 a NumPy kernel run per series and model: series and models are exploded before
 the exchange, so several models of one long series are fitted by different
-tasks, and a series that cannot be fitted yields a row with its status.
+tasks, and a series that cannot be fitted yields a row with its status. Models
+of intermittent demand, whose series are many and short, are computed for many
+series of one length at once, each series a row, in the partitions there are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +46,76 @@ def _grouped(df: DataFrame, s: Series, names: list[str], extra: list[str] = ())
     return rows.repartition(spread(rows.sparkSession), *s.keys, "model", *extra).groupBy(*s.keys, "model", *extra)
 
 
+#: Series, and values of them, that are computed at once.
+AT_ONCE, VALUES_AT_ONCE = 512, 1 << 20
+
+
+@lru_cache(maxsize=10_000)
+def _next_micros(a: int | None, b: int | None, h: int, zone: str) -> list[int | None]:
+    """As :func:`_next_times`, of the last two times in microseconds, by the calendar of ``zone``."""
+    if a is None or b is None:
+        return [None] * h
+    ends = pd.Series(pd.to_datetime([a, b], unit="us", utc=True).tz_convert(zone).tz_localize(None))
+    ahead = pd.DatetimeIndex(_next_times(ends, h)).tz_localize(zone, ambiguous=np.zeros(h, bool), nonexistent="shift_forward").tz_convert("UTC").tz_localize(None)
+    return [x.value // 1000 for x in ahead.as_unit("ns")]
+
+
+def _batched(df: DataFrame, s: Series, use: dict[str, ModelSpec], h: int, level: float, schema: T.StructType) -> DataFrame:
+    """:func:`forecast` by the models' batches: a series is a row with its values, so a task meets no series by itself."""
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    rows = df.select(*s.keys, F.col(s.ts).cast("timestamp").alias("__ds"), cleaned(F.col(s.value)).alias("__y"))
+    series = rows.groupBy(*s.keys).agg(F.sort_array(F.collect_list(F.struct(F.col("__ds").isNull().alias("late"), F.unix_micros("__ds").alias("us"), F.col("__y").alias("y")))).alias("__rows"))
+    series = series.select(*s.keys, F.expr("try_element_at(__rows.us, -2)").alias("__a"), F.expr("try_element_at(__rows.us, -1)").alias("__b"), F.col("__rows.y").alias("__y"))
+    nk, z = len(s.keys), registry.interval_z(level)
+
+    def computed(spec: ModelSpec, values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        status, point, var = np.full(len(sizes), "ok", object), np.full(len(sizes), np.nan), np.full(len(sizes), np.nan)
+        for n in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == n)
+            step = max(1, min(AT_ONCE, VALUES_AT_ONCE // max(n, 1)))
+            for k in range(0, len(at), step):
+                part = at[k:k + step]
+                y = values[starts[part][:, None] + np.arange(n)]
+                whole = np.isfinite(y).all(1)
+                status[part[~whole]] = "missing_values"
+                part, y = part[whole], y[whole]
+                if len(part):
+                    good, point[part], var[part] = spec.batch(y, **spec.options)
+                    status[part[~good]] = "insufficient_data"
+        return status, point, var
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows or h < 1:
+                continue
+            lists = b.column(nk + 2)
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            values = lists.values.to_numpy(zero_copy_only=False).astype(float)
+            before, last = b.column(nk).to_pylist(), b.column(nk + 1).to_pylist()
+            for name, spec in use.items():
+                status, point, var = computed(spec, values, offsets[:-1], np.diff(offsets))
+                good = status == "ok"
+                each = np.where(good, h, 1)
+                of = np.repeat(np.arange(len(good)), each)
+                out = of[good[of]]
+                ok = good[of]
+                half = z * np.sqrt(np.maximum(var, 0.0))
+                steps = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each) + 1
+                times = [t for k in np.flatnonzero(good).tolist() for t in _next_micros(before[k], last[k], h, zone)]
+                ahead = np.full(len(of), None, object)
+                ahead[ok] = times
+                doubles = []
+                for x in (point, point - half, point + half):
+                    column = np.full(len(of), np.nan)
+                    column[ok] = x[out]
+                    doubles.append(pa.array(column, pa.float64(), mask=~ok))
+                yield pa.RecordBatch.from_arrays([
+                    *(b.column(j).take(pa.array(of)) for j in range(nk)), pa.array([name] * len(of), pa.string()), pa.array(steps.astype(np.int32), pa.int32(), mask=~ok),
+                    pa.array(ahead, pa.int64()).cast(pa.timestamp("us", "UTC")), *doubles, pa.array(np.full(len(of), level), pa.float64()), pa.array(status[of], pa.string())], names=schema.names)
+
+    return series.mapInArrow(run, schema)
+
+
 def _next_times(ds: pd.Series, h: int) -> list[pd.Timestamp]:
     """Times that carry on the last step (whole months where the days agree)."""
     if len(ds) < 2:
@@ -63,6 +139,11 @@ def forecast(df: DataFrame, s: Series, models: Models, h: int, level: float = 0.
                            *(T.StructField(c, T.DoubleType()) for c in ("yhat", "lo", "hi", "level")), T.StructField("status", T.StringType())])
     names = sorted(s.regressors)
     nk = len(s.keys)
+    together = {} if names else {k: m for k, m in use.items() if m.batched()}
+    if together:
+        out = _batched(df, s, together, h, level, schema)
+        rest = {k: m for k, m in use.items() if k not in together}
+        return out.unionByName(forecast(df, s, rest, h, level)) if rest else out
 
     def fit(key: tuple, pdf: pd.DataFrame, ahead: pd.DataFrame | None = None) -> pd.DataFrame:
         if not len(pdf) or h < 1:
