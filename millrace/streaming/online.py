@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,34 @@ def resample(events: DataFrame, s: Series, every: str = "1 hour", lateness: str
     return w.select(*s.keys, F.col("w.start").alias("ds"), "y", "n")
 
 
+#: Rows that leave a state at once, and the time that stands for none.
+PART, LAST = 100_000, (1 << 63) - 1
+
+
+def _columns(batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
+    """Times and values of a key's rows, 16 bytes a row."""
+    got = [(pdf["us"].to_numpy(np.int64), pdf["y"].to_numpy(np.float64)) for pdf in batches]
+    return tuple(np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0))
+
+
+def _smoothed(y: np.ndarray, m: float | None, q: float | None, alpha: float) -> tuple[float | None, float | None, list, list]:
+    """The state after ``y``, and mean and variance after each value."""
+    means, variances = [], []
+    for v in y.tolist():
+        if v == v and abs(v) != float("inf"):
+            m, q = (v, v * v) if m is None else (alpha * v + (1 - alpha) * m, alpha * v * v + (1 - alpha) * q)
+        means.append(m)
+        variances.append(None if m is None else max(0.0, q - m * m))
+    return m, q, means, variances
+
+
+def _part(key: tuple, us: np.ndarray, y: np.ndarray, means: list, variances: list, out: T.StructType) -> pd.DataFrame:
+    ds = us.astype("datetime64[us]")
+    ds[us == LAST] = np.datetime64("NaT")
+    columns = [*([k] * len(us) for k in key), ds, y, np.array(means, np.float64), np.array(variances, np.float64)]
+    return pd.DataFrame(dict(zip(out.names, columns, strict=True)))
+
+
 def running_ewm(stream: DataFrame, s: Series, alpha: float = 0.3) -> DataFrame:
     """Keys, time, value, ``ewm_mean`` and ``ewm_var`` of a stream: the state of a key
     is two numbers. Rows are taken as they arrive, those of one batch by time, and
@@ -35,17 +64,16 @@ def running_ewm(stream: DataFrame, s: Series, alpha: float = 0.3) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         m, q = state.get if state.exists else (None, None)
-        pdf = pd.concat(batches).sort_values("ds")
-        rows = []
-        for ds, y in zip(pdf["ds"], pdf["y"], strict=True):
-            if y is not None and y == y and abs(y) != float("inf"):
-                m, q = (y, y * y) if m is None else (alpha * y + (1 - alpha) * m, alpha * y * y + (1 - alpha) * q)
-            rows.append([*key, ds, y, m, None if m is None else max(0.0, q - m * m)])
+        us, y = _columns(batches)
+        order = np.lexsort((y, us))  # rows without a time are last
+        for k in range(0, len(order), PART):
+            at = order[k:k + PART]
+            m, q, means, variances = _smoothed(y[at], m, q, alpha)
+            yield _part(key, us[at], y[at], means, variances, out)
         if m is not None:
             state.update((float(m), float(q)))
-        yield pd.DataFrame(rows, columns=out.names)
 
-    rows = stream.select(*s.keys, F.col(s.ts).cast("timestamp").alias("ds"), F.col(s.value).cast("double").alias("y"))
+    rows = stream.select(*s.keys, F.coalesce(F.unix_micros(F.col(s.ts).cast("timestamp")), F.lit(LAST)).alias("us"), F.col(s.value).cast("double").alias("y"))
     return rows.groupBy(*s.keys).applyInPandasWithState(step, out, state_type, "append", "NoTimeout")
 
 
@@ -63,34 +91,30 @@ def ordered_ewm(stream: DataFrame, s: Series, alpha: float = 0.3, lateness: str
     """
     names = ("ds", "y", "ewm_mean", "ewm_var")
     out = T.StructType([*(stream.schema[k] for k in s.keys), T.StructField("ds", T.TimestampType()), *(T.StructField(c, T.DoubleType()) for c in names[1:])])
-    longs, doubles = T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())
-    state_type = T.StructType([T.StructField("m", T.DoubleType()), T.StructField("q", T.DoubleType()), T.StructField("last", T.LongType()), T.StructField("ts", longs), T.StructField("ys", doubles)])
+    state_type = T.StructType([T.StructField("m", T.DoubleType()), T.StructField("q", T.DoubleType()), T.StructField("last", T.LongType()), T.StructField("ts", T.BinaryType()), T.StructField("ys", T.BinaryType())])
     hold = None if forget is None else int(pd.Timedelta(forget).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         mark = state.getCurrentWatermarkMs()
-        m, q, last, ts, ys = state.get if state.exists else (None, None, None, [], [])
-        waiting = list(zip(ts, ys, strict=True))
-        for pdf in batches:
-            waiting += zip(pdf["us"].tolist(), pdf["y"].tolist(), strict=True)
-        waiting = sorted(((t, None if y is None or y != y or abs(y) == float("inf") else y) for t, y in waiting), key=lambda r: (r[0], r[1] is None, r[1] or 0.0))
-        rows, n = [], 0
-        for t, y in waiting:
-            if t // 1000 >= mark:
-                break
-            n += 1
-            if y is not None:
-                m, q = (y, y * y) if m is None else (alpha * y + (1 - alpha) * m, alpha * y * y + (1 - alpha) * q)
-            rows.append([*key, pd.Timestamp(t, unit="us"), y, m, None if m is None else max(0.0, q - m * m)])
-            last = t
-        rest = waiting[n:]
-        if not rest and hold is not None and (last is None or last // 1000 + hold < mark):
+        m, q, last, ts, ys = state.get if state.exists else (None, None, None, b"", b"")
+        m, q, last = (None if x is None or x != x else x for x in (m, q, last))
+        us, y = _columns(batches)
+        us, y = np.concatenate((np.frombuffer(ts, "<i8"), us)), np.concatenate((np.frombuffer(ys, "<f8"), y))
+        y[~np.isfinite(y)] = np.nan
+        order = np.lexsort((y, us))  # missing values are last at their time
+        us, y = us[order], y[order]
+        n = int(np.searchsorted(us, mark * 1000))
+        for k in range(0, n, PART):
+            e = min(n, k + PART)
+            m, q, means, variances = _smoothed(y[k:e], m, q, alpha)
+            yield _part(key, us[k:e], y[k:e], means, variances, out)
+        last = int(us[n - 1]) if n else last
+        if n == len(us) and hold is not None and (last is None or last // 1000 + hold < mark):
             state.remove()
         else:
-            state.update((m, q, last, [t for t, _ in rest], [y for _, y in rest]))
-            if rest or hold is not None:
-                state.setTimeoutTimestamp(max(rest[0][0] // 1000 if rest else last // 1000 + hold, mark + 1))
-        yield pd.DataFrame(rows, columns=out.names)
+            state.update((m, q, last, us[n:].astype("<i8").tobytes(), y[n:].astype("<f8").tobytes()))
+            if n < len(us) or hold is not None:
+                state.setTimeoutTimestamp(int(max(us[n] // 1000 if n < len(us) else last // 1000 + hold, mark + 1)))
 
     rows = stream.select(*s.keys, F.col(s.ts).cast("timestamp").alias("ds"), F.col(s.value).cast("double").alias("y")).where("ds is not null")
     marked = rows.withWatermark("ds", lateness).withColumn("us", F.unix_micros("ds"))

@@ -68,3 +68,18 @@ def test_windows_take_the_nearest_second_as_in_sql(spark, tmp_path):
     for name in ("stream_resample", "stream_live_resample"):
         got = sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect()))
         assert got == sorted(con.execute(registry.ORACLE_SQL[name]).fetchall()), name
+
+
+def test_rows_of_a_key_leave_in_bounded_parts(spark, tmp_path, monkeypatch):
+    """A key's rows of one batch are arrays, and go out a bounded part at a time; a part's end changes nothing."""
+    monkeypatch.setattr(online, "PART", 7)  # workers that are started from here take it
+    us, y = online._columns(iter([pd.DataFrame({"us": [3, 1], "y": [1.0, None]}), pd.DataFrame({"us": [online.LAST], "y": [2.0]})]))
+    assert us.dtype == "int64" and y.dtype == "float64" and us.tolist() == [3, 1, online.LAST]
+    rows = [("a", t, float(t % 5) if t % 11 else None, 0) for t in range(100)] + [("b", 3, 1.0, 0)]
+    df = frame(spark, rows).drop("part")
+    df.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    got = {(r["key"], r["ds"]): (r["ewm_mean"], r["ewm_var"]) for r in online.drained(online.running_ewm(stream, S, 0.3), "parts").collect()}
+    want = {(r["key"], r["ds"]): (r["ewm_mean"], r["ewm_var"]) for r in ewm(df, S, 0.3).collect()}
+    assert got.keys() == want.keys()
+    assert all((v[0] is None) == (want[k][0] is None) and (v[0] is None or abs(v[0] - want[k][0]) < 1e-9 and abs(v[1] - want[k][1]) < 1e-9) for k, v in got.items())
