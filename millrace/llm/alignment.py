@@ -9,7 +9,8 @@ where both tokenizers always cut.
 
 Documents travel in blocks of about ``BLOCK_BYTES`` of text: a block's distinct
 links go to the corpus-wide counts and come back with them, so that a shuffled
-row stands for all documents of a block.
+row stands for all documents of a block. No task gathers blocks: files hold them
+in row groups of a few, and counts meet a block's documents a block at a time.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .tokens import _ALPHABET, encoder, read_spec
 
 #: Text of a block, about; a longer document is a block of its own.
 BLOCK_BYTES = 4_000_000
+#: Row groups of the blocks' files, about; a reader decodes one at a time, and a writer looks at its size after every block.
+ROW_GROUP_BYTES = 8_000_000
 #: Stretches, and bytes of them, at which a worker's memory of stretches starts anew (between blocks).
 CACHED, CACHED_BYTES = 250_000, 16_000_000
 #: States and transitions of the transducer that are remembered, at most.
@@ -233,14 +236,25 @@ def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _PER_DOCUMENT = ("n_a", "n_b", "n_groups", "n_links")
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Non-negative integers in the smallest unsigned type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))).newbyteorder("<"))
+
+
+def wide(raw: bytes, n: int) -> np.ndarray:
+    """The ``n`` integers of :func:`narrow`."""
+    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
 def _blocks(docs: DataFrame, id_col: str, text_col: str, spec: str, model: bytes, keep_groups: bool) -> DataFrame:
     """One row per block: documents as arrays, distinct links with their counts,
-    and for each document its entries (place of a link in ``pair``, how often)."""
+    and for each document its entries (place of a link in ``pair``, how often),
+    these as the bytes of the narrowest unsigned integers."""
     longs = T.ArrayType(T.LongType())
     kind = docs.schema[id_col].dataType
     schema = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("id", T.ArrayType(kind)), *(T.StructField(k, longs) for k in _PER_DOCUMENT), T.StructField("sha", T.ArrayType(T.StringType())),
-        T.StructField("groups", T.ArrayType(T.StringType())), T.StructField("pair", longs), T.StructField("n", longs), T.StructField("entries", longs), T.StructField("place", T.ArrayType(T.IntegerType())), T.StructField("times", T.ArrayType(T.IntegerType()))])
+        T.StructField("groups", T.ArrayType(T.StringType())), T.StructField("pair", longs), T.StructField("n", longs), T.StructField("entries", longs), T.StructField("place", T.BinaryType()), T.StructField("times", T.BinaryType())])
 
     def row(name: int, ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
         al = _aligner(spec, model)
@@ -279,7 +293,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, spec: str, model: bytes
 
         return pa.RecordBatch.from_arrays(
             [pa.array([name], pa.int64()), one(ids), *(one(sums[:, k]) for k in range(3)), one(n_links), one(shas, pa.string()), one(groups, pa.string()),
-             one(pair), one(block_n), one(np.bincount(owner, minlength=len(found)).astype(np.int64)), one(place.astype(np.int32)), one(times.astype(np.int32))], schema.names)
+             one(pair), one(block_n), one(np.bincount(owner, minlength=len(found)).astype(np.int64)), *(pa.array([narrow(x).tobytes()], pa.binary()) for x in (place, times))], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = TaskContext.get().partitionId() << 32
@@ -318,37 +332,32 @@ def align(docs: DataFrame, byte_tokenizer: str, piece_model: str, id_col: str =
     spec = read_spec(byte_tokenizer)
     with open(piece_model, "rb") as f:
         model = f.read()
-    blocks = written(_blocks(docs, id_col, text_col, spec, model, keep_groups), "aligned")
+    blocks = written(_blocks(docs, id_col, text_col, spec, model, keep_groups), "aligned", **{"parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size.row.check.min": 1})
     counts = pair_counts(blocks)
     best = counts.groupBy(F.col("pair").bitwiseAND(0xFFFFFFFF).alias("b")).agg(F.max("count").alias("most"))
     named = counts.withColumn("b", F.col("pair").bitwiseAND(0xFFFFFFFF)).join(best, "b").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
-    back = (
-        blocks.select("block", F.posexplode("pair").alias("at", "pair")).join(named, "pair")
-        .groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "count", "best"))).alias("c"))  # as many as a block has
-        .select("block", F.col("c.count").alias("count"), F.col("c.best").alias("best"))
-    )
+    back = blocks.select("block", F.posexplode("pair").alias("at", "pair")).join(named, "pair").select(F.col("block").alias("of"), "at", "count", "best")
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), *(T.StructField(k, T.LongType()) for k in (*_PER_DOCUMENT, "n_best", "count_sum")), T.StructField("groups_sha256", T.StringType()),
                            *([T.StructField("groups", T.StringType())] if keep_groups else [])])
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                got = {n: b.column(k)[r].values for k, n in enumerate(b.schema.names) if n != "block"}
-                entries = got["entries"].to_numpy()
-                owner = np.repeat(np.arange(len(entries)), entries)
-                place, times = got["place"].to_numpy(), got["times"].to_numpy().astype(np.int64)
-                sums = []
-                for name in ("best", "count"):
-                    values = got[name]
-                    values = np.zeros(1, np.int64) if values is None else values.to_numpy(zero_copy_only=False).astype(np.int64)
-                    out = np.zeros(len(entries), np.int64)
-                    np.add.at(out, owner, values[place] * times)
-                    sums.append(pa.array(out))
-                yield pa.RecordBatch.from_arrays([got["id"], *(got[k] for k in _PER_DOCUMENT), *sums, got["sha"], *([got["groups"]] if keep_groups else [])], names=schema.names)
-
-    whole = blocks.select("block", "id", *_PER_DOCUMENT, "sha", "groups", "entries", "place", "times").join(back, "block", "left")
-    return whole.mapInArrow(finish, schema)
+    def finish(block: pa.Table, links: pa.Table) -> pa.Table:
+        """The documents of one block, with the counts of its links."""
+        got = {n: block.column(n)[0].values for n in block.column_names if n not in ("block", "place", "times")}
+        entries = got["entries"].to_numpy()
+        owner, n = np.repeat(np.arange(len(entries)), entries), int(entries.sum())
+        place, times = (wide(block.column(k)[0].as_py(), n) for k in ("place", "times"))
+        sums = []
+        for name in ("best", "count"):
+            values = np.zeros(links.num_rows, np.int64)
+            values[links.column("at").to_numpy()] = links.column(name).to_numpy()
+            out = np.zeros(len(entries), np.int64)
+            np.add.at(out, owner, values[place] * times)
+            sums.append(pa.array(out))
+        return pa.Table.from_arrays([got["id"], *(got[k] for k in _PER_DOCUMENT), *sums, got["sha"], *([got["groups"]] if keep_groups else [])], names=schema.names)
+
+    whole = blocks.select("block", "id", *_PER_DOCUMENT, "sha", *(["groups"] if keep_groups else []), "entries", "place", "times")
+    return whole.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(finish, schema)
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:

@@ -6,13 +6,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from millrace.llm import alignment, periods, queries, toxicity
+from millrace.llm import alignment, common, periods, queries, toxicity
 from tests.llm.test_llm import DOC, ODD, documents, frame
 
 # --- periodic runs -----------------------------------------------------------
@@ -253,6 +254,22 @@ def test_alignment_odd_documents(spark):
     assert alignment.align(frame(spark, []), A, B).count() == 0
 
 
+def test_blocks_are_decoded_a_few_at_a_time(spark, small, monkeypatch):
+    """Files hold blocks in small row groups however many a task writes, and narrow integers come back."""
+    held = []
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(alignment, "ROW_GROUP_BYTES", 100_000)
+    monkeypatch.setattr(alignment, "written", lambda df, *a, **o: held.append(common.written(df, *a, **o)) or held[-1])
+    df = documents(spark, small).coalesce(1)
+    assert alignment.align(df, A, B).count() == df.count()
+    groups = [f.metadata.row_group(g).num_rows for f in (pq.ParquetFile(p.removeprefix("file://")) for p in held[0].inputFiles()) for g in range(f.metadata.num_row_groups)]
+    assert sum(groups) > 15 and max(groups) <= 8
+    for x in ([], [0], [255, 1], [256], [70_000, 3], [0, 0]):
+        x = np.array(x, np.int64)
+        assert alignment.wide(alignment.narrow(x).tobytes(), len(x)).tolist() == x.tolist()
+    assert len(alignment.narrow(np.array([255])).tobytes()) == 1
+
+
 def test_long_unbroken_text(spark, libraries):
     """A text of 1 MB without spaces, and one of 3 MB."""
     rng = random.Random(2)
