@@ -7,9 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm import mixing, nearcopies, packing, pii, quality, queries
 from millrace.llm.common import written
 
+#: Bytes of an Arrow batch to a Python worker; a task's batch is in memory on both sides.
+BATCH = "4m"
+
+
+def _batched(spark: SparkSession) -> None:
+    """Whole texts travel in small batches for the rest of the session; Spark's own are of 64 MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores under 0.5 go. It learns from the labelled ones among ``docs``."""
+    _batched(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.fit(docs, labels))
 
@@ -17,11 +26,13 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: SimHash neighbours whose
     five-word shingles overlap by 0.8 or more, and copies."""
+    _batched(spark)
     return nearcopies.keep_first(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data become placeholders."""
+    _batched(spark)
     return pii.redact_pii(docs)
 
 
@@ -32,6 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
+    _batched(spark)
     return packing.pack(docs, queries.BYTE_TOKENIZER, end_id=1)
 
 

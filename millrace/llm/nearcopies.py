@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, remove, slices, work_path, written, written_at
+from .common import connected_components, remove, slices, trimmed, work_path, written, written_at
 from .runs import map_runs
 from .simhash import BITS, fingerprint, first_of_groups, pivots
 
@@ -142,10 +142,10 @@ def _proposals(nodes: DataFrame, radius: int, tables: int, hot: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sub), pa.array(fp)], ["c", "key", "sub", "fp"])
 
     kind = "c long, key long, sub long, fp long"
-    rows = nodes.select("fp").mapInArrow(spread, kind)
+    rows = nodes.select("fp").mapInArrow(trimmed(spread), kind)
     crowded = written(rows.groupBy("c", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("c", "key"), "crowded")
     coarse = rows.join(crowded, ["c", "key"], "left_anti")
-    fine = rows.join(crowded, ["c", "key"], "left_semi").select("c", "key", "sub", "fp").mapInArrow(finer, kind)
+    fine = rows.join(crowded, ["c", "key"], "left_semi").select("c", "key", "sub", "fp").mapInArrow(trimmed(finer), kind)
 
     def group(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         fp = np.sort(cols[3])
@@ -176,7 +176,7 @@ def _cells(sets: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(cols[0][:1]), pa.array([out.tobytes()], pa.binary())], ["block", "counts"])
 
     kind = "block long, counts binary"
-    got = sorted(map(tuple, map_runs(sets.select("set").mapInArrow(count, kind), ["block"], [], total, kind, 1).collect()))
+    got = sorted(map(tuple, map_runs(sets.select("set").mapInArrow(trimmed(count), kind), ["block"], [], total, kind, 1).collect()))
     return np.concatenate([np.frombuffer(x, np.int64) for _, x in got]) if got else np.zeros(CELLS, np.int64)
 
 
@@ -246,7 +246,7 @@ def _prefixes(nodes: DataFrame, cells: np.ndarray, similarity: float) -> DataFra
                     np.repeat(b.column(0).to_numpy(), size), np.repeat(b.column(1).to_numpy(), size)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "n", "at", "node", "component"])
 
-    return nodes.select("node", "component", "set").mapInArrow(spread, "key int, n int, at int, node long, component long")
+    return nodes.select("node", "component", "set").mapInArrow(trimmed(spread), "key int, n int, at int, node long, component long")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -318,7 +318,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64)), pa.array(sets, pa.binary())], ["id", "fp", "node", "set"])
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").cast("binary").alias("text"))
-    rows, rows_path = written_at(rows.mapInArrow(prints, "id long, fp long, node long, set binary"), "prints")
+    rows, rows_path = written_at(rows.mapInArrow(trimmed(prints), "id long, fp long, node long, set binary"), "prints")
     name, path = f"sets_{uuid.uuid4().hex}", work_path(spark, "sets")
     nodes = rows.groupBy("node").agg(F.min("id").alias("low"), F.min("fp").alias("fp"), F.first("set").alias("set"))
     nodes.write.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").saveAsTable(name)
@@ -341,7 +341,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # only the sets in question, and written, so that the joins' sides are plain exchanges and a hot end can be split
         s = written(nodes.select("node", "set").join(ends, "node"), "ends")
         both = pairs.join(s.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(s.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+        return both.select("a", "b", "x", "y").mapInArrow(trimmed(verify), "a long, b long")
 
     def settled(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
         if before is not None:
@@ -359,7 +359,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     prefixes = _prefixes(regrouped(nodes.select("node", "set"), groups), _cells(nodes), similarity)
     live = written(prefixes.join(written(_shared(prefixes), "shared"), "key", "left_semi"), "live")
-    live = written(live.join(written(nodes.select("node", "set").mapInArrow(bitmaps, "node long, bits binary"), "bitmaps"), "node"), "live")
+    live = written(live.join(written(nodes.select("node", "set").mapInArrow(trimmed(bitmaps), "node long, bits binary"), "bitmaps"), "node"), "live")
     groups = settled(verified(_following(live, similarity, hot)), groups)
     live = written(regrouped(live, groups).select(live.columns), "live")
     groups = settled(verified(_paired(_pieces(live, hot), candidates, similarity, ["key", "x", "y"])), groups)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, written
+from .common import slices, trimmed, written
 from .tokens import encoder, read_spec
 
 SEQUENCE = 2048
@@ -125,7 +125,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SEQUENCE, id_
     # empty and -1 but for files; what is made of several sources has no file
     one = docs._jdf.queryExecution().analyzed().collectLeaves().size() == 1
     split = (F.input_file_name() if one else F.lit("")).alias("file"), (F.input_file_block_start() if one else F.lit(-1).cast("long")).alias("begin")
-    pieces = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text"), *split).mapInArrow(cut, schema)
+    pieces = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text"), *split).mapInArrow(trimmed(cut), schema)
     pieces = written(pieces, "pieces")
     counts = written(pieces.groupBy("file", "begin", "part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -145,4 +145,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SEQUENCE, id_
             sequence = table["sequence"][at] + number - table["first"][at]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(table["offset"][at])], out.names)
 
-    return ranked.mapInArrow(place, out)
+    return ranked.mapInArrow(trimmed(place), out)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, trimmed
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("iban", "ssn", "account", "credential_url", "secret")
@@ -310,4 +310,4 @@ def redact_pii(docs: DataFrame, text_col: str = "text", length_col: str | None =
                 cols[length] = pa.array([o if t is None else len(t) for t, o in zip(texts, old, strict=True)], b.column(length).type)
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(trimmed(scan), docs.schema)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remove, slices, written_at
+from .common import remove, slices, trimmed, written_at
 
 #: Labelled rows of each class that the dictionaries and the calibration are fitted on, at most.
 TRAIN_ROWS = 3000
@@ -145,7 +145,7 @@ def _of_texts(texts: DataFrame, ids: set, function, kind: T.DataType) -> dict:
             part = b.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([made(t.as_py() or b"") for t in part.column(1)], pa.list_(pa.binary()) if isinstance(kind, T.ArrayType) else pa.float64())], schema.names)
 
-    return {r["k"]: r["x"] for r in texts.select("k", "t").mapInArrow(run, schema).collect()}
+    return {r["k"]: r["x"] for r in texts.select("k", "t").mapInArrow(trimmed(run), schema).collect()}
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer(b.column(1)), pa.float64())], schema.names)
 
-    return docs.select(docs[id_col], docs[text_col].cast("string").cast("binary").alias("__text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col], docs[text_col].cast("string").cast("binary").alias("__text")).mapInArrow(trimmed(run), schema)
 
 
 def _scorer(model: QualityModel):
@@ -182,4 +182,4 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.5, text
         for b in batches:
             yield b.filter(pa.array(scorer(b.column(at).cast(pa.binary())) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -2,7 +2,10 @@
 
 import random
 
-from millrace.llm import mixing, quality
+import pyarrow as pa
+
+from millrace.llm import common, mixing, quality
+from tests.llm.test_llm import documents
 
 
 def test_samples_span_the_text():
@@ -36,3 +39,18 @@ def test_ties_of_carried_rows_follow_their_texts(spark):
         df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(seed)
         chosen.append(sorted((r["row"]["text"], r["epoch"], r["block"]) for r in mixing.mix(df, carry=["text"], budget=30.0).collect()))
     assert chosen[0] == chosen[1] == chosen[2] and 0 < len(chosen[0])
+
+
+def test_pipeline_sends_small_batches_and_workers_give_memory_back(spark, small):
+    """A stage's task holds a few megabytes of texts at once, and nothing of them after it."""
+    import corpus_pipeline
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        corpus_pipeline.pack_sequences(spark, documents(spark, small).limit(3), small)
+        texts = spark.range(0, 600, 1, 1).selectExpr("repeat('word ', 10000) as text")
+        sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+    assert len(sizes) > 5 and max(r["n"] for r in sizes) < 5_000_000
+    assert [b.num_rows for b in common.trimmed(iter)([pa.RecordBatch.from_arrays([pa.array([1, 2])], ["x"])])] == [2]
