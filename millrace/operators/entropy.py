@@ -3,20 +3,27 @@
 A template is a stretch of ``m`` values and the one behind it. Equal templates
 of a series become one row with counts. Rows are dealt to cells of the first
 two values, a little wider than the tolerance ``r``, so that two templates
-within ``r`` of each other lie in one cell or in cells that touch. A cell of
-many rows is cut into pieces, and every two pieces of cells that touch meet
-as one group of bounded size; nothing else is compared.
+within ``r`` of each other lie in one cell or in cells that touch. A cell's
+templates ask in pieces, those of all cells that touch it answer in pieces, and
+two pieces meet as one group of bounded size; nothing else is compared. A group counts by
+bitmaps: for each value, the templates of a block that lie below every place in
+its order, of which two make an interval, so a word stands for 64 comparisons.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .series import Series
 
-#: Different templates of a piece on average: a group compares at most the square of about that many.
-PIECE = 1024
+#: Different templates of a piece on average: a group compares about the square of that many at most.
+PIECE = 16384
+#: Templates of a block of bitmaps.
+BLOCK = 4096
 #: Shares in which a cell's rows learn of the cells beside it.
 SALTS = 16
 #: Cells are counted up to here on both sides of zero; values beyond share the last one.
@@ -32,6 +39,70 @@ def templates(p: DataFrame, keys: tuple[str, ...], ahead: list[Column], m: int)
     return rows.groupBy("__key", *(f"d{j}" for j in range(m + 1))).agg(F.count(F.lit(1)).alias("w_all"), F.count(f"d{m}").alias("w_full"), F.count("__next").alias("w_short"))
 
 
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Flags as 64-bit words."""
+    out = np.zeros(-(-len(bits) // 64) * 8, np.uint8)
+    out[:-(-len(bits) // 8)] = np.packbits(bits, bitorder="little")
+    return out.view("<u8")
+
+
+def within(values: np.ndarray, r: float):
+    """A function that gives, for numbers, bitmaps of the ``values`` whose
+    difference to each is ``r`` at most, as doubles subtract; NaN is near nothing."""
+    n = len(values)
+    order = np.argsort(values, kind="stable")[:n - int(np.isnan(values).sum())]
+    table = np.zeros((len(order) + 1, -(-n // 64)), np.uint64)
+    table[np.arange(1, len(order) + 1), order >> 6] = np.uint64(1) << (order & 63).astype(np.uint64)
+    np.bitwise_or.accumulate(table, axis=0, out=table)
+    u, first = np.unique(values[order], return_index=True)
+    at = np.append(first, len(order))
+
+    def bitmaps(x: np.ndarray) -> np.ndarray:
+        if not len(u):
+            return np.zeros((len(x), table.shape[1]), np.uint64)
+        lo, hi = np.searchsorted(u, x - r, "left"), np.searchsorted(u, x + r, "right")
+        # sums round, so a bound may be a few values off
+        for bound, step, back in ((lo, 1, 0), (hi, -1, 1)):
+            while (off := (bound - back >= 0) & (bound - back < len(u)) & ~(np.abs(u[np.clip(bound - back, 0, len(u) - 1)] - x) <= r) & ((u[np.clip(bound - back, 0, len(u) - 1)] - x) * step < 0)).any():
+                bound[off] += step
+            while (off := (bound - 1 + back >= 0) & (bound - 1 + back < len(u)) & (np.abs(u[np.clip(bound - 1 + back, 0, len(u) - 1)] - x) <= r)).any():
+                bound[off] -= step
+        nothing = np.isnan(x) | (hi <= lo)
+        lo[nothing] = hi[nothing] = 0
+        return table[at[hi]] ^ table[at[lo]]
+
+    return bitmaps
+
+
+def weighed(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The sum of the non-negative ``weights`` that each bitmap holds."""
+    out = np.zeros(len(found), np.int64)
+    for b in range(int(weights.max(initial=0)).bit_length()):
+        out += np.bitwise_count(found & packed(weights >> b & 1)).sum(1, dtype=np.int64) << b
+    return out
+
+
+def counted(asks: list[np.ndarray], answers: list[np.ndarray], weights: list[np.ndarray], r: float) -> np.ndarray:
+    """For templates ``asks``, the sums of ``weights`` (all, full, short) of the
+    ``answers`` near them: all and full by all values but the last, full and
+    short by every value."""
+    out = np.zeros((4, len(asks[0])), np.int64)
+    for s in range(0, len(answers[0]), BLOCK):
+        near = [within(v[s:s + BLOCK], r) for v in answers]
+        w_all, w_full, w_short = (w[s:s + BLOCK] for w in weights)
+        for a in range(0, len(asks[0]), BLOCK):
+            found = near[0](asks[0][a:a + BLOCK])
+            for f, x in zip(near[1:-1], asks[1:-1], strict=True):
+                found &= f(x[a:a + BLOCK])
+            to = slice(a, a + BLOCK)
+            out[0, to] += (short := weighed(found, w_all))
+            out[1, to] += short if np.array_equal(w_all, w_full) else weighed(found, w_full)
+            found &= near[-1](asks[-1][a:a + BLOCK])
+            out[2, to] += (whole := weighed(found, w_full))
+            out[3, to] += whole if np.array_equal(w_full, w_short) else weighed(found, w_short)
+    return out
+
+
 def neighbours(t: DataFrame, m: int, r: float, piece: int = PIECE) -> DataFrame:
     """``t`` with the templates within ``r`` of each, itself included, in every
     value: ``c_all`` and ``c_full`` by the first ``m``, ``c1_full`` and
@@ -42,33 +113,49 @@ def neighbours(t: DataFrame, m: int, r: float, piece: int = PIECE) -> DataFrame:
     cells = [f"q{j}" for j in dims]
     values = [f"d{j}" for j in range(m + 1)]
     t = t.withColumns({f"q{j}": F.floor(F.greatest(F.least(F.col(f"d{j}") / F.lit(side), F.lit(FAR)), F.lit(-FAR))) for j in dims}).withColumn("__h", F.xxhash64(*values))
-    census = t.groupBy("__key", *cells).agg(F.ceil(F.count(F.lit(1)) / F.lit(piece)).alias("pieces"))
-
-    steps = census.withColumnRenamed("pieces", "own")
-    for j in dims:
-        steps = steps.withColumn(f"s{j}", F.explode(F.array(*(F.col(f"q{j}") + o for o in (-1, 0, 1)))))
-    beside = census.select(F.col("__key"), *(F.col(f"q{j}").alias(f"s{j}") for j in dims), F.col("pieces").alias("other"))
-    near = steps.join(beside, ["__key", *(f"s{j}" for j in dims)]).groupBy("__key", *cells, "own").agg(F.collect_list(F.struct(*(f"s{j}" for j in dims), "other")).alias("near"))  # nine at most
+    census = t.groupBy("__key", *cells).agg(F.count(F.lit(1)).alias("own"))
+
+    def touching(own: DataFrame, other: DataFrame, found: list[Column]) -> DataFrame:
+        """``own`` cells with what is found in those of ``other`` that touch them, nine at most."""
+        for j in dims:
+            own = own.withColumn(f"s{j}", F.explode(F.array(*(F.col(f"q{j}") + o for o in (-1, 0, 1)))))
+        beside = other.select(F.col("__key"), *(F.col(f"q{j}").alias(f"s{j}") for j in dims), *(F.col(c).alias(f"other_{c}") for c in other.columns if c not in ("__key", *cells)))
+        return own.join(beside, ["__key", *(f"s{j}" for j in dims)]).groupBy("__key", *cells, *(c for c in own.columns if c not in ("__key", *cells, *(f"s{j}" for j in dims)))).agg(*found)
+
+    # a cell's templates ask in pieces, and all around them answer in pieces
+    sizes = touching(census, census, [F.sum("other_own").alias("around")]).select("__key", *cells, F.ceil(F.col("own") / F.lit(piece)).alias("asking"), F.ceil(F.col("around") / F.lit(piece)).alias("answering"))
+    near = touching(sizes, sizes, [F.collect_list(F.struct(*(f"s{j}" for j in dims), "other_asking", "other_answering")).alias("near")])
     near = near.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # the low bits of the hash choose the salt, the others the piece
-    dealt = t.withColumn("__salt", F.pmod("__h", F.lit(SALTS)).cast("int")).join(near, ["__key", *cells, "__salt"])
-    dealt = dealt.withColumn("__piece", F.pmod(F.expr(f"__h div {SALTS}"), F.col("own"))).withColumn("near", F.explode("near"))
-    met = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("near.other") - 1)))
+    dealt = t.withColumn("__salt", F.pmod("__h", F.lit(SALTS)).cast("int")).join(near, ["__key", *cells, "__salt"]).withColumn("__rest", F.expr(f"__h div {SALTS}"))
+
+    def upto(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
-    # a group is (cell and piece that ask, cell and piece that answer)
-    here, there = [*(F.col(c) for c in cells), F.col("__piece")], [*(F.col(f"near.s{j}") for j in dims), F.col("__other")]
-    group = [f"g{i}" for i in range(2 * len(here))]
+    # a group is (cell, piece that asks, piece that answers)
+    group = [*(f"g{j}" for j in dims), "ga", "gb"]
     weights = ["w_all", "w_full", "w_short"]
-    asks = met.select("__key", *(c.alias(g) for c, g in zip(here + there, group)), *values, *weights)
-    answers = met.select("__key", *(c.alias(g) for c, g in zip(there + here, group)), *(F.col(v).alias(f"o{v}") for v in values), *(F.col(w).alias(f"o{w}") for w in weights))
-    close = [F.abs(F.col(v) - F.col(f"o{v}")) <= r for v in values]
-    both = asks.join(answers, ["__key", *group])
-    for c in close[:m]:
-        both = both.where(c)
-    also = close[m]
-    return both.groupBy("__key", *values, *weights).agg(
-        F.sum("ow_all").alias("c_all"), F.sum("ow_full").alias("c_full"),
-        F.sum(F.when(also, F.col("ow_full")).otherwise(0)).alias("c1_full"), F.sum(F.when(also, F.col("ow_short")).otherwise(0)).alias("c1_short"))
+    asks = dealt.select("__key", *(F.col(f"q{j}").alias(f"g{j}") for j in dims), F.pmod("__rest", "asking").alias("ga"), upto("answering").alias("gb"), *values, *weights)
+    met = dealt.withColumn("near", F.explode("near")).withColumn("__piece", upto("near.other_asking"))
+    answers = met.select(F.col("__key").alias("__okey"), *(F.col(f"near.s{j}").alias(f"og{j}") for j in dims), F.col("__piece").alias("oga"), F.pmod("__rest", F.col("near.other_answering")).alias("ogb"),
+                         *(F.col(v).alias(f"o{v}") for v in values), *(F.col(w).alias(f"o{w}") for w in weights))
+    counts = ["c_all", "c_full", "c1_full", "c1_short"]
+    schema = T.StructType([*(asks.schema[c] for c in ("__key", *values, *weights)), *(T.StructField(c, T.LongType()) for c in counts)])
+
+    def column(x: pa.Table, name: str) -> np.ndarray:
+        return x.column(name).to_numpy()
+
+    def group_counts(here: pa.Table, there: pa.Table) -> pa.Table:
+        if not here.num_rows or not there.num_rows:
+            here = here.slice(0, 0)
+        got = counted([column(here, v).astype(float) for v in values], [column(there, f"o{v}").astype(float) for v in values], [column(there, f"o{w}") for w in weights], r)
+        out = here.select(schema.names[:-4])
+        for name, x in zip(counts, got, strict=True):
+            out = out.append_column(name, pa.array(x))
+        return out.filter(pa.array(got[0] > 0))
+
+    both = asks.groupBy("__key", *group).cogroup(answers.groupBy("__okey", *(f"o{g}" for g in group))).applyInArrow(group_counts, schema)
+    return both.groupBy("__key", *values, *weights).agg(*(F.sum(c).alias(c) for c in counts))
 
 
 def of_templates(series: DataFrame, t: DataFrame, keys: tuple[str, ...], m: int, r: float, piece: int = PIECE) -> DataFrame:

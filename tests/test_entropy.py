@@ -87,3 +87,16 @@ def test_sample_entropy_without_longer_matches_is_as_in_sql(spark, tmp_path):
     want = dict(con.execute(registry.ORACLE_SQL["feat_sample_entropy"]).fetchall())
     assert want["longer"] == math.inf and set(want) == {"some", "longer"}
     assert dict(map(tuple, registry.QUERIES["feat_sample_entropy"](spark, str(tmp_path)).collect())) == want
+
+
+@pytest.mark.parametrize("d,r,draw", [(3, 0.1, lambda g, n: g.integers(0, 30, n) * 0.1), (2, 10.0, lambda g, n: g.exponential(50, n).round(2)), (4, 0.0, lambda g, n: g.integers(0, 3, n) * 1.0),
+                                      (3, 1e-300, lambda g, n: g.normal(size=n) * 1e-300), (3, -1.0, lambda g, n: g.normal(size=n)), (3, 2.0, lambda g, n: 1e15 + g.integers(0, 6, n))])
+def test_bitmaps_count_as_comparisons_do(d, r, draw):
+    g = np.random.default_rng(1)
+    for n in (0, 1, 65, 5000):
+        asks, answers, w = [draw(g, 300) for _ in range(d)], [draw(g, n) for _ in range(d)], [g.integers(0, 9, n) for _ in range(3)]
+        asks[-1][:3] = answers[-1][-2:] = np.nan
+        near = [np.abs(a[:, None] - b) <= r for a, b in zip(asks, answers, strict=True)]
+        short = np.logical_and.reduce(near[:-1])
+        whole = short & near[-1]
+        assert np.array_equal(entropy.counted(asks, answers, w, r), np.stack([short @ w[0], short @ w[1], whole @ w[1], whole @ w[2]]))
